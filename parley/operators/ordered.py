@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
-def running_sums(df: DataFrame, keys, order: str, cols, n_buckets: int = DEFAULT_BUCKETS, descending: bool = False) -> DataFrame:
+def running_sums(
+    df: DataFrame, keys, order: str, cols, n_buckets: int = DEFAULT_BUCKETS, descending: bool = False, with_next: bool = False
+) -> DataFrame:
     """Adds ``cum_<c>`` = sum of ``c`` over rows of the same keys with order value <= this one
-    (>= when ``descending``), inclusive."""
+    (>= when ``descending``), inclusive. ``with_next`` adds ``next_<order>``: the next larger
+    value in the group (NULL for the last), ascending mode only."""
     keys = list(keys)
     o = F.col(order)
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -32,12 +35,18 @@ def running_sums(df: DataFrame, keys, order: str, cols, n_buckets: int = DEFAULT
     if descending:
         bk = F.lit(n_buckets) - bk
     with_b = with_b.withColumn("_bk", bk).drop("_bounds")
-    totals = with_b.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    totals = with_b.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols], F.min(order).alias("_min"))
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    extra = [F.lead("_min").over(Window.partitionBy(*keys).orderBy("_bk")).alias("_nextmin")] if with_next else []
+    offsets = totals.select(
+        *keys, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in cols], *extra
+    )
     ordering = o.desc() if descending else o.asc()
     wl = Window.partitionBy(*keys, "_bk").orderBy(ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = with_b.join(offsets, [*keys, "_bk"])
     for c in cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(wl))
+    if with_next:
+        wn = Window.partitionBy(*keys, "_bk").orderBy(ordering)
+        out = out.withColumn(f"next_{order}", F.coalesce(F.lead(order).over(wn), F.col("_nextmin"))).drop("_nextmin")
     return out.drop("_bk", *[f"_o_{c}" for c in cols])
