@@ -43,22 +43,27 @@ def apply_platt(df: DataFrame, params: DataFrame, score: str = "score") -> DataF
     return j.select(*df.columns, sigmoid(F.col("a") * F.col(score) + F.col("b")).alias("p_cal"))
 
 
-def pav(x: np.ndarray, y: np.ndarray, w: np.ndarray):
-    """Weighted PAV on sorted unique x; returns block end points (x, fitted) as the library keeps them."""
-    vals, wts, starts = [], [], []
+def pav(x: np.ndarray, sy: np.ndarray, w: np.ndarray):
+    """Weighted PAV on sorted unique x with per-point sums (sum of y*w, sum of w).
+
+    Blocks keep exact sums and their value is sum_y / sum_w (one division), so a
+    fitted value does not depend on the pooling order. Returns the block end points
+    (x, fitted), as the reference library keeps them for interpolation.
+    """
+    bs, bw, starts = [], [], []
     for i in range(len(x)):
-        vals.append(y[i])
-        wts.append(w[i])
+        bs.append(float(sy[i]))
+        bw.append(float(w[i]))
         starts.append(i)
-        while len(vals) > 1 and vals[-2] >= vals[-1]:
-            v = (vals[-2] * wts[-2] + vals[-1] * wts[-1]) / (wts[-2] + wts[-1])
-            wt = wts[-2] + wts[-1]
-            vals.pop(), wts.pop(), starts.pop()
-            vals[-1], wts[-1] = v, wt
+        while len(bs) > 1 and bs[-2] / bw[-2] >= bs[-1] / bw[-1]:
+            s2, w2 = bs.pop(), bw.pop()
+            starts.pop()
+            bs[-1] += s2
+            bw[-1] += w2
     fitted = np.empty(len(x))
-    for k, s in enumerate(starts):
+    for k, st in enumerate(starts):
         e = starts[k + 1] if k + 1 < len(starts) else len(x)
-        fitted[s:e] = vals[k]
+        fitted[st:e] = bs[k] / bw[k]
     keep = np.ones(len(x), dtype=bool)
     if len(x) > 2:
         keep[1:-1] = np.logical_or(fitted[1:-1] != fitted[:-2], fitted[1:-1] != fitted[2:])
@@ -67,10 +72,7 @@ def pav(x: np.ndarray, y: np.ndarray, w: np.ndarray):
 
 def _pav_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("x")
-    x = pdf["x"].to_numpy(float)
-    w = pdf["w"].to_numpy(float)
-    y = pdf["sy"].to_numpy(float) / w
-    xs, ys = pav(x, y, w)
+    xs, ys = pav(pdf["x"].to_numpy(float), pdf["sy"].to_numpy(float), pdf["w"].to_numpy(float))
     return pd.DataFrame({"run": pdf["run"].iloc[0], "x": xs, "fitted": ys})
 
 

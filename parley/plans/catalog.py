@@ -5,4 +5,5 @@ from . import q_quality  # noqa: F401
 from . import q_split  # noqa: F401
 from . import q_metrics  # noqa: F401
 from . import q_models  # noqa: F401
+from . import q_fixed  # noqa: F401
 from .registry import ORACLE, QUERIES, entry_query  # noqa: F401
