@@ -86,14 +86,18 @@ def tree_grid():
     return out
 
 
-def fold_runs(data: DataFrame, cands: DataFrame, k: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(runs, train, valid): runs = candidates x folds; train rows carry the run whose fold they are not in."""
+def fold_runs(data: DataFrame, cands: DataFrame, k: int, fold_col: str = "fold", group_cols=()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, train, valid): runs = candidates x folds; train rows carry the run whose fold they are not in.
+
+    ``group_cols`` (present in both data and cands) further split runs, e.g. a feature set.
+    """
+    g = list(group_cols)
     runs = cands.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")).select(
-        F.concat_ws("#", "cand_id", F.col("k").cast("string")).alias("run"), "*"
+        F.concat_ws("#", "cand_id", *[F.col(c).cast("string") for c in g], F.col("k").cast("string")).alias("run"), "*"
     )
     others = data.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col(fold_col))).alias("k"))
-    train = others.join(runs.select("run", "k"), "k").drop("k")
-    valid = data.withColumn("k", F.col(fold_col)).join(runs.select("run", "k"), "k").drop("k")
+    train = others.join(runs.select("run", *g, "k"), [*g, "k"]).drop("k")
+    valid = data.withColumn("k", F.col(fold_col)).join(runs.select("run", *g, "k"), [*g, "k"]).drop("k")
     return runs, train, valid
 
 
@@ -140,7 +144,7 @@ def fit_and_score(runs: DataFrame, train: DataFrame, valid: DataFrame, feats=FEA
 
 def run_metrics(scored: DataFrame, runs: DataFrame, keys=("cand_id", "model", "k")) -> DataFrame:
     """Per-run metrics: labels by ``p1 > 0.5``, AUC on p1."""
-    s = scored.join(F.broadcast(runs.select("run", *keys)), "run")
+    s = scored.drop(*[c for c in keys if c in scored.columns]).join(F.broadcast(runs.select("run", *keys)), "run")
     return M.fold_metrics(s, "y", "p1", ["run", *keys], threshold=0.5, rule=">")
 
 
@@ -263,22 +267,32 @@ def feature_sets(feats=FEATS):
 
 
 def ablation(data: DataFrame, cands: DataFrame, k: int = 5, feats=FEATS) -> DataFrame:
-    """Leave-one-feature-out CV. A removed feature is replaced by a constant 0 column, which no
-    tree can split on and which standardises to 0 (coefficient 0) -- the same fit as dropping it."""
-    results = None
-    for name, removed, cols in feature_sets(feats):
-        d = data
-        if removed != "None":
-            d = data.withColumn(removed, F.lit(0).cast(data.schema[removed].dataType))
-        m = cross_validate(d, cands, k, feats)
-        summ = cv_summary(m, ["model"], sample_std=True)
-        summ = summ.select(
-            "model", F.lit(name).alias("feature_set"), F.lit(removed).alias("removed_feature"),
-            F.lit(", ".join(cols)).alias("features_used"), F.lit(len(cols)).alias("n_features"),
-            *[c for c in summ.columns if c != "model"],
-        )
-        results = summ if results is None else results.unionByName(summ)
-    return results
+    """Leave-one-feature-out CV, all feature sets in one batch of runs.
+
+    A removed feature is replaced by a constant 0, which no tree can split on and which
+    standardises to 0 (coefficient 0): the same fit as dropping the column.
+    """
+    sets = feature_sets(feats)
+    items = []
+    for name, removed, cols in sets:
+        items.append(F.struct(
+            F.lit(name).alias("feature_set"),
+            *[(F.col(c) if c in cols else F.lit(0).cast(data.schema[c].dataType)).alias(c) for c in feats],
+        ))
+    others = [c for c in data.columns if c not in feats]
+    d = data.select(*others, F.explode(F.array(*items)).alias("s")).select(*others, "s.*")
+    c = cands.select("*", F.explode(F.array(*[F.lit(n) for n, _, _ in sets])).alias("feature_set"))
+    runs, train, valid = fold_runs(d, c, k, group_cols=["feature_set"])
+    scored = fit_and_score(runs, train, valid, feats)
+    m = run_metrics(scored, runs, keys=("cand_id", "model", "feature_set", "k"))
+    summ = cv_summary(m, ["model", "feature_set"], sample_std=True)
+    meta = d.sparkSession.createDataFrame(
+        [(n, r, ", ".join(cols), len(cols)) for n, r, cols in sets],
+        "feature_set string, removed_feature string, features_used string, n_features int",
+    )
+    out = summ.join(F.broadcast(meta), "feature_set")
+    return out.select("model", "feature_set", "removed_feature", "features_used", "n_features",
+                      *[x for x in summ.columns if x not in ("model", "feature_set")])
 
 
 DROP_METRICS = ["accuracy_mean", "precision_mean", "recall_mean", "f1_mean", "roc_auc_mean"]
