@@ -19,11 +19,12 @@ impurities use class-weighted counts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import running_sums
 
 EPS = 1e-7
 MAX_TREE_DEPTH = 60  # heap node ids stay inside BIGINT
@@ -42,39 +43,67 @@ def impurity(w0: Column, w1: Column, criterion: Column) -> Column:
     return F.when(criterion == "entropy", ent).otherwise(gini)
 
 
-def split_candidates(rows: DataFrame, feats, keys=("run", "node")) -> DataFrame:
-    """(keys..., f, v, next_v, cum counts) for every distinct value of every feature in every node."""
-    keys = list(keys)
-    long = rows.select(
-        *keys,
-        "y",
-        "cnt",
-        "w",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(feats)])).alias("fv"),
-    ).select(*keys, "fv.f", "fv.v", "y", "cnt", "w")
-    per = long.groupBy(*keys, "f", "v").agg(
-        F.sum("cnt").alias("n"),
-        F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("w0"),
-        F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("w1"),
-    )
-    return running_sums(per, [*keys, "f"], "v", ["n", "w0", "w1"], with_next=True)
-
-
-def best_splits(cands: DataFrame, node_stats: DataFrame, keys=("run", "node")) -> DataFrame:
-    """Best valid split per node. node_stats: keys + n, w0, w1, criterion, msl (min samples per leaf)."""
-    keys = list(keys)
-    c = cands.where(F.col("next_v").isNotNull()).join(node_stats, keys)
-    ln, lw0, lw1 = F.col("cum_n"), F.col("cum_w0"), F.col("cum_w1")
-    rn, rw0, rw1 = F.col("n_node") - ln, F.col("w0_node") - lw0, F.col("w1_node") - lw1
-    crit = F.col("criterion")
-    score = (lw0 + lw1) * impurity(lw0, lw1, crit) + (rw0 + rw1) * impurity(rw0, rw1, crit)
-    mid = (F.col("v") + F.col("next_v")) / 2.0
-    thr = F.when(mid == F.col("next_v"), F.col("v")).otherwise(mid)
-    valid = c.where((ln >= F.col("msl")) & (rn >= F.col("msl"))).select(
-        *keys, score.alias("score"), F.col("f"), thr.alias("threshold"), ln.alias("n_left"), rn.alias("n_right")
-    )
-    best = valid.groupBy(*keys).agg(F.min(F.struct("score", "f", "threshold", "n_left", "n_right")).alias("b"))
-    return best.select(*keys, "b.score", F.col("b.f").alias("feature_index"), "b.threshold", "b.n_left", "b.n_right")
+def _view(df: DataFrame, prefix: str) -> str:
+    name = f"{prefix}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def _imp_sql(a: str, b: str) -> str:
+    n = f"({a} + {b})"
+    p0 = f"(CASE WHEN {n} > 0 THEN {a} / {n} ELSE 0.0D END)"
+    p1 = f"(CASE WHEN {n} > 0 THEN {b} / {n} ELSE 0.0D END)"
+    gini = f"(1.0D - {p0} * {p0} - {p1} * {p1})"
+    ent = f"(-((CASE WHEN {p0} > 0 THEN {p0} * log2({p0}) ELSE 0.0D END) + (CASE WHEN {p1} > 0 THEN {p1} * log2({p1}) ELSE 0.0D END)))"
+    return f"(CASE WHEN criterion = 'entropy' THEN {ent} ELSE {gini} END)"
+
+
+WINDOW_LIMIT = 1_000_000  # rows per node up to which one window per (node, feature) is used
+
+
+def best_splits(rows: DataFrame, node_stats: DataFrame, feats, keys=("run", "node"), n_buckets: int = 64,
+                bucketed: bool = True) -> DataFrame:
+    """Best valid split per node, as one SQL statement.
+
+    rows: keys + feats + (y, cnt, w); node_stats: keys + (n_node, w0_node, w1_node,
+    criterion, msl). Class counts per (node, feature, value) are aggregated, running sums
+    over the value order use order-preserving buckets (approximate quantile bounds per
+    group, exact offsets from bucket totals), midpoints use the next distinct value, and
+    the winner is ``min(struct(score, feature, threshold))`` per node.
+    """
+    spark = rows.sparkSession
+    rv, sv = _view(rows, "parley_rows"), _view(node_stats, "parley_nodes")
+    k = ", ".join(keys)
+    structs = ", ".join(f"named_struct('f', {i}, 'v', CAST({c} AS DOUBLE))" for i, c in enumerate(feats))
+    probs = ", ".join(repr(i / n_buckets) for i in range(1, n_buckets))
+    score = f"(lw0 + lw1) * {_imp_sql('lw0', 'lw1')} + (rw0 + rw1) * {_imp_sql('rw0', 'rw1')}"
+    if bucketed:
+        buckets = f"""bnd AS (SELECT {k}, f, percentile_approx(v, array({probs}), 1000) AS bnds FROM per GROUP BY {k}, f),
+    bkt AS (SELECT p.*, size(filter(b.bnds, x -> x < p.v)) AS bk FROM per p JOIN bnd b USING ({k}, f)),"""
+    else:  # every group is small (size-checked by the caller): one bucket, one window per group
+        buckets = "bkt AS (SELECT p.*, 0 AS bk FROM per p),"
+    sql = f"""
+    WITH act AS (SELECT r.* FROM {rv} r LEFT SEMI JOIN {sv} s USING ({k})),
+    lng AS (SELECT {k}, y, cnt, w, inline(array({structs})) FROM act),
+    per AS (SELECT {k}, f, v, sum(cnt) AS n, sum(CASE WHEN y = 0 THEN w ELSE 0.0D END) AS w0,
+                   sum(CASE WHEN y = 1 THEN w ELSE 0.0D END) AS w1 FROM lng GROUP BY {k}, f, v),
+    {buckets}
+    tot AS (SELECT {k}, f, bk, sum(n) AS tn, sum(w0) AS tw0, sum(w1) AS tw1, min(v) AS mn FROM bkt GROUP BY {k}, f, bk),
+    off AS (SELECT {k}, f, bk, coalesce(sum(tn) OVER wb, 0) AS o_n, coalesce(sum(tw0) OVER wb, 0.0D) AS o_w0,
+                   coalesce(sum(tw1) OVER wb, 0.0D) AS o_w1, lead(mn) OVER (PARTITION BY {k}, f ORDER BY bk) AS nextmin
+            FROM tot WINDOW wb AS (PARTITION BY {k}, f ORDER BY bk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    cum AS (SELECT {k}, f, v, o_n + sum(n) OVER wl AS ln, o_w0 + sum(w0) OVER wl AS lw0, o_w1 + sum(w1) OVER wl AS lw1,
+                   coalesce(lead(v) OVER (PARTITION BY {k}, f, bk ORDER BY v), nextmin) AS next_v
+            FROM bkt JOIN off USING ({k}, f, bk)
+            WINDOW wl AS (PARTITION BY {k}, f, bk ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    cand AS (SELECT {k}, f, ln, n_node - ln AS rn, lw0, lw1, w0_node - lw0 AS rw0, w1_node - lw1 AS rw1, criterion,
+                    CASE WHEN (v + next_v) / 2.0D = next_v THEN v ELSE (v + next_v) / 2.0D END AS threshold
+             FROM cum JOIN {sv} USING ({k}) WHERE next_v IS NOT NULL AND ln >= msl AND n_node - ln >= msl),
+    scored AS (SELECT {k}, f, threshold, ln, rn, {score} AS score FROM cand)
+    SELECT {k}, b.score AS score, b.f AS feature_index, b.threshold AS threshold, b.ln AS n_left, b.rn AS n_right
+    FROM (SELECT {k}, min(named_struct('score', score, 'f', f, 'threshold', threshold, 'ln', ln, 'rn', rn)) AS b
+          FROM scored GROUP BY {k})"""
+    return spark.sql(sql)
 
 
 def _node_stats(rows: DataFrame) -> DataFrame:
@@ -139,8 +168,8 @@ def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFra
         open_nodes = stats.where("can_split").select(
             "run", "node", "n_node", "w0_node", "w1_node", "criterion", F.col("min_samples_leaf").alias("msl")
         )
-        active = rows.join(open_nodes.select("run", "node"), ["run", "node"], "left_semi")
-        best = best_splits(split_candidates(active, feats), open_nodes)
+        largest = open_nodes.agg(F.max("n_node")).first()[0] or 0  # size check on a per-node table
+        best = best_splits(rows, open_nodes, feats, bucketed=largest > WINDOW_LIMIT)
         level = stats.join(best, ["run", "node"], "left").select(
             "run",
             "node",
@@ -177,20 +206,26 @@ def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFra
 
 
 def apply_trees(rows: DataFrame, nodes: DataFrame, feats, keep=()) -> DataFrame:
-    """Route (run, feats..., keep...) rows to their leaves: one join per tree level. Adds ``p1`` and ``leaf``."""
+    """Route (run, feats..., keep...) rows to their leaves: one join per tree level.
+
+    Each level's routed rows are checkpointed, so level d runs one join (not d) and the
+    final union reads the per-level results. Adds ``p1`` and ``leaf``.
+    """
     max_depth = nodes.agg(F.max("depth")).first()[0] or 0
     nd = nodes.select("run", "node", "is_leaf", "feature_index", "threshold", "p1")
     cur = rows.withColumn("node", F.lit(0).cast("bigint"))
     xf = F.element_at(F.array(*[F.col(c).cast("double") for c in feats]), F.col("feature_index") + 1)
-    done = None
+    parts = []
     for _ in range(max_depth + 1):
-        j = cur.join(nd, ["run", "node"])
-        leaf = j.where("is_leaf").select(*rows.columns, F.col("node").alias("leaf"), "p1")
-        done = leaf if done is None else done.unionByName(leaf)
+        j = cut_lineage(cur.join(nd, ["run", "node"]))
+        parts.append(j.where("is_leaf").select(*rows.columns, F.col("node").alias("leaf"), "p1"))
         cur = j.where(~F.col("is_leaf")).select(
             *rows.columns, (F.col("node") * 2 + 1 + F.when(xf > F.col("threshold"), 1).otherwise(0)).alias("node")
         )
-    return done
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def importances(nodes: DataFrame, feats) -> DataFrame:

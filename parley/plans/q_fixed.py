@@ -33,7 +33,8 @@ def _best_split(spark, sf_dir, criterion):
         F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("w0_node"),
         F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("w1_node"),
     ).select("*", F.lit(criterion).alias("criterion"), F.lit(1).alias("msl"))
-    best = TR.best_splits(TR.split_candidates(rows, SPLIT_FEATS), stats)
+    largest = stats.agg(F.max("n_node")).first()[0] or 0
+    best = TR.best_splits(rows, stats, SPLIT_FEATS, bucketed=largest > TR.WINDOW_LIMIT)
     return best.select(
         "node",
         F.element_at(F.array(*[F.lit(c) for c in SPLIT_FEATS]), F.col("feature_index") + 1).alias("feature"),

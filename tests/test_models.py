@@ -121,3 +121,22 @@ def test_published_rules_roundtrip():
     assert tree[0] == "split" and tree[1] == "turn_count" and tree[2] == 14.5
     sql = TT.rules_sql(tree)
     assert sql.count("CASE WHEN") == 16  # 49 lines = 3 * 16 splits + 1
+
+
+def test_bucketed_and_window_split_search_agree(spark):
+    rng = np.random.default_rng(8)
+    n = 3000
+    X = np.round(rng.normal(0, 1, (n, 2)), 3)
+    y = ((X[:, 0] + 0.3 * X[:, 1]) > 0.2).astype(int)
+    rows = spark.createDataFrame(
+        [("r", int(i % 3), float(a), float(b), int(t), 1, 1.0) for i, ((a, b), t) in enumerate(zip(X, y))],
+        "run string, node long, a double, b double, y int, cnt long, w double",
+    )
+    stats = rows.groupBy("run", "node").agg(
+        F.sum("cnt").alias("n_node"),
+        F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("w0_node"),
+        F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("w1_node"),
+    ).select("*", F.lit("gini").alias("criterion"), F.lit(5).alias("msl"))
+    a = {tuple(r) for r in TR.best_splits(rows, stats, ["a", "b"], n_buckets=16, bucketed=True).collect()}
+    b = {tuple(r) for r in TR.best_splits(rows, stats, ["a", "b"], bucketed=False).collect()}
+    assert a == b and len(a) == 3
