@@ -23,10 +23,24 @@ TOL = 1e-9
 
 
 def run_stats(train: DataFrame, feats) -> DataFrame:
-    aggs = []
+    """Mean and population std per run (row counts in ``cnt`` when rows are pre-compacted)."""
+    if "cnt" not in train.columns:
+        aggs = []
+        for c in feats:
+            aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
+        return train.groupBy("run").agg(*aggs)
+    n = F.sum("cnt")
+    aggs = [n.alias("_n")]
     for c in feats:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
-    return train.groupBy("run").agg(*aggs)
+        aggs += [F.sum(F.col("cnt") * F.col(c)).alias(f"_s_{c}")]
+    m = train.groupBy("run").agg(*aggs)
+    means = m.select("run", "_n", *[(F.col(f"_s_{c}") / F.col("_n")).alias(f"{c}__mean") for c in feats])
+    dev = train.join(F.broadcast(means), "run").groupBy("run").agg(
+        *[F.sum(F.col("cnt") * (F.col(c) - F.col(f"{c}__mean")) * (F.col(c) - F.col(f"{c}__mean"))).alias(f"_v_{c}") for c in feats],
+        F.first("_n").alias("_n"),
+    )
+    out = means.drop("_n").join(dev, "run")
+    return out.select("run", *[x for c in feats for x in (F.col(f"{c}__mean"), F.sqrt(F.col(f"_v_{c}") / F.col("_n")).alias(f"{c}__std"))])
 
 
 def _z(feats):
@@ -39,7 +53,8 @@ def _z(feats):
 def compact_standardized(train: DataFrame, params: DataFrame, feats, y: str = "y") -> tuple[DataFrame, DataFrame]:
     """(run, z0..z{d-1}, y, w) with w = count * class weight, plus the per-run stats table."""
     stats = run_stats(train, feats)
-    compact = train.groupBy("run", *feats, F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("cnt"))
+    n = F.sum("cnt") if "cnt" in train.columns else F.count(F.lit(1))
+    compact = train.groupBy("run", *feats, F.col(y).alias("y")).agg(n.alias("cnt"))
     cls = compact.groupBy("run", "y").agg(F.sum("cnt").alias("n_c"))
     tot = cls.groupBy("run").agg(F.sum("n_c").alias("n_run"), F.count(F.lit(1)).alias("k"))
     cw = cls.join(tot, "run").join(params.select("run", "balanced"), "run").select(

@@ -65,15 +65,17 @@ def classification_metrics(df: DataFrame, y: str, pred: str, keys=()) -> DataFra
     return c.select(*keys, "true_negative", "false_positive", "false_negative", "true_positive", *metric_columns())
 
 
-def roc_auc(df: DataFrame, y: str, score: str, keys=()) -> DataFrame:
+def roc_auc(df: DataFrame, y: str, score: str, keys=(), weight: str | None = None) -> DataFrame:
     """Tie-aware ROC AUC (Mann-Whitney): sum over scores of n_pos * (neg_below + n_neg / 2) / (P * N).
 
     Scores are compacted to (keys, score, n_pos, n_neg) first; the running count of
     negatives uses the bucketed prefix sum, so no group is sorted in one task.
     """
     keys = list(keys)
+    wc = F.col(weight) if weight else F.lit(1)
     compact = df.groupBy(*keys, score).agg(
-        F.count_if(F.col(y) == 1).alias("n_pos"), F.count_if(F.col(y) == 0).alias("n_neg")
+        F.sum(F.when(F.col(y) == 1, wc).otherwise(0)).cast("bigint").alias("n_pos"),
+        F.sum(F.when(F.col(y) == 0, wc).otherwise(0)).cast("bigint").alias("n_neg"),
     )
     cum = running_sums(compact, keys, score, ["n_neg"])
     part = cum.select(
@@ -92,19 +94,26 @@ def brier(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     return df.groupBy(*keys).agg(rnd(F.avg(d * d)).alias("brier_score"))
 
 
-def fold_metrics(df: DataFrame, y: str, p: str, keys, threshold: float = 0.5, rule: str = ">=") -> DataFrame:
-    """accuracy/precision/recall/f1 at a threshold + AUC + Brier per group (one aggregate + one AUC pass)."""
+def fold_metrics(df: DataFrame, y: str, p: str, keys, threshold: float = 0.5, rule: str = ">=", weight: str | None = None) -> DataFrame:
+    """accuracy/precision/recall/f1 at a threshold + AUC + Brier per group (one aggregate + one AUC pass).
+
+    ``weight`` holds row multiplicities when rows were compacted (integer counts)."""
     pred = binarize(p, threshold) if rule == ">=" else (F.col(p) > F.lit(threshold)).cast("int")
-    scored = df.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p"), pred.alias("_pred"))
+    wc = F.col(weight) if weight else F.lit(1)
+    scored = df.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p"), pred.alias("_pred"), wc.cast("bigint").alias("_w"))
     d = F.col("_p") - F.col("_y")
+
+    def cnt(cond):
+        return F.sum(F.when(cond, F.col("_w")).otherwise(0)).cast("bigint")
+
     base = scored.groupBy(*keys).agg(
-        F.count_if((F.col("_y") == 0) & (F.col("_pred") == 0)).alias("true_negative"),
-        F.count_if((F.col("_y") == 0) & (F.col("_pred") == 1)).alias("false_positive"),
-        F.count_if((F.col("_y") == 1) & (F.col("_pred") == 0)).alias("false_negative"),
-        F.count_if((F.col("_y") == 1) & (F.col("_pred") == 1)).alias("true_positive"),
-        F.avg(d * d).alias("brier_score"),
+        cnt((F.col("_y") == 0) & (F.col("_pred") == 0)).alias("true_negative"),
+        cnt((F.col("_y") == 0) & (F.col("_pred") == 1)).alias("false_positive"),
+        cnt((F.col("_y") == 1) & (F.col("_pred") == 0)).alias("false_negative"),
+        cnt((F.col("_y") == 1) & (F.col("_pred") == 1)).alias("true_positive"),
+        (F.sum(F.col("_w") * d * d) / F.sum("_w")).alias("brier_score"),
     )
-    auc = roc_auc(scored, "_y", "_p", keys).select(*keys, "roc_auc")
+    auc = roc_auc(scored, "_y", "_p", keys, weight="_w").select(*keys, "roc_auc")
     return base.join(auc, list(keys)).select(
         *keys, *[rnd(c).alias(n) for n, c in metric_pairs()], "roc_auc", rnd(F.col("brier_score")).alias("brier_score")
     )

@@ -95,6 +95,9 @@ def fold_runs(data: DataFrame, cands: DataFrame, k: int, fold_col: str = "fold",
     runs = cands.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")).select(
         F.concat_ws("#", "cand_id", *[F.col(c).cast("string") for c in g], F.col("k").cast("string")).alias("run"), "*"
     )
+    # compact before the fan-out: one row per distinct (group, fold, features, y) with its count
+    feats_in = [c for c in FEATS if c in data.columns]
+    data = data.groupBy(*g, fold_col, *feats_in, "y").agg(F.count(F.lit(1)).alias("cnt"))
     others = data.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col(fold_col))).alias("k"))
     train = others.join(runs.select("run", *g, "k"), [*g, "k"]).drop("k")
     valid = data.withColumn("k", F.col(fold_col)).join(runs.select("run", *g, "k"), [*g, "k"]).drop("k")
@@ -108,14 +111,15 @@ def fit_models(runs: DataFrame, train: DataFrame, feats=FEATS):
     lr_runs = runs.where(F.col("model") == LR_NAME)
     dt_runs = runs.where(F.col("model") == TREE_NAME)
     lr_models = nodes = None
+    w = ["cnt"] if "cnt" in train.columns else []
     if not lr_runs.isEmpty():
         tr = train.join(lr_runs.select("run"), "run", "left_semi")
-        lr_models = LIN.fit_runs(tr.select("run", *feats, "y"), lr_runs.select("run", "C", "l1", "balanced"), feats)
+        lr_models = LIN.fit_runs(tr.select("run", *feats, "y", *w), lr_runs.select("run", "C", "l1", "balanced"), feats)
         lr_models = cut_lineage(lr_models)
     if not dt_runs.isEmpty():
         tr = train.join(dt_runs.select("run"), "run", "left_semi")
         nodes = TR.fit_trees(
-            tr.select("run", *feats, "y"),
+            tr.select("run", *feats, "y", *w),
             dt_runs.select("run", "criterion", "max_depth", "min_samples_split", "min_samples_leaf", "balanced"),
             feats,
         )
@@ -145,7 +149,8 @@ def fit_and_score(runs: DataFrame, train: DataFrame, valid: DataFrame, feats=FEA
 def run_metrics(scored: DataFrame, runs: DataFrame, keys=("cand_id", "model", "k")) -> DataFrame:
     """Per-run metrics: labels by ``p1 > 0.5``, AUC on p1."""
     s = scored.drop(*[c for c in keys if c in scored.columns]).join(F.broadcast(runs.select("run", *keys)), "run")
-    return M.fold_metrics(s, "y", "p1", ["run", *keys], threshold=0.5, rule=">")
+    w = "cnt" if "cnt" in s.columns else None
+    return M.fold_metrics(s, "y", "p1", ["run", *keys], threshold=0.5, rule=">", weight=w)
 
 
 def cv_summary(metrics: DataFrame, keys=("cand_id", "model"), sample_std: bool = False) -> DataFrame:

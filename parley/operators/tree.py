@@ -135,7 +135,8 @@ def tree_params(runs: DataFrame) -> DataFrame:
 
 def weighted_rows(train: DataFrame, params: DataFrame, feats, y: str = "y") -> DataFrame:
     """Compact (run, features, y) -> cnt and attach the class weight (``balanced`` = n / (2 n_c) per run)."""
-    compact = train.groupBy("run", *feats, F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("cnt"))
+    n = F.sum("cnt") if "cnt" in train.columns else F.count(F.lit(1))
+    compact = train.groupBy("run", *feats, F.col(y).alias("y")).agg(n.alias("cnt"))
     cls = compact.groupBy("run", "y").agg(F.sum("cnt").alias("n_c"))
     tot = cls.groupBy("run").agg(F.sum("n_c").alias("n_run"), F.count(F.lit(1)).alias("k"))
     cw = cls.join(tot, "run").join(params.select("run", "balanced"), "run").select(
