@@ -236,7 +236,8 @@ def nested_calibration(data: DataFrame, nested: DataFrame, cands: DataFrame, met
     )
     val = data.select("orig_index", *feats, "y", F.col("fold").alias("k"),
                       F.explode(F.sequence(F.lit(0), F.lit(k_inner - 1))).alias("j")).join(base.select("run", "k", "j"), ["k", "j"])
-    lr_models, nodes = fit_models(base, tr.select("run", *feats, "y"), feats)
+    tr = tr.groupBy("run", *feats, "y").agg(F.count(F.lit(1)).alias("cnt"))  # compact before fitting
+    lr_models, nodes = fit_models(base, tr, feats)
     cal_s = cut_lineage(score_models(cal.select("run", "orig_index", *feats, "y"), lr_models, nodes, feats))
     val_s = cut_lineage(score_models(val.select("run", "orig_index", *feats, "y"), lr_models, nodes, feats))
     pieces = []

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 DIGITS = 10  # output rounding of float aggregates (order-independent results)
 
 
@@ -35,12 +37,12 @@ def long_form(df: DataFrame, cols, name: str = "feature", value: str = "value")
 def exact_quantiles(df: DataFrame, group: str, value: str, qs) -> DataFrame:
     """Linear-interpolated quantiles (pandas/``quantile_cont``), exact, per group.
 
-    Values are first compacted to (group, value, count), so the ordered pass runs over
-    distinct values only; ranks come from a running count. Result: (group, q, quantile).
+    Values are first compacted to (group, value, count); ranks come from a bucketed running
+    count over the distinct values. Result: (group, q, quantile).
     """
     compact = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = compact.select(group, value, (F.sum("c").over(w) - F.col("c")).alias("lo"), F.sum("c").over(w).alias("hi"))
+    cum = running_sums(compact, [group], value, ["c"])  # bucketed: no group sorted in one task
+    ranked = cum.select(group, value, (F.col("cum_c") - F.col("c")).alias("lo"), F.col("cum_c").alias("hi"))
     totals = compact.groupBy(group).agg(F.sum("c").alias("n"))
     qdf = totals.select(group, "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).select(
         group, "q", (F.col("q") * (F.col("n") - 1)).alias("h")
