@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import running_sums
 
 DIGITS = 10
@@ -77,6 +78,7 @@ def roc_auc(df: DataFrame, y: str, score: str, keys=(), weight: str | None = Non
         F.sum(F.when(F.col(y) == 1, wc).otherwise(0)).cast("bigint").alias("n_pos"),
         F.sum(F.when(F.col(y) == 0, wc).otherwise(0)).cast("bigint").alias("n_neg"),
     )
+    compact = cut_lineage(compact)  # small (distinct scores); read twice below, the source only once
     cum = running_sums(compact, keys, score, ["n_neg"])
     part = cum.select(
         *keys,

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .metrics import zdiv
 
 GRID_LO, GRID_HI = 5, 95  # thresholds 0.05 .. 0.95 step 0.01 (k / 100)
@@ -44,6 +45,7 @@ def sweep(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     per = df.groupBy(*keys, grid_index(p).alias("g")).agg(
         F.count_if(F.col(y) == 1).alias("n_pos"), F.count_if(F.col(y) == 0).alias("n_neg")
     )
+    per = cut_lineage(per)  # at most 92 rows per group; the source is scanned once
     tot = per.groupBy(*keys).agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
     grid = tot.select(*keys, "P", "N", F.explode(F.sequence(F.lit(GRID_LO), F.lit(GRID_HI))).alias("g"))
     full = grid.join(per.where(F.col("g") >= GRID_LO), [*keys, "g"], "left").fillna(0, ["n_pos", "n_neg"])
