@@ -93,8 +93,11 @@ def isotonic_model(fit: DataFrame) -> DataFrame:
 
 
 def apply_isotonic(df: DataFrame, model: DataFrame, score: str = "score") -> DataFrame:
-    """Linear interpolation between block end points, clipped to the end values."""
-    j = df.join(F.broadcast(model), "run")
+    """Linear interpolation between block end points, clipped to the end values.
+
+    The model table (one row per run) is joined without a hint: AQE broadcasts it only
+    when its measured size is under the broadcast threshold."""
+    j = df.join(model, "run")
     s = F.col(score).cast("double")
     k = F.size(F.filter("xs", lambda x: x <= s))  # number of thresholds <= s
     n = F.size("xs")
