@@ -206,12 +206,38 @@ def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFra
     return out
 
 
-def apply_trees(rows: DataFrame, nodes: DataFrame, feats, keep=()) -> DataFrame:
-    """Route (run, feats..., keep...) rows to their leaves: one join per tree level.
+COMPILE_NODE_LIMIT = 2000  # node rows up to which fitted trees are applied as one CASE expression
+COMPILE_RUN_LIMIT = 64
 
-    Each level's routed rows are checkpointed, so level d runs one join (not d) and the
-    final union reads the per-level results. Adds ``p1`` and ``leaf``.
+
+def _tree_expr(tree: dict, node: int, feats):
+    is_leaf, fi, thr, p1 = tree[node]
+    if is_leaf:
+        return F.struct(F.lit(node).cast("bigint").alias("leaf"), F.lit(float(p1)).alias("p1"))
+    x = F.col(feats[fi]).cast("double")
+    return F.when(x > F.lit(float(thr)), _tree_expr(tree, 2 * node + 2, feats)).otherwise(_tree_expr(tree, 2 * node + 1, feats))
+
+
+def apply_trees(rows: DataFrame, nodes: DataFrame, feats, keep=(), compile_limit: int = COMPILE_NODE_LIMIT) -> DataFrame:
+    """Route (run, feats..., keep...) rows to their leaves; adds ``p1`` and ``leaf``.
+
+    Size-checked: a small node table (model parameters, <= ``compile_limit`` rows and
+    <= 64 runs) becomes one nested CASE per run, a narrow projection with no join.
+    Larger forests are routed level by level, one join per level with the routed rows
+    checkpointed, so level d runs one join (not d).
     """
+    n_nodes = nodes.count()
+    if n_nodes <= compile_limit:
+        trees: dict = {}
+        for r in nodes.select("run", "node", "is_leaf", "feature_index", "threshold", "p1").collect():
+            trees.setdefault(r["run"], {})[int(r["node"])] = (r["is_leaf"], r["feature_index"], r["threshold"], r["p1"])
+        if len(trees) <= COMPILE_RUN_LIMIT:
+            expr = None
+            for run, tree in sorted(trees.items()):
+                e = _tree_expr(tree, 0, feats)
+                expr = F.when(F.col("run") == F.lit(run), e) if expr is None else expr.when(F.col("run") == F.lit(run), e)
+            out = rows.join(nodes.select("run").distinct(), "run", "left_semi").select("*", expr.alias("_leaf"))
+            return out.select(*rows.columns, F.col("_leaf.leaf").alias("leaf"), F.col("_leaf.p1").alias("p1"))
     max_depth = nodes.agg(F.max("depth")).first()[0] or 0
     nd = nodes.select("run", "node", "is_leaf", "feature_index", "threshold", "p1")
     cur = rows.withColumn("node", F.lit(0).cast("bigint"))

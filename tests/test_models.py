@@ -140,3 +140,18 @@ def test_bucketed_and_window_split_search_agree(spark):
     a = {tuple(r) for r in TR.best_splits(rows, stats, ["a", "b"], n_buckets=16, bucketed=True).collect()}
     b = {tuple(r) for r in TR.best_splits(rows, stats, ["a", "b"], bucketed=False).collect()}
     assert a == b and len(a) == 3
+
+
+def test_compiled_and_joined_tree_routing_agree(spark):
+    rng = np.random.default_rng(9)
+    X = rng.integers(0, 10, (400, 3)).astype(float)
+    y = ((X[:, 0] + X[:, 2] > 9) ^ (rng.random(400) < 0.15)).astype(int)
+    df = spark.createDataFrame(
+        [(f"r{i % 2}", i, *map(float, x), int(t)) for i, (x, t) in enumerate(zip(X, y))],
+        "run string, id int, a double, b double, c double, y int",
+    )
+    runs = spark.createDataFrame([("r0", "gini", 4), ("r1", "entropy", 6)], "run string, criterion string, max_depth int")
+    nodes = TR.fit_trees(df.select("run", "a", "b", "c", "y"), runs, ["a", "b", "c"])
+    fast = {(r.run, r.id): (r.leaf, r.p1) for r in TR.apply_trees(df, nodes, ["a", "b", "c"]).collect()}
+    slow = {(r.run, r.id): (r.leaf, r.p1) for r in TR.apply_trees(df, nodes, ["a", "b", "c"], compile_limit=0).collect()}
+    assert fast == slow and len(fast) == 400
