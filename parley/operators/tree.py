@@ -145,61 +145,72 @@ def weighted_rows(train: DataFrame, params: DataFrame, feats, y: str = "y") -> D
     return compact.join(F.broadcast(cw), ["run", "y"]).select("run", *feats, "y", "cnt", (F.col("cnt") * F.col("cw")).alias("w"))
 
 
-def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFrame:
-    """Grow one tree per run. ``train`` has (run, feats..., y); ``runs`` has the parameters.
+def _level(rows: DataFrame, params: DataFrame, feats, depth: int, bucketed: bool) -> DataFrame:
+    """One tree level for every run: node statistics, stopping rules, best split, node rows."""
+    stats = _node_stats(rows).join(F.broadcast(params), "run")  # params: one row per run
+    imp = impurity(F.col("w0_node"), F.col("w1_node"), F.col("criterion"))
+    stats = stats.withColumn("impurity", imp).withColumn(
+        "can_split",
+        (F.lit(depth) < F.col("max_depth"))
+        & (F.col("n_node") >= F.col("min_samples_split"))
+        & (F.col("n_node") >= 2 * F.col("min_samples_leaf"))
+        & (F.col("impurity") > F.lit(EPS)),
+    )
+    open_nodes = stats.where("can_split").select(
+        "run", "node", "n_node", "w0_node", "w1_node", "criterion", F.col("min_samples_leaf").alias("msl")
+    )
+    best = best_splits(rows, open_nodes, feats, bucketed=bucketed)
+    return stats.join(best, ["run", "node"], "left").select(
+        "run",
+        "node",
+        F.lit(depth).alias("depth"),
+        F.col("n_node").alias("n"),
+        "c0",
+        "c1",
+        F.col("w0_node").alias("w0"),
+        F.col("w1_node").alias("w1"),
+        "impurity",
+        F.col("feature_index").isNull().alias("is_leaf"),
+        "feature_index",
+        F.element_at(F.array(*[F.lit(c) for c in feats]), F.col("feature_index") + 1).alias("feature"),
+        "threshold",
+        ((F.col("w0_node") + F.col("w1_node")) * F.col("impurity") - F.col("score")).alias("decrease"),
+        (F.col("w1_node") / (F.col("w0_node") + F.col("w1_node"))).alias("p1"),
+        "n_left",
+        "n_right",
+    )
+
 
-    Returns the node table: (run, node, depth, n, c0, c1, w0, w1, impurity, is_leaf,
-    feature_index, feature, threshold, decrease, p1).
+def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFrame:
+    """Grow one tree per run. ``train`` has (run, feats..., y[, cnt]); ``runs`` has the parameters.
+
+    Per level: one job builds the level (statistics + split search, checkpointed), one
+    small job reads the number of splits and the largest child, one job moves the
+    rows to the children (checkpointed). The split strategy is size-checked with the
+    largest node's exact row count. Returns the node table: (run, node, depth, n, c0,
+    c1, w0, w1, impurity, is_leaf, feature_index, feature, threshold, decrease, p1,
+    n_left, n_right).
     """
-    params = tree_params(runs)
+    params = cut_lineage(tree_params(runs))
     rows = cut_lineage(weighted_rows(train, params, feats, y).withColumn("node", F.lit(0).cast("bigint")))
+    largest = rows.groupBy("run").agg(F.sum("cnt").alias("n")).agg(F.max("n")).first()[0] or 0
     levels = []
     depth = 0
+    xf = F.element_at(F.array(*[F.col(c).cast("double") for c in feats]), F.col("feature_index") + 1)
     while True:
-        stats = _node_stats(rows).join(F.broadcast(params), "run")
-        imp = impurity(F.col("w0_node"), F.col("w1_node"), F.col("criterion"))
-        stats = stats.withColumn("impurity", imp).withColumn(
-            "can_split",
-            (F.lit(depth) < F.col("max_depth"))
-            & (F.col("n_node") >= F.col("min_samples_split"))
-            & (F.col("n_node") >= 2 * F.col("min_samples_leaf"))
-            & (F.col("impurity") > F.lit(EPS)),
-        )
-        stats = cut_lineage(stats)
-        open_nodes = stats.where("can_split").select(
-            "run", "node", "n_node", "w0_node", "w1_node", "criterion", F.col("min_samples_leaf").alias("msl")
-        )
-        largest = open_nodes.agg(F.max("n_node")).first()[0] or 0  # size check on a per-node table
-        best = best_splits(rows, open_nodes, feats, bucketed=largest > WINDOW_LIMIT)
-        level = stats.join(best, ["run", "node"], "left").select(
-            "run",
-            "node",
-            F.lit(depth).alias("depth"),
-            F.col("n_node").alias("n"),
-            "c0",
-            "c1",
-            F.col("w0_node").alias("w0"),
-            F.col("w1_node").alias("w1"),
-            "impurity",
-            F.col("feature_index").isNull().alias("is_leaf"),
-            "feature_index",
-            F.element_at(F.array(*[F.lit(c) for c in feats]), F.col("feature_index") + 1).alias("feature"),
-            "threshold",
-            ((F.col("w0_node") + F.col("w1_node")) * F.col("impurity") - F.col("score")).alias("decrease"),
-            (F.col("w1_node") / (F.col("w0_node") + F.col("w1_node"))).alias("p1"),
-        )
-        level = cut_lineage(level)
+        level = cut_lineage(_level(rows, params, feats, depth, bucketed=largest > WINDOW_LIMIT))
         levels.append(level)
-        splits = level.where(~F.col("is_leaf")).select("run", "node", "feature_index", "threshold")
-        xf = F.element_at(F.array(*[F.col(c).cast("double") for c in feats]), F.col("feature_index") + 1)
-        rows = rows.join(splits, ["run", "node"]).select(
-            "run", *feats, "y", "cnt", "w",
-            (F.col("node") * 2 + 1 + F.when(xf > F.col("threshold"), 1).otherwise(0)).alias("node"),
-        )
+        splits = level.where(~F.col("is_leaf")).select("run", "node", "feature_index", "threshold", "n_left", "n_right")
+        n_splits, largest = splits.agg(F.count(F.lit(1)), F.max(F.greatest("n_left", "n_right"))).first()
         depth += 1
-        if depth > MAX_TREE_DEPTH or splits.isEmpty():
+        if not n_splits or depth > MAX_TREE_DEPTH:
             break
-        rows = cut_lineage(rows)
+        rows = cut_lineage(
+            rows.join(splits.select("run", "node", "feature_index", "threshold"), ["run", "node"]).select(
+                "run", *feats, "y", "cnt", "w",
+                (F.col("node") * 2 + 1 + F.when(xf > F.col("threshold"), 1).otherwise(0)).alias("node"),
+            )
+        )
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
