@@ -45,7 +45,9 @@ def q_thread_features(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    return src.table(spark, sf_dir, "documents").select("doc_id", "text")
+    from ..session import spread
+
+    return spread(src.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @register(
