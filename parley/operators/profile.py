@@ -62,8 +62,13 @@ def exact_quantiles(df: DataFrame, group: str, value: str, qs) -> DataFrame:
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
-    """pandas ``describe()`` in long form: count, mean, sample std, min, quartiles, max."""
-    lf = long_form(df, cols)
+    """pandas ``describe()`` in long form: count, mean, sample std, min, quartiles, max.
+
+    The long form (rows x features, numeric only) is checkpointed once: the moments and
+    the quantile passes then read it instead of re-running the plan that produced it."""
+    from ..session import cut_lineage
+
+    lf = cut_lineage(long_form(df, cols))
     basic = lf.groupBy("feature").agg(
         F.count("value").cast("double").alias("count"),
         rnd(F.avg("value")).alias("mean"),

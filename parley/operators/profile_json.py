@@ -33,11 +33,20 @@ def _map(d: dict):
 
 
 def dataset_profile(raw: DataFrame, turns: DataFrame, feats: DataFrame) -> DataFrame:
-    counts = prof.row_counts(raw, turns, feats).withColumn("k", F.lit(1))
-    labels = []
+    """Each input is aggregated once: its label distribution (checkpointed, a few rows) also
+    gives its row count; the small per-thread feature table is checkpointed before describe."""
+    from ..session import cut_lineage
+
+    feats = cut_lineage(feats)
+    labels, totals = [], []
     for name, df, col in [("raw_data", raw, "label"), ("parsed_data", turns, "thread_label"), ("feature_data", feats, "thread_label")]:
-        m = prof.as_count_map(prof.label_distribution(df, col, name)).withColumnRenamed("counts", name).withColumn("k", F.lit(1))
-        labels.append(m)
+        dist = cut_lineage(prof.label_distribution(df, col, name))
+        labels.append(prof.as_count_map(dist).withColumnRenamed("counts", name).withColumn("k", F.lit(1)))
+        totals.append(dist.agg(F.sum("n").alias(name)).withColumn("k", F.lit(1)))
+    counts = totals[0].join(totals[1], "k").join(totals[2], "k").select(
+        "k", F.col("raw_data").alias("raw_rows"), F.col("parsed_data").alias("parsed_turn_rows"),
+        F.col("feature_data").alias("thread_feature_rows"),
+    )
     desc = prof.describe(feats, STRUCTURAL_FEATURES)
     stats = desc.agg(
         F.map_from_entries(
