@@ -84,3 +84,19 @@ def test_validation_detects_bad_rows(spark):
 def test_missing_dialogue_column_raises(spark):
     with pytest.raises(ValueError):
         feat.thread_features(spark.createDataFrame([(1,)], "label int"))
+
+
+# Per-label feature means measured independently for the decorated threads (FIXTURES.md section 3).
+FIXTURE_MEANS = {
+    "sf0.01": {0: (4.900, 0.180, 1.080, 0.189), 1: (5.820, 0.980, 5.440, 0.301)},
+    "sf0.1": {0: (5.070, 0.252, 1.284, 0.172), 1: (4.954, 0.830, 4.554, 0.271)},
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_feature_means_match_fixture(spark, sf):
+    f = feat.thread_features(src.decorated_threads(spark, f"/root/testdata/{sf}"))
+    got = {r.thread_label: tuple(r[1:]) for r in f.groupBy("thread_label").agg(*[F.avg(c) for c in FEATS]).collect()}
+    for label, want in FIXTURE_MEANS[sf].items():
+        for g, w in zip(got[label], want):
+            assert abs(g - w) < 5e-4, (sf, label, got[label], want)
