@@ -148,7 +148,22 @@ def q_tree_paths(spark, sf_dir):
     return leaf_paths(_tuned_tree(spark, sf_dir)).select("leaf", "depth", "class", "conditions")
 
 
+_CALIBRATION_TABLES: dict = {}
+
+
 def _calibration(spark, sf_dir):
+    """Nested calibration, checkpointed once per (application, data folder) and shared by the
+    out-of-fold and summary queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CALIBRATION_TABLES:
+        from ..session import cut_lineage
+
+        oof, met = _calibration_job(spark, sf_dir)
+        _CALIBRATION_TABLES[key] = (cut_lineage(oof), cut_lineage(met))
+    return _CALIBRATION_TABLES[key]
+
+
+def _calibration_job(spark, sf_dir):
     data, _, _ = model_data(spark, sf_dir)
     nested = S.nested_folds(data.select("orig_index", F.col("y").alias("thread_label"), "fold"))
     cands = MD.candidates(spark, lr=MD.LR_TUNED, tree=MD.TREE_TUNED)
