@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import STRUCTURAL_FEATURES
 from ..operators import modelling as MD
 from ..operators import split as S
+from ..session import cut_lineage
 from .registry import features, register
 
 FEATS = STRUCTURAL_FEATURES
@@ -18,9 +19,10 @@ def model_data(spark, sf_dir):
     split = S.stratified_split(f)
     train = S.select_part(f, split, "train")
     folds = S.stratified_folds(train)
-    return train.join(folds.select("orig_index", "fold"), "orig_index").select(
+    data = train.join(folds.select("orig_index", "fold"), "orig_index").select(
         "orig_index", *FEATS, F.col("thread_label").alias("y"), "fold"
-    ), split, f
+    )
+    return cut_lineage(data), split, f
 
 
 @register("cross_validate")
@@ -35,7 +37,8 @@ def _split_rows(spark, sf_dir):
     f = features(spark, sf_dir)
     split = S.stratified_split(f)
     cols = ["orig_index", *FEATS, F.col("thread_label").alias("y")]
-    return S.select_part(f, split, "train").select(*cols), S.select_part(f, split, "test").select(*cols)
+    part = cut_lineage(f.join(split.select("orig_index", "part"), "orig_index").select(*cols, "part"))
+    return part.where("part = 'train'").drop("part"), part.where("part = 'test'").drop("part")
 
 
 def _fit_score_heldout(spark, sf_dir, lr=None, tree=None):
