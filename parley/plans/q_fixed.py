@@ -277,7 +277,7 @@ def q_largest_f1_drop(spark, sf_dir):
 @register(
     "grid_rank",
     QM.W(
-        "SELECT model, threshold, f1, rank() OVER (PARTITION BY model ORDER BY f1 DESC) AS rank_f1, "
+        "SELECT model, threshold, f1, CAST(rank() OVER (PARTITION BY model ORDER BY f1 DESC) AS INTEGER) AS rank_f1, "
         "row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold) = 1 AS is_best FROM sw",
         QM.SWEEP_SQL,
     ),
