@@ -14,6 +14,7 @@ row is encoded by itself, so repeated rows and ties need no rule.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 
@@ -41,9 +42,8 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one byte-level BPE vocabulary file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: str):
+        spec = json.loads(content)
         back = byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.bytes = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
@@ -152,19 +152,28 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """One codec per worker process and vocabulary: its tables don't change, so tasks share it."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def shared_codec(df: DataFrame, path: str):
+    """A function that gives the codec inside a task. The driver reads the vocabulary file and broadcasts it (a file of
+    one or two MB); a worker process keeps its codec from task to task."""
+    with open(path, encoding="utf-8") as f:
+        content = f.read()
+    name, sent = hashlib.sha256(content.encode()).hexdigest(), df.sparkSession.sparkContext.broadcast(content)
+
+    def codec() -> Codec:
+        if name not in _codecs:
+            _codecs[name] = Codec(sent.value)
+        return _codecs[name]
+
+    return codec
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
     """df with `ids_col` (binary: the ids as little-endian unsigned 32-bit integers) and, if named, the text decoded from them."""
+    codec = shared_codec(df, path)
     outputs = {ids_col: "binary"} | ({decoded_col: "string"} if decoded_col else {})
 
     def make():
-        c = codec(path)
+        c = codec()
 
         def batch(texts):
             ids = [c.encode(t) for t in texts]
@@ -177,10 +186,11 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "tok
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
     """df with the text of its token ids; null ids give an empty text."""
+    codec = shared_codec(df, path)
     hexed = df.withColumn("ids__hex", F.hex(F.col(f"`{ids_col}`")))
 
     def make():
-        c = codec(path)
+        c = codec()
         return lambda ids: ([c.decode(bytes.fromhex(i or "")) for i in ids],)
 
     return add_columns(hexed, "ids__hex", {decoded_col: "string"}, make).drop("ids__hex")

@@ -6,7 +6,11 @@ has the name of an output column is replaced by it; all others pass through unch
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +23,30 @@ from ..session import cut_lineage
 BatchFn = Callable[[list], tuple]
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application; they needn't have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    fd, path = tempfile.mkstemp(prefix=f"{root.name}-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +94,7 @@ def add_columns(df: DataFrame, text_col: str, outputs: dict[str, str], make: Cal
                 out = out.filter(out.column(out.schema.names.index(keep)))
             yield out
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
-__all__ = ["add_columns", "cut_lineage", "documents", "read_table", "without"]
+__all__ = ["add_columns", "cut_lineage", "documents", "map_arrow", "read_table", "without"]

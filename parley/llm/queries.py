@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, simhash
-from .common import documents
+from . import bpe, decontaminate, langid, simhash
+from .common import documents, read_table
 
 QUERIES, ORACLE = {}, {}
 
@@ -24,3 +24,14 @@ def op9_bpe_codec(spark, sf_dir):
 @query
 def op8_simhash_golay(spark, sf_dir):
     return simhash.digests(simhash.near_duplicates(documents(spark, sf_dir)))
+
+
+@query
+def op3_language_zstd(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op5_prefix_decontamination(spark, sf_dir):
+    return decontaminate.digests(decontaminate.contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut_lineage, without
+from .common import add_columns, cut_lineage, map_arrow, without
 from .components import components
 
 SHINGLE = 3
@@ -118,7 +118,7 @@ def _keyed(distinct: DataFrame) -> DataFrame:
             at, made = keys(fps.view(np.uint64), table)
             yield pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array(made)], names=["fp", "key"])
 
-    return distinct.mapInArrow(run, "fp bigint, key bigint")
+    return map_arrow(distinct, run, "fp bigint, key bigint")
 
 
 def _midpoints(members: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def _midpoints(members: DataFrame) -> DataFrame:
             word = (fps[:, None] ^ flips[None, :]).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.repeat(fps, 65))], names=["word", "fp"])
 
-    return members.mapInArrow(run, "word bigint, fp bigint")
+    return map_arrow(members, run, "word bigint, fp bigint")
 
 
 def links(distinct: DataFrame) -> DataFrame:
