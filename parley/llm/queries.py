@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, langid, simhash
+from . import bpe, decontaminate, langid, pii, secrets, simhash
 from .common import documents, read_table
 
 QUERIES, ORACLE = {}, {}
@@ -35,3 +35,13 @@ def op3_language_zstd(spark, sf_dir):
 @query
 def op5_prefix_decontamination(spark, sf_dir):
     return decontaminate.digests(decontaminate.contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op2_pii_weak_supervision(spark, sf_dir):
+    return pii.digests(pii.detect(documents(spark, sf_dir)))
+
+
+@query
+def op7_secret_entropy(spark, sf_dir):
+    return secrets.digests(secrets.detect(documents(spark, sf_dir)))
