@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, langid, pii, secrets, simhash
+from . import bpe, decontaminate, fertility, langid, pii, secrets, simhash
 from .common import documents, read_table
 
 QUERIES, ORACLE = {}, {}
@@ -45,3 +45,11 @@ def op2_pii_weak_supervision(spark, sf_dir):
 @query
 def op7_secret_entropy(spark, sf_dir):
     return secrets.digests(secrets.detect(documents(spark, sf_dir)))
+
+
+@query
+def op6_tokenizer_fertility(spark, sf_dir):
+    path = public_tokenizers.path
+    return fertility.quality(
+        documents(spark, sf_dir), path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ).drop("text")

@@ -149,14 +149,16 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """docs without their text, with `fp` (signed 64 bits) and `component_id` (smallest id linked directly or through others)."""
-    marked = without(add_fingerprint(docs, text_col, "fp", size), [text_col, "component_id"])
+    """docs without their text, with `fp` (signed 64 bits), `component_id` (smallest id linked directly or through others)
+    and `component_fp` (a fingerprint that stands for the component)."""
+    marked = without(add_fingerprint(docs, text_col, "fp", size), [text_col, "component_id", "component_fp"])
     marked = cut_lineage(marked)
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min(id_col).alias("low")))
     roots = components(links(distinct.select("fp")))
     placed = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return marked.join(placed.join(lowest, "root").select("fp", "component_id"), "fp")
+    found = placed.join(lowest, "root").select("fp", "component_id", F.col("root").alias("component_fp"))
+    return marked.join(found, "fp").select(*marked.columns, "component_id", "component_fp")
 
 
 def digests(found: DataFrame) -> DataFrame:
