@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -38,9 +39,9 @@ MEMO_CHARS = 64
 #: Scripts that have bands of their own; all else is "other". A text's script is that of most of its letters.
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hangul", "Hiragana", "Katakana", "Thai")
 #: measure -> (least, most) accepted.
-DEFAULT = {"chars_per_piece": (0.2, 12.0), "chars_per_token": (0.2, 12.0), "byte_share": (0.0, 0.9), "entropy": (2.0, 16.0), "entropy_share": (0.3, 1.0)}
+DEFAULT = {"chars_per_piece": (0.2, 12.0), "chars_per_token": (0.2, 12.0), "byte_share": (0.0, 0.9), "entropy": (2.0, 16.0), "entropy_share": (0.1, 1.0)}
 BANDS = {
-    "Latin": {"chars_per_piece": (1.3, 8.0), "chars_per_token": (1.2, 8.0), "byte_share": (0.0, 0.15), "entropy": (3.0, 16.0), "entropy_share": (0.5, 1.0)},
+    "Latin": {"chars_per_piece": (1.3, 8.0), "chars_per_token": (1.2, 8.0), "byte_share": (0.0, 0.15), "entropy": (3.0, 16.0), "entropy_share": (0.1, 1.0)},
     "Cyrillic": DEFAULT | {"chars_per_piece": (0.8, 8.0), "byte_share": (0.0, 0.3)},
     "Greek": DEFAULT | {"byte_share": (0.0, 0.5)},
 }
@@ -69,7 +70,7 @@ class Tokenisers:
             if made is None:
                 word = raw.decode()
                 ids = self.pieces.encode(word, num_threads=1)
-                made = (sum([i in self.bytes for i in ids]), len(self.level.encode_ordinary(" " + word)), np.array(ids, np.int32).tobytes())
+                made = (sum([i in self.bytes for i in ids]), len(self.level.encode_ordinary(" " + word)), array("i", ids).tobytes())
             if len(raw) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO:
                     self.older, self.memo = self.memo, {}
@@ -79,9 +80,9 @@ class Tokenisers:
 
 def script(text: str) -> str:
     """Script of more than half of the letters."""
+    if text.isascii() or max(text) < "\u0250":  # up to there, nearly all letters are Latin
+        return "Latin" if any(map(str.isalpha, text)) else "other"
     letters = "".join(_LETTER.findall(text))
-    if letters.isascii():
-        return "Latin" if letters else "other"
     for name, one in _SCRIPT:
         if 2 * len(one.findall(letters)) > len(letters):
             return name
