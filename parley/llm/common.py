@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-#: A function of one batch of texts (None for null) that returns one list of values for each output column.
+#: A function of one batch of texts (None for null), and of further columns if asked for, that returns one list of values for each output column.
 BatchFn = Callable[[list], tuple]
 
 
@@ -70,29 +70,27 @@ def arrow_type(ddl: str) -> pa.DataType:
     }[ddl]
 
 
-def add_columns(df: DataFrame, text_col: str, outputs: dict[str, str], make: Callable[[], BatchFn], keep: str | None = None) -> DataFrame:
+def add_columns(df: DataFrame, text_col: str, outputs: dict[str, str], make: Callable[[], BatchFn], also: tuple[str, ...] = ()) -> DataFrame:
     """df with `outputs` (name -> DDL type), made from `text_col` batch by batch in Arrow.
 
     `make` runs once per task and returns the batch function, so that a task builds its tables
-    once. With `keep` (the name of a boolean output) only its true rows stay.
+    once. The function gets the lists of the columns `also` after the texts; these columns go.
     """
-    kept = [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in outputs}]
+    kept = [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in (*outputs, *also)}]
     names = [f.name for f in kept]
     added = list(outputs.items())
     schema = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in added])
     inner = "text__in"
-    source = df.select(F.col(f"`{text_col}`").cast("string").alias(inner), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
+    source = df.select(F.col(f"`{text_col}`").cast("string").alias(inner), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate((*also, *names))])
     kinds = [arrow_type(t) for _, t in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            made = fn(batch.column(0).to_pylist())
-            arrays = [batch.column(i + 1) for i in range(len(names))] + [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
-            out = pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in added])
-            if keep is not None:
-                out = out.filter(out.column(out.schema.names.index(keep)))
-            yield out
+            made = fn(*[batch.column(i).to_pylist() for i in range(1 + len(also))])
+            passed = [batch.column(i + 1 + len(also)) for i in range(len(names))]
+            arrays = passed + [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in added])
 
     return map_arrow(source, run, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, fertility, langid, pii, secrets, simhash
+from . import bpe, decontaminate, fertility, langid, pii, secrets, sentence_dedup, simhash
 from .common import documents, read_table
 
 QUERIES, ORACLE = {}, {}
@@ -53,3 +53,8 @@ def op6_tokenizer_fertility(spark, sf_dir):
     return fertility.quality(
         documents(spark, sf_dir), path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ).drop("text")
+
+
+@query
+def op1_sentence_spans(spark, sf_dir):
+    return sentence_dedup.digests(sentence_dedup.dedup(documents(spark, sf_dir)))
