@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, fertility, kneser_ney, langid, pii, secrets, sentence_dedup, simhash
+from . import bpe, decontaminate, fertility, kneser_ney, langid, pii, secrets, sentence_dedup, simhash, suffix_dedup
 from .common import documents, read_table
 
 QUERIES, ORACLE = {}, {}
@@ -65,3 +65,8 @@ def op10_kneser_ney(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     return kneser_ney.classify(docs, labels).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+@query
+def op4_difference_cover(spark, sf_dir):
+    return suffix_dedup.dedup(documents(spark, sf_dir))
