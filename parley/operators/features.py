@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.turns import redact_turns, split_turns
-from ..session import spread
 from ..sources.tables import optional_column, require_columns
 
 TURN_COLUMNS = ["thread_id", "message_id", "turn_index", "speaker_role", "message_text", "thread_label", "type"]
@@ -113,7 +112,7 @@ def thread_features_from_turns(turns: DataFrame) -> DataFrame:
 
 def redact_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Whole-text redaction of a document table (narrow)."""
-    docs = spread(docs.select(id_col, text_col))
+    docs = docs.select(id_col, text_col)
     red = docs.select(F.col(id_col), F.col(text_col).alias("_t"), X.redact_pii(text_col).alias("redacted_text"))
     return red.select(id_col, "redacted_text", (F.col("_t") != F.col("redacted_text")).alias("changed"))
 
@@ -122,7 +121,7 @@ def pii_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     """Matches per PII kind along the redaction chain (each kind counted on the text the chain gives it)."""
     from ..functions import patterns as P
 
-    s0 = spread(docs.select(id_col, text_col)).select(F.col(id_col), X.null_to_text(text_col).alias("t0"))
+    s0 = docs.select(F.col(id_col), X.null_to_text(text_col).alias("t0"))
     s1 = s0.select(id_col, "t0", X.redact_email("t0").alias("t1"))
     s2 = s1.select(id_col, "t0", "t1", X.redact_phone("t1").alias("t2"))
     s3 = s2.select(id_col, "t0", "t1", "t2", X.redact_ssn("t2").alias("t3"))

@@ -1,7 +1,8 @@
 """Logistic regression for many runs at once: Newton (L2) / proximal Newton (L1) on
 grouped aggregates.
 
-Objective per run (the liblinear form, intercept penalised as a bias feature of value 1):
+Objective per run (the liblinear form, intercept penalised as a bias feature of value 1 unless
+the run's ``penalise_intercept`` is false, which leaves it free):
     L2:  1/2 ||b||^2 + C * sum_i w_i * logloss_i
     L1:  ||b||_1     + C * sum_i w_i * logloss_i
 on features standardised with the run's training mean and population std (a zero std
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ITER = 100
+MAX_ITER = 1000
 TOL = 1e-9
 
 
@@ -65,6 +66,10 @@ def compact_standardized(train: DataFrame, params: DataFrame, feats, y: str = "y
     return rows, stats
 
 
+def _quoted(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _aggregate(rows: DataFrame, beta: dict, d: int, target: str = "y") -> dict:
     """One pass: per-run loss, gradient and Hessian at the given coefficients.
 
@@ -80,14 +85,14 @@ def _aggregate(rows: DataFrame, beta: dict, d: int, target: str = "y") -> dict:
         rows._parley_view = view
     runs = sorted(beta)
     entries = ", ".join(
-        f"'{r}', array({', '.join(repr(float(v)) + 'D' for v in beta[r])})" for r in runs
+        f"{_quoted(r)}, array({', '.join(repr(float(v)) + 'D' for v in beta[r])})" for r in runs
     )
     xs = [f"z{i}" for i in range(d)] + ["1.0D"]
     m = " + ".join(f"_b[{i}] * {x}" for i, x in enumerate(xs))
     aggs = ["sum(w * (sp - t * m)) AS L"]
     aggs += [f"sum(w * (s - t) * {xs[i]}) AS g{i}" for i in range(d + 1)]
     aggs += [f"sum(w * s * (1 - s) * {xs[i]} * {xs[k]}) AS h{i}_{k}" for i in range(d + 1) for k in range(i, d + 1)]
-    in_list = ", ".join(f"'{r}'" for r in runs)
+    in_list = ", ".join(map(_quoted, runs))
     sql = f"""
     SELECT run, {', '.join(aggs)} FROM (
       SELECT *, 1.0D / (1.0D + exp(-m)) AS s,
@@ -106,12 +111,12 @@ def _aggregate(rows: DataFrame, beta: dict, d: int, target: str = "y") -> dict:
     return out
 
 
-def _penalty(b, l1):
-    return np.abs(b).sum() if l1 else 0.5 * float(b @ b)
+def _penalty(b, l1, weights):
+    return float(weights @ np.abs(b)) if l1 else 0.5 * float(weights @ (b * b))
 
 
-def _prox_newton_step(b, g, h, C, iters=200):
-    """argmin_d  C g.d + 1/2 C d.H.d + ||b + d||_1 by cyclic coordinate descent."""
+def _prox_newton_step(b, g, h, C, weights, iters=10_000):
+    """argmin_d  C g.d + 1/2 C d.H.d + sum_j weights_j |b_j + d_j| by cyclic coordinate descent."""
     d = np.zeros_like(b)
     A = C * h
     for _ in range(iters):
@@ -122,7 +127,7 @@ def _prox_newton_step(b, g, h, C, iters=200):
                 continue
             grad_j = C * g[j] + A[j] @ d - a * d[j]
             z = b[j] - grad_j / a  # unpenalised minimiser of the 1-d quadratic for (b_j + d_j)
-            nb = np.sign(z) * max(abs(z) - 1.0 / a, 0.0)
+            nb = np.sign(z) * max(abs(z) - weights[j] / a, 0.0)
             nd = nb - b[j]
             delta = max(delta, abs(nd - d[j]))
             d[j] = nd
@@ -132,15 +137,24 @@ def _prox_newton_step(b, g, h, C, iters=200):
 
 
 def fit_logistic(rows: DataFrame, params: DataFrame, d: int, target: str = "y", max_iter: int = MAX_ITER) -> DataFrame:
-    """rows: (run, z0.., y|target, w); params: (run, C, l1). Returns (run, b0..b{d}) with b{d} the intercept."""
+    """rows: (run, z0.., y|target, w); params: (run, C, l1[, penalise_intercept]).
+
+    Returns (run, b0..b{d}, iterations, converged) with b{d} the intercept; a run that reaches
+    ``max_iter`` steps says so in ``converged``."""
     spark = rows.sparkSession
-    prm = {r["run"]: (float(r["C"]), bool(r["l1"])) for r in params.select("run", "C", "l1").collect()}
+    if "penalise_intercept" not in params.columns:
+        params = params.withColumn("penalise_intercept", F.lit(True))
+    prm = {}
+    for r in params.select("run", "C", "l1", "penalise_intercept").collect():
+        weights = np.ones(d + 1)
+        weights[d] = float(r["penalise_intercept"])
+        prm[r["run"]] = (float(r["C"]), bool(r["l1"]), weights)
     runs = sorted(prm)
     beta = {r: np.zeros(d + 1) for r in runs}
     step = {r: np.zeros(d + 1) for r in runs}
     prev_obj = {r: np.inf for r in runs}
-    done: set = set()
-    schema = "run string, " + ", ".join(f"b{i} double" for i in range(d + 1))
+    done: dict = {}  # run -> (iterations, converged)
+    schema = "run string, " + ", ".join(f"b{i} double" for i in range(d + 1)) + ", iterations int, converged boolean"
     for it in range(max_iter):
         live = [r for r in runs if r not in done]
         if not live:
@@ -148,27 +162,26 @@ def fit_logistic(rows: DataFrame, params: DataFrame, d: int, target: str = "y",
         stats = _aggregate(rows, {r: beta[r] for r in live}, d, target)
         for r in live:
             if r not in stats:
-                done.add(r)
+                done[r] = (it, False)
                 continue
-            C, l1 = prm[r]
+            C, l1, weights = prm[r]
             L, g, h = stats[r]
-            obj = C * L + _penalty(beta[r], l1)
+            obj = C * L + _penalty(beta[r], l1, weights)
             if obj > prev_obj[r] + 1e-12 * max(1.0, abs(prev_obj[r])) and np.abs(step[r]).max() > 1e-12:
                 step[r] = step[r] / 2.0  # backtrack: halve the last step
                 beta[r] = beta[r] - step[r]
                 continue
             prev_obj[r] = obj
             if l1:
-                s = _prox_newton_step(beta[r], g, h, C)
+                s = _prox_newton_step(beta[r], g, h, C, weights)
             else:
-                s = -np.linalg.solve(C * h + np.eye(d + 1), C * g + beta[r])
+                s = -np.linalg.lstsq(C * h + np.diag(weights), C * g + weights * beta[r], rcond=None)[0]
             if np.abs(s).max() < TOL:
-                done.add(r)
+                done[r] = (it, True)
                 continue
             step[r] = s
             beta[r] = beta[r] + s
-    fit_logistic.last_iterations = it + 1
-    return spark.createDataFrame([(r, *map(float, beta[r])) for r in runs], schema)
+    return spark.createDataFrame([(r, *map(float, beta[r]), *done.get(r, (max_iter, False))) for r in runs], schema)
 
 
 def fit_runs(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFrame:
@@ -179,6 +192,7 @@ def fit_runs(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFram
         F.col("C").cast("double").alias("C"),
         (F.coalesce(F.col("l1").cast("double"), F.lit(0.0)) >= 1.0).alias("l1"),
         F.coalesce(F.col("balanced").cast("boolean"), F.lit(False)).alias("balanced"),
+        (F.coalesce(F.col("penalise_intercept"), F.lit(True)) if "penalise_intercept" in runs.columns else F.lit(True)).alias("penalise_intercept"),
     )
     rows, stats = compact_standardized(train, params, feats, y)
     rows = rows.cache()
@@ -186,6 +200,7 @@ def fit_runs(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFram
     params = params.cache()
     beta = fit_logistic(rows, params, d)
     rows.unpersist()
+    params.unpersist()
     model = beta.join(stats, "run")
     return model.select(
         "run",
@@ -193,6 +208,8 @@ def fit_runs(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFram
         F.col(f"b{d}").alias("intercept"),
         F.array(*[F.col(f"{c}__mean") for c in feats]).alias("means"),
         F.array(*[F.col(f"{c}__std") for c in feats]).alias("stds"),
+        "iterations",
+        "converged",
     )
 
 

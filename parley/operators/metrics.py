@@ -16,9 +16,15 @@ DIGITS = 10
 
 
 def rnd(c: Column) -> Column:
+    """For the last projection of a query only; operators don't round."""
     return F.round(c, DIGITS)
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """All double columns rounded, for the last projection of a query."""
+    return df.select(*[rnd(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def zdiv(a, b) -> Column:
     """a / b, or 0 when b is 0 (``try_divide`` keeps ANSI mode from raising)."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -79,21 +85,25 @@ def roc_auc(df: DataFrame, y: str, score: str, keys=(), weight: str | None = Non
         F.sum(F.when(F.col(y) == 0, wc).otherwise(0)).cast("bigint").alias("n_neg"),
     )
     compact = cut_lineage(compact)  # small (distinct scores); read twice below, the source only once
+    return auc_of_counts(compact, score, keys)
+
+
+def auc_of_counts(compact: DataFrame, score: str, keys=()) -> DataFrame:
+    """AUC from (keys, score, n_pos, n_neg), one row per score. Twice the number of ordered pairs is
+    summed as DECIMAL(38,0): exact, whatever the order and however large the counts."""
+    keys = list(keys)
     cum = running_sums(compact, keys, score, ["n_neg"])
-    part = cum.select(
-        *keys,
-        "n_pos",
-        "n_neg",
-        (F.col("n_pos").cast("double") * ((F.col("cum_n_neg") - F.col("n_neg")).cast("double") + F.col("n_neg") / 2.0)).alias("u"),
-    )
-    agg = part.groupBy(*keys).agg(F.sum("u").alias("u"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
-    auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg")).cast("double"))
-    return agg.select(*keys, "n_pos", "n_neg", rnd(auc).alias("roc_auc"))
+    big = "decimal(19,0)"
+    pairs = F.col("n_pos").cast(big) * (2 * F.col("cum_n_neg") - F.col("n_neg")).cast(big)
+    part = cum.select(*keys, "n_pos", "n_neg", pairs.cast("decimal(38,0)").alias("u2"))
+    agg = part.groupBy(*keys).agg(F.sum("u2").cast("double").alias("u2"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    both = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
+    return agg.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u2") / 2.0 / both).alias("roc_auc"))
 
 
 def brier(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     d = F.col(p) - F.col(y)
-    return df.groupBy(*keys).agg(rnd(F.avg(d * d)).alias("brier_score"))
+    return df.groupBy(*keys).agg(F.avg(d * d).alias("brier_score"))
 
 
 def fold_metrics(df: DataFrame, y: str, p: str, keys, threshold: float = 0.5, rule: str = ">=", weight: str | None = None) -> DataFrame:
@@ -117,14 +127,10 @@ def fold_metrics(df: DataFrame, y: str, p: str, keys, threshold: float = 0.5, ru
     )
     auc = roc_auc(scored, "_y", "_p", keys, weight="_w").select(*keys, "roc_auc")
     return base.join(auc, list(keys)).select(
-        *keys, *[rnd(c).alias(n) for n, c in metric_pairs()], "roc_auc", rnd(F.col("brier_score")).alias("brier_score")
+        *keys, *[c.alias(n) for n, c in metric_pairs()], "roc_auc", "brier_score"
     )
 
 
-def _named(c: Column, name: str) -> Column:
-    return c.alias(name)
-
-
 def classification_report(df: DataFrame, y: str, pred: str) -> DataFrame:
     """Per-class precision/recall/F1/support, accuracy, macro and weighted averages (long form)."""
     c = confusion(df, y, pred)
@@ -152,8 +158,7 @@ def classification_report(df: DataFrame, y: str, pred: str) -> DataFrame:
         zdiv(tp + tn, tp + tn + fp + fn).alias("f1_score"), (tp + tn + fp + fn).cast("double").alias("support"),
     )
     out = per.unionByName(acc).unionByName(macro).unionByName(weighted)
-    return out.select("label", rnd(F.col("precision")).alias("precision"), rnd(F.col("recall")).alias("recall"),
-                      rnd(F.col("f1_score")).alias("f1_score"), "support")
+    return out.select("label", "precision", "recall", "f1_score", "support")
 
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
@@ -164,7 +169,7 @@ def summarize(df: DataFrame, keys, metrics=METRICS, sample_std: bool = False) ->
     std = F.stddev_samp if sample_std else F.stddev_pop
     aggs = []
     for m in metrics:
-        aggs += [rnd(F.avg(m)).alias(f"{m}_mean"), rnd(std(m)).alias(f"{m}_std")]
+        aggs += [F.avg(m).alias(f"{m}_mean"), std(m).alias(f"{m}_std")]
     return df.groupBy(*keys).agg(*aggs)
 
 

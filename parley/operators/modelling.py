@@ -22,7 +22,7 @@ from . import tree as TR
 FEATS = STRUCTURAL_FEATURES
 
 # ---- fixed values (model configurations and grids) ----
-LR_BASELINE = {"C": 1.0, "l1": 0.0, "balanced": False}
+LR_BASELINE = {"C": 1.0, "l1": 0.0, "balanced": False, "penalise_intercept": False}  # its solver leaves the intercept free
 TREE_BASELINE = {"criterion": "gini", "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1, "balanced": False}
 LR_TUNED = {"C": 0.1, "l1": 1.0, "balanced": False}
 TREE_TUNED = {"criterion": "entropy", "max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 1, "balanced": False}
@@ -38,7 +38,7 @@ LR_NAME, TREE_NAME = "Logistic Regression", "Decision Tree"
 
 CAND_SCHEMA = (
     "cand_id string, model string, C double, l1 double, criterion string, max_depth int, "
-    "min_samples_split int, min_samples_leaf int, balanced boolean, params string"
+    "min_samples_split int, min_samples_leaf int, balanced boolean, penalise_intercept boolean, params string"
 )
 
 
@@ -47,7 +47,7 @@ def _cand_row(cid, model, p):
 
     return (
         cid, model, p.get("C"), p.get("l1"), p.get("criterion"), p.get("max_depth"),
-        p.get("min_samples_split"), p.get("min_samples_leaf"), bool(p.get("balanced", False)),
+        p.get("min_samples_split"), p.get("min_samples_leaf"), bool(p.get("balanced", False)), bool(p.get("penalise_intercept", True)),
         json.dumps(p.get("_params", {k: v for k, v in p.items() if not k.startswith("_")}), sort_keys=True),
     )
 
@@ -114,7 +114,7 @@ def fit_models(runs: DataFrame, train: DataFrame, feats=FEATS):
     w = ["cnt"] if "cnt" in train.columns else []
     if not lr_runs.isEmpty():
         tr = train.join(lr_runs.select("run"), "run", "left_semi")
-        lr_models = LIN.fit_runs(tr.select("run", *feats, "y", *w), lr_runs.select("run", "C", "l1", "balanced"), feats)
+        lr_models = LIN.fit_runs(tr.select("run", *feats, "y", *w), lr_runs.select("run", "C", "l1", "balanced", "penalise_intercept"), feats)
         lr_models = cut_lineage(lr_models)
     if not dt_runs.isEmpty():
         tr = train.join(dt_runs.select("run"), "run", "left_semi")
@@ -169,13 +169,14 @@ def fit_full(train: DataFrame, cands: DataFrame, feats=FEATS):
     lr = runs.where(F.col("model") == LR_NAME)
     dt = runs.where(F.col("model") == TREE_NAME)
     lr_models = tree_nodes = None
+    train = train.groupBy(*feats, "y").agg(F.count(F.lit(1)).alias("cnt"))  # compact before the fan-out
     ids_lr = [r["run"] for r in lr.select("run").collect()]
     ids_dt = [r["run"] for r in dt.select("run").collect()]
     if ids_lr:
-        t = train.select(*feats, "y", F.explode(F.array(*[F.lit(r) for r in ids_lr])).alias("run"))
-        lr_models = LIN.fit_runs(t, lr.select("run", "C", "l1", "balanced"), feats)
+        t = train.select(*feats, "y", "cnt", F.explode(F.array(*[F.lit(r) for r in ids_lr])).alias("run"))
+        lr_models = LIN.fit_runs(t, lr.select("run", "C", "l1", "balanced", "penalise_intercept"), feats)
     if ids_dt:
-        t = train.select(*feats, "y", F.explode(F.array(*[F.lit(r) for r in ids_dt])).alias("run"))
+        t = train.select(*feats, "y", "cnt", F.explode(F.array(*[F.lit(r) for r in ids_dt])).alias("run"))
         tree_nodes = TR.fit_trees(t, dt.select("run", "criterion", "max_depth", "min_samples_split", "min_samples_leaf", "balanced"), feats)
     return lr_models, tree_nodes
 
@@ -205,7 +206,7 @@ def heldout_evaluation(train: DataFrame, test: DataFrame, cands: DataFrame, feat
     conf = M.confusion(s, "y", "pred", ["model"])
     auc = M.roc_auc(s, "y", "p1", ["model"]).select("model", "roc_auc")
     return conf.join(auc, "model").select(
-        "model", *[M.rnd(c).alias(n) for n, c in M.metric_pairs()], "roc_auc",
+        "model", *M.metric_columns(), "roc_auc",
         "true_negative", "false_positive", "false_negative", "true_positive",
     )
 
@@ -215,7 +216,7 @@ def heldout_evaluation(train: DataFrame, test: DataFrame, cands: DataFrame, feat
 # ------------------------------------------------------------------------------------------------
 def nested_calibration(data: DataFrame, nested: DataFrame, cands: DataFrame, methods=("sigmoid", "isotonic"),
                        k_inner: int = 3, feats=FEATS) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold calibrated probabilities and per-outer-fold metrics.
+    """Out-of-fold calibrated probabilities and per-outer-fold metrics, for as many outer folds as ``data`` has.
 
     data: (orig_index, feats, y, fold); nested: (orig_index, outer_fold, inner_fold).
     Base runs are (candidate, outer k, inner j); each is fitted once and shared by all
@@ -224,7 +225,8 @@ def nested_calibration(data: DataFrame, nested: DataFrame, cands: DataFrame, met
     Returns (oof: cand_id, model, calibration_method, orig_index, fold, y, p; metrics per fold).
     """
     nd = nested.join(data, "orig_index")
-    base = cands.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select(
+    k_outer = (data.agg(F.max("fold")).first()[0] or 0) + 1
+    base = cands.select("*", F.explode(F.sequence(F.lit(0), F.lit(k_outer - 1))).alias("k")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(k_inner - 1))).alias("j")
     ).withColumn("run", F.concat_ws("#", "cand_id", F.col("k").cast("string"), F.col("j").cast("string")))
     tr = nd.select(
@@ -298,7 +300,7 @@ def ablation(data: DataFrame, cands: DataFrame, k: int = 5, feats=FEATS) -> Data
     )
     out = summ.join(F.broadcast(meta), "feature_set")
     return out.select("model", "feature_set", "removed_feature", "features_used", "n_features",
-                      *[x for x in summ.columns if x not in ("model", "feature_set")])
+                      *[x for x in summ.columns if x not in ("model", "feature_set")]).orderBy("model", "feature_set")
 
 
 DROP_METRICS = ["accuracy_mean", "precision_mean", "recall_mean", "f1_mean", "roc_auc_mean"]
@@ -311,7 +313,7 @@ def add_drops(results: DataFrame, keys=("model",), full_name: str = "full_featur
     j = results.join(F.broadcast(full), keys, "left")
     return j.select(
         *results.columns,
-        *[M.rnd(F.coalesce(F.col(f"_full_{m}") - F.col(m), F.lit(0.0))).alias(f"{m}_drop_from_full") for m in DROP_METRICS],
+        *[F.coalesce(F.col(f"_full_{m}") - F.col(m), F.lit(0.0)).alias(f"{m}_drop_from_full") for m in DROP_METRICS],
     )
 
 

@@ -71,14 +71,14 @@ def describe(df: DataFrame, cols) -> DataFrame:
     lf = cut_lineage(long_form(df, cols))
     basic = lf.groupBy("feature").agg(
         F.count("value").cast("double").alias("count"),
-        rnd(F.avg("value")).alias("mean"),
-        rnd(F.stddev_samp("value")).alias("std"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
     q = exact_quantiles(lf, "feature", "value", [0.25, 0.5, 0.75])
     piv = q.groupBy("feature").agg(
-        *[rnd(F.max(F.when(F.col("q") == v, F.col("quantile")))).alias(n) for v, n in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]]
+        *[F.max(F.when(F.col("q") == v, F.col("quantile"))).alias(n) for v, n in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]]
     )
     return basic.join(piv, "feature").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 

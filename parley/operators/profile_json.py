@@ -32,8 +32,21 @@ def _map(d: dict):
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def dataset_profile(raw: DataFrame, turns: DataFrame, feats: DataFrame) -> DataFrame:
-    """Each input is aggregated once: its label distribution (checkpointed, a few rows) also
+def _files(spark, files: dict[str, str]):
+    """Struct of (path, exists, size_bytes) by name: a short list, looked up on the driver."""
+    from ..sources.tables import input_presence
+
+    found = {r["path"]: r for r in input_presence(spark, list(files.values())).collect()} if files else {}
+    kind = "struct<path:string,exists:boolean,size_bytes:bigint>"
+    entries = [
+        F.struct(F.lit(p).alias("path"), F.lit(found[p]["exists"]).alias("exists"), F.lit(found[p]["size_bytes"]).cast("bigint").alias("size_bytes")).cast(kind)
+        for p in files.values()
+    ]
+    return F.create_map(*[x for n, e in zip(files, entries) for x in (F.lit(n), e)]) if files else F.create_map().cast(f"map<string,{kind}>")
+
+
+def dataset_profile(raw: DataFrame, turns: DataFrame, feats: DataFrame, input_files: dict | None = None, output_files: dict | None = None) -> DataFrame:
+    """``input_files`` and ``output_files`` (name -> path) are listed with existence and size. Each input is aggregated once: its label distribution (checkpointed, a few rows) also
     gives its row count; the small per-thread feature table is checkpointed before describe."""
     from ..session import cut_lineage
 
@@ -73,6 +86,8 @@ def dataset_profile(raw: DataFrame, turns: DataFrame, feats: DataFrame) -> DataF
     row = row.join(stats, "k")
     profile = F.struct(
         F.lit(SEED).alias("random_seed"),
+        _files(raw.sparkSession, input_files or {}).alias("input_files"),
+        _files(raw.sparkSession, output_files or {}).alias("output_files"),
         F.struct("raw_rows", "parsed_turn_rows", "thread_feature_rows").alias("row_counts"),
         F.struct(
             F.array(*[F.lit(c) for c in raw.columns]).alias("raw_columns"),

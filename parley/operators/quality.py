@@ -116,6 +116,22 @@ def validate_features(feats: DataFrame) -> DataFrame:
     return _results(a, plan, checks)
 
 
+# ---- fixed values (names of the presence checks) ----
+PARSED_EXISTS, FEATURES_EXIST = "Parsed CSV exists", "Feature CSV exists"
+
+
+def presence_checks(spark: SparkSession, parsed_path: str, features_path: str) -> DataFrame:
+    """(check_order, check, status, detail) for the two processed inputs; ``raise_on_failure`` then stops."""
+    from ..sources.tables import input_presence
+
+    names = F.create_map(F.lit(parsed_path), F.lit(PARSED_EXISTS), F.lit(features_path), F.lit(FEATURES_EXIST))
+    order = F.create_map(F.lit(parsed_path), F.lit(0), F.lit(features_path), F.lit(1))
+    return input_presence(spark, [parsed_path, features_path]).select(
+        order[F.col("path")].alias("check_order"), names[F.col("path")].alias("check"),
+        F.when(F.col("exists"), "PASS").otherwise("FAIL").alias("status"), F.col("path").alias("detail"),
+    )
+
+
 def failed_checks(*results: DataFrame) -> DataFrame:
     out = results[0]
     for r in results[1:]:

@@ -41,7 +41,11 @@ def stratified_rank(df: DataFrame, id_col: str, label: str, seed=SEED, strata=()
 
 def class_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame:
     """Test rows per class: n_test = ceil(test_size * n), split by largest remainder (ties: smaller label)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    return quotas_of(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c")), label, test_size)
+
+
+def quotas_of(counts: DataFrame, label: str, test_size: float = 0.2) -> DataFrame:
+    """The same from class counts (label, n_c); products go through DECIMAL, so any BIGINT count is exact."""
     w_all = Window.partitionBy()
     q = counts.select(
         label,
@@ -53,8 +57,8 @@ def class_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame
         "n_c",
         "n",
         "n_test",
-        F.expr("(n_test * n_c) div n").alias("base"),
-        F.expr("(n_test * n_c) % n").alias("rem"),
+        F.expr("(CAST(n_test AS DECIMAL(19,0)) * CAST(n_c AS DECIMAL(19,0))) div CAST(n AS DECIMAL(19,0))").alias("base"),
+        F.expr("CAST((CAST(n_test AS DECIMAL(19,0)) * CAST(n_c AS DECIMAL(19,0))) % CAST(n AS DECIMAL(19,0)) AS BIGINT)").alias("rem"),
     )
     q = q.select(
         "*",
@@ -72,10 +76,15 @@ def stratified_split(df: DataFrame, id_col: str = "orig_index", label: str = "th
     return j.select(id_col, label, F.when(F.col("rank") <= F.col("quota"), "test").otherwise("train").alias("part"))
 
 
+def with_folds(df: DataFrame, k: int = 5, id_col: str = "orig_index", label: str = "thread_label", seed=SEED) -> DataFrame:
+    """df with ``fold`` in 0..k-1, ranked in place: all columns stay with their row, so no join back by id."""
+    ranked = stratified_rank(df, id_col, label, seed)
+    return ranked.withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank")
+
+
 def stratified_folds(df: DataFrame, k: int = 5, id_col: str = "orig_index", label: str = "thread_label", seed=SEED) -> DataFrame:
     """(id, label, fold) with fold in 0..k-1; per-class fold sizes differ by at most one."""
-    ranked = stratified_rank(df.select(id_col, label), id_col, label, seed)
-    return ranked.select(id_col, label, ((F.col("rank") - 1) % k).cast("int").alias("fold"))
+    return with_folds(df.select(id_col, label), k, id_col, label, seed)
 
 
 def nested_folds(

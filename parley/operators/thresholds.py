@@ -151,7 +151,13 @@ def risk_bands(sw: DataFrame, keys=(), model: Column | None = None, method: Colu
 
 
 def assign_band(scores: DataFrame, bands: DataFrame, p: str, keys=()) -> DataFrame:
-    """Range lookup ``min <= p < max`` against the 3-row-per-group band table (broadcast)."""
+    """Range lookup ``min <= p < max`` against the band table: three rows per group, broadcast, joined on the
+    group; without groups, the three rows become one CASE expression (no join, also on a stream)."""
+    if not keys:
+        out = F.lit(None).cast("string")
+        for r in bands.select("risk_band", "probability_min", "probability_max_exclusive").collect():
+            out = F.when((F.col(p) >= r["probability_min"]) & (F.col(p) < r["probability_max_exclusive"]), r["risk_band"]).otherwise(out)
+        return scores.select("*", out.alias("risk_band"))
     b = F.broadcast(
         bands.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "risk_band", "probability_min", "probability_max_exclusive")
     )

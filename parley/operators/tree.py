@@ -8,7 +8,11 @@ weight. One level = one distributed pass:
      next distinct value -> midpoint thresholds;
   3. best split per (run, node) as a ``min(struct(score, feature, threshold))`` hash
      aggregate (ties: lower feature index, then lower threshold);
-  4. rows move to child 2n+1 / 2n+2; rows that reached a leaf leave the active set.
+  4. rows move to a child; rows that reached a leaf leave the active set.
+A node is its path from the root, a string of 0 (left) and 1 (right): depth is its length,
+its parent the string without the last step, and sorting by it is depth-first order, at any
+depth. Counts are integers per class; class weights enter where a node or side is scored, so
+sums are exact and don't depend on how the work is split.
 The active rows are checkpointed every level (reliable checkpoint, survives executor
 loss). The driver only sees per-level row counts; nodes are a DataFrame.
 
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-EPS = 1e-7
-MAX_TREE_DEPTH = 60  # heap node ids stay inside BIGINT
+PURE = 2.220446049250313e-16  # machine epsilon: an impurity above it can be split
+UNLIMITED = 2**31 - 1
+ROOT = ""
+ROWS_PER_BUCKET = 1_000_000  # compacted rows of a node that one ordered window takes
 
 
 def impurity(w0: Column, w1: Column, criterion: Column) -> Column:
@@ -58,17 +64,14 @@ def _imp_sql(a: str, b: str) -> str:
     return f"(CASE WHEN criterion = 'entropy' THEN {ent} ELSE {gini} END)"
 
 
-WINDOW_LIMIT = 1_000_000  # rows per node up to which one window per (node, feature) is used
-
-
-def best_splits(rows: DataFrame, node_stats: DataFrame, feats, keys=("run", "node"), n_buckets: int = 64,
-                bucketed: bool = True) -> DataFrame:
+def best_splits(rows: DataFrame, node_stats: DataFrame, feats, keys=("run", "node"), n_buckets: int = 1) -> DataFrame:
     """Best valid split per node, as one SQL statement.
 
-    rows: keys + feats + (y, cnt, w); node_stats: keys + (n_node, w0_node, w1_node,
-    criterion, msl). Class counts per (node, feature, value) are aggregated, running sums
+    rows: keys + feats + (y, cnt); node_stats: keys + (n_node, c1_node, cw0, cw1 [class
+    weights], criterion, msl). Class counts per (node, feature, value) are aggregated, running sums
     over the value order use order-preserving buckets (approximate quantile bounds per
-    group, exact offsets from bucket totals), midpoints use the next distinct value, and
+    group, exact offsets from integer bucket totals; any number of buckets gives the same
+    result), midpoints use the next distinct value, and
     the winner is ``min(struct(score, feature, threshold))`` per node.
     """
     spark = rows.sparkSession
@@ -77,33 +80,36 @@ def best_splits(rows: DataFrame, node_stats: DataFrame, feats, keys=("run", "nod
     structs = ", ".join(f"named_struct('f', {i}, 'v', CAST({c} AS DOUBLE))" for i, c in enumerate(feats))
     probs = ", ".join(repr(i / n_buckets) for i in range(1, n_buckets))
     score = f"(lw0 + lw1) * {_imp_sql('lw0', 'lw1')} + (rw0 + rw1) * {_imp_sql('rw0', 'rw1')}"
-    if bucketed:
+    if n_buckets > 1:
         buckets = f"""bnd AS (SELECT {k}, f, percentile_approx(v, array({probs}), 1000) AS bnds FROM per GROUP BY {k}, f),
     bkt AS (SELECT p.*, size(filter(b.bnds, x -> x < p.v)) AS bk FROM per p JOIN bnd b USING ({k}, f)),"""
-    else:  # every group is small (size-checked by the caller): one bucket, one window per group
+    else:
         buckets = "bkt AS (SELECT p.*, 0 AS bk FROM per p),"
     sql = f"""
     WITH act AS (SELECT r.* FROM {rv} r LEFT SEMI JOIN {sv} s USING ({k})),
-    lng AS (SELECT {k}, y, cnt, w, inline(array({structs})) FROM act),
-    per AS (SELECT {k}, f, v, sum(cnt) AS n, sum(CASE WHEN y = 0 THEN w ELSE 0.0D END) AS w0,
-                   sum(CASE WHEN y = 1 THEN w ELSE 0.0D END) AS w1 FROM lng GROUP BY {k}, f, v),
+    lng AS (SELECT {k}, y, cnt, inline(array({structs})) FROM act),
+    per AS (SELECT {k}, f, v, sum(cnt) AS n, sum(CASE WHEN y = 1 THEN cnt ELSE 0 END) AS n1 FROM lng GROUP BY {k}, f, v),
     {buckets}
-    tot AS (SELECT {k}, f, bk, sum(n) AS tn, sum(w0) AS tw0, sum(w1) AS tw1, min(v) AS mn FROM bkt GROUP BY {k}, f, bk),
-    off AS (SELECT {k}, f, bk, coalesce(sum(tn) OVER wb, 0) AS o_n, coalesce(sum(tw0) OVER wb, 0.0D) AS o_w0,
-                   coalesce(sum(tw1) OVER wb, 0.0D) AS o_w1, lead(mn) OVER (PARTITION BY {k}, f ORDER BY bk) AS nextmin
+    tot AS (SELECT {k}, f, bk, sum(n) AS tn, sum(n1) AS tn1, min(v) AS mn FROM bkt GROUP BY {k}, f, bk),
+    off AS (SELECT {k}, f, bk, coalesce(sum(tn) OVER wb, 0) AS o_n, coalesce(sum(tn1) OVER wb, 0) AS o_n1,
+                   lead(mn) OVER (PARTITION BY {k}, f ORDER BY bk) AS nextmin
             FROM tot WINDOW wb AS (PARTITION BY {k}, f ORDER BY bk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    cum AS (SELECT {k}, f, v, o_n + sum(n) OVER wl AS ln, o_w0 + sum(w0) OVER wl AS lw0, o_w1 + sum(w1) OVER wl AS lw1,
+    cum AS (SELECT {k}, f, v, o_n + sum(n) OVER wl AS ln, o_n1 + sum(n1) OVER wl AS ln1,
                    coalesce(lead(v) OVER (PARTITION BY {k}, f, bk ORDER BY v), nextmin) AS next_v
             FROM bkt JOIN off USING ({k}, f, bk)
             WINDOW wl AS (PARTITION BY {k}, f, bk ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    cand AS (SELECT {k}, f, ln, n_node - ln AS rn, lw0, lw1, w0_node - lw0 AS rw0, w1_node - lw1 AS rw1, criterion,
+    cand AS (SELECT {k}, f, ln, n_node - ln AS rn, (ln - ln1) * cw0 AS lw0, ln1 * cw1 AS lw1,
+                    (n_node - c1_node - ln + ln1) * cw0 AS rw0, (c1_node - ln1) * cw1 AS rw1, criterion,
                     CASE WHEN (v + next_v) / 2.0D = next_v THEN v ELSE (v + next_v) / 2.0D END AS threshold
              FROM cum JOIN {sv} USING ({k}) WHERE next_v IS NOT NULL AND ln >= msl AND n_node - ln >= msl),
     scored AS (SELECT {k}, f, threshold, ln, rn, {score} AS score FROM cand)
     SELECT {k}, b.score AS score, b.f AS feature_index, b.threshold AS threshold, b.ln AS n_left, b.rn AS n_right
     FROM (SELECT {k}, min(named_struct('score', score, 'f', f, 'threshold', threshold, 'ln', ln, 'rn', rn)) AS b
           FROM scored GROUP BY {k})"""
-    return spark.sql(sql)
+    out = spark.sql(sql)
+    for view in (rv, sv):  # analysed already
+        spark.catalog.dropTempView(view)
+    return out
 
 
 def _node_stats(rows: DataFrame) -> DataFrame:
@@ -111,8 +117,6 @@ def _node_stats(rows: DataFrame) -> DataFrame:
         F.sum("cnt").alias("n_node"),
         F.sum(F.when(F.col("y") == 0, F.col("cnt")).otherwise(0)).alias("c0"),
         F.sum(F.when(F.col("y") == 1, F.col("cnt")).otherwise(0)).alias("c1"),
-        F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("w0_node"),
-        F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("w1_node"),
     )
 
 
@@ -126,15 +130,15 @@ def tree_params(runs: DataFrame) -> DataFrame:
     return runs.select(
         "run",
         get("criterion", "gini", "string"),
-        get("max_depth", MAX_TREE_DEPTH, "int"),
+        get("max_depth", UNLIMITED, "int"),
         get("min_samples_split", 2, "int"),
         get("min_samples_leaf", 1, "int"),
         get("balanced", False, "boolean"),
     )
 
 
-def weighted_rows(train: DataFrame, params: DataFrame, feats, y: str = "y") -> DataFrame:
-    """Compact (run, features, y) -> cnt and attach the class weight (``balanced`` = n / (2 n_c) per run)."""
+def compact_rows(train: DataFrame, params: DataFrame, feats, y: str = "y") -> tuple[DataFrame, DataFrame]:
+    """Compacted (run, features, y, cnt), and the parameters with each run's class weights cw0, cw1 (``balanced`` = n / (2 n_c))."""
     n = F.sum("cnt") if "cnt" in train.columns else F.count(F.lit(1))
     compact = train.groupBy("run", *feats, F.col(y).alias("y")).agg(n.alias("cnt"))
     cls = compact.groupBy("run", "y").agg(F.sum("cnt").alias("n_c"))
@@ -142,24 +146,26 @@ def weighted_rows(train: DataFrame, params: DataFrame, feats, y: str = "y") -> D
     cw = cls.join(tot, "run").join(params.select("run", "balanced"), "run").select(
         "run", "y", F.when(F.col("balanced"), F.col("n_run") / (F.col("k") * F.col("n_c"))).otherwise(F.lit(1.0)).alias("cw")
     )
-    return compact.join(F.broadcast(cw), ["run", "y"]).select("run", *feats, "y", "cnt", (F.col("cnt") * F.col("cw")).alias("w"))
+    by_class = cw.groupBy("run").agg(*[F.coalesce(F.max(F.when(F.col("y") == c, F.col("cw"))), F.lit(1.0)).alias(f"cw{c}") for c in (0, 1)])
+    return compact, params.join(by_class, "run")
 
 
-def _level(rows: DataFrame, params: DataFrame, feats, depth: int, bucketed: bool) -> DataFrame:
+def _level(rows: DataFrame, params: DataFrame, feats, depth: int, n_buckets: int) -> DataFrame:
     """One tree level for every run: node statistics, stopping rules, best split, node rows."""
     stats = _node_stats(rows).join(F.broadcast(params), "run")  # params: one row per run
+    stats = stats.withColumn("w0_node", F.col("c0") * F.col("cw0")).withColumn("w1_node", F.col("c1") * F.col("cw1"))
     imp = impurity(F.col("w0_node"), F.col("w1_node"), F.col("criterion"))
     stats = stats.withColumn("impurity", imp).withColumn(
         "can_split",
         (F.lit(depth) < F.col("max_depth"))
         & (F.col("n_node") >= F.col("min_samples_split"))
         & (F.col("n_node") >= 2 * F.col("min_samples_leaf"))
-        & (F.col("impurity") > F.lit(EPS)),
+        & (F.col("impurity") > F.lit(PURE)),
     )
     open_nodes = stats.where("can_split").select(
-        "run", "node", "n_node", "w0_node", "w1_node", "criterion", F.col("min_samples_leaf").alias("msl")
+        "run", "node", "n_node", F.col("c1").alias("c1_node"), "cw0", "cw1", "criterion", F.col("min_samples_leaf").alias("msl")
     )
-    best = best_splits(rows, open_nodes, feats, bucketed=bucketed)
+    best = best_splits(rows, open_nodes, feats, n_buckets=n_buckets)
     return stats.join(best, ["run", "node"], "left").select(
         "run",
         "node",
@@ -186,29 +192,28 @@ def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFra
 
     Per level: one job builds the level (statistics + split search, checkpointed), one
     small job reads the number of splits and the largest child, one job moves the
-    rows to the children (checkpointed). The split strategy is size-checked with the
+    rows to the children (checkpointed). The number of ordered buckets follows the
     largest node's exact row count. Returns the node table: (run, node, depth, n, c0,
     c1, w0, w1, impurity, is_leaf, feature_index, feature, threshold, decrease, p1,
     n_left, n_right).
     """
-    params = cut_lineage(tree_params(runs))
-    rows = cut_lineage(weighted_rows(train, params, feats, y).withColumn("node", F.lit(0).cast("bigint")))
+    compact, params = compact_rows(train, tree_params(runs), feats, y)
+    rows, params = cut_lineage(compact.withColumn("node", F.lit(ROOT))), cut_lineage(params)
     largest = rows.groupBy("run").agg(F.sum("cnt").alias("n")).agg(F.max("n")).first()[0] or 0
     levels = []
     depth = 0
     xf = F.element_at(F.array(*[F.col(c).cast("double") for c in feats]), F.col("feature_index") + 1)
     while True:
-        level = cut_lineage(_level(rows, params, feats, depth, bucketed=largest > WINDOW_LIMIT))
+        level = cut_lineage(_level(rows, params, feats, depth, n_buckets=-(-largest // ROWS_PER_BUCKET)))
         levels.append(level)
         splits = level.where(~F.col("is_leaf")).select("run", "node", "feature_index", "threshold", "n_left", "n_right")
         n_splits, largest = splits.agg(F.count(F.lit(1)), F.max(F.greatest("n_left", "n_right"))).first()
         depth += 1
-        if not n_splits or depth > MAX_TREE_DEPTH:
+        if not n_splits:
             break
         rows = cut_lineage(
             rows.join(splits.select("run", "node", "feature_index", "threshold"), ["run", "node"]).select(
-                "run", *feats, "y", "cnt", "w",
-                (F.col("node") * 2 + 1 + F.when(xf > F.col("threshold"), 1).otherwise(0)).alias("node"),
+                "run", *feats, "y", "cnt", _child(xf > F.col("threshold")).alias("node"),
             )
         )
     out = levels[0]
@@ -217,16 +222,21 @@ def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFra
     return out
 
 
-COMPILE_NODE_LIMIT = 2000  # node rows up to which fitted trees are applied as one CASE expression
+COMPILE_NODE_LIMIT = 2000  # node rows up to which fitted trees are applied as one CASE expression, the same routing without joins
 COMPILE_RUN_LIMIT = 64
+COMPILE_DEPTH_LIMIT = 40
+
+
+def _child(right: Column) -> Column:
+    return F.concat("node", F.when(right, F.lit("1")).otherwise(F.lit("0")))
 
 
-def _tree_expr(tree: dict, node: int, feats):
+def _tree_expr(tree: dict, node: str, feats):
     is_leaf, fi, thr, p1 = tree[node]
     if is_leaf:
-        return F.struct(F.lit(node).cast("bigint").alias("leaf"), F.lit(float(p1)).alias("p1"))
+        return F.struct(F.lit(node).alias("leaf"), F.lit(float(p1)).alias("p1"))
     x = F.col(feats[fi]).cast("double")
-    return F.when(x > F.lit(float(thr)), _tree_expr(tree, 2 * node + 2, feats)).otherwise(_tree_expr(tree, 2 * node + 1, feats))
+    return F.when(x > F.lit(float(thr)), _tree_expr(tree, node + "1", feats)).otherwise(_tree_expr(tree, node + "0", feats))
 
 
 def apply_trees(rows: DataFrame, nodes: DataFrame, feats, keep=(), compile_limit: int = COMPILE_NODE_LIMIT) -> DataFrame:
@@ -237,28 +247,27 @@ def apply_trees(rows: DataFrame, nodes: DataFrame, feats, keep=(), compile_limit
     Larger forests are routed level by level, one join per level with the routed rows
     checkpointed, so level d runs one join (not d).
     """
-    n_nodes = nodes.count()
-    if n_nodes <= compile_limit:
+    n_nodes, max_depth = nodes.agg(F.count(F.lit(1)), F.max("depth")).first()
+    if 0 < n_nodes <= compile_limit and max_depth <= COMPILE_DEPTH_LIMIT:
         trees: dict = {}
         for r in nodes.select("run", "node", "is_leaf", "feature_index", "threshold", "p1").collect():
-            trees.setdefault(r["run"], {})[int(r["node"])] = (r["is_leaf"], r["feature_index"], r["threshold"], r["p1"])
+            trees.setdefault(r["run"], {})[r["node"]] = (r["is_leaf"], r["feature_index"], r["threshold"], r["p1"])
         if len(trees) <= COMPILE_RUN_LIMIT:
             expr = None
             for run, tree in sorted(trees.items()):
-                e = _tree_expr(tree, 0, feats)
+                e = _tree_expr(tree, ROOT, feats)
                 expr = F.when(F.col("run") == F.lit(run), e) if expr is None else expr.when(F.col("run") == F.lit(run), e)
             out = rows.join(nodes.select("run").distinct(), "run", "left_semi").select("*", expr.alias("_leaf"))
             return out.select(*rows.columns, F.col("_leaf.leaf").alias("leaf"), F.col("_leaf.p1").alias("p1"))
-    max_depth = nodes.agg(F.max("depth")).first()[0] or 0
     nd = nodes.select("run", "node", "is_leaf", "feature_index", "threshold", "p1")
-    cur = rows.withColumn("node", F.lit(0).cast("bigint"))
+    cur = rows.withColumn("node", F.lit(ROOT))
     xf = F.element_at(F.array(*[F.col(c).cast("double") for c in feats]), F.col("feature_index") + 1)
     parts = []
-    for _ in range(max_depth + 1):
+    for _ in range((max_depth or 0) + 1):
         j = cut_lineage(cur.join(nd, ["run", "node"]))
         parts.append(j.where("is_leaf").select(*rows.columns, F.col("node").alias("leaf"), "p1"))
         cur = j.where(~F.col("is_leaf")).select(
-            *rows.columns, (F.col("node") * 2 + 1 + F.when(xf > F.col("threshold"), 1).otherwise(0)).alias("node")
+            *rows.columns, _child(xf > F.col("threshold")).alias("node")
         )
     out = parts[0]
     for p_ in parts[1:]:

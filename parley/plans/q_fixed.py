@@ -1,5 +1,5 @@
 """Queries with SQL oracles for the model-side operators: exact best split, isotonic fit and
-apply, fixed models (published tree rules, published coefficients, Platt parameters),
+apply, fixed models (example tree rules and coefficients, Platt parameters),
 fixed-model ablation with drops, grid rank, union by name (I5, I11, I20, C4, F6, E5, G1)."""
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from ..functions.patterns import STRUCTURAL_FEATURES
 from ..operators import calibrate as CAL
 from ..operators import metrics as M
 from ..operators import modelling as MD
+from ..operators import split as S
 from ..operators import thresholds as T
 from ..operators import tree as TR
 from ..operators import tree_text as TT
+from ..session import cut_lineage
 from ..sources import tables as src
 from . import oracle_sql as O
 from . import q_metrics as QM
@@ -27,14 +29,11 @@ def _best_split(spark, sf_dir, criterion):
         F.lit("lineitem").alias("run"), F.col("l_linestatus").alias("node"), *SPLIT_FEATS,
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
     )
-    rows = li.select("run", "node", *SPLIT_FEATS, "y", F.lit(1).cast("bigint").alias("cnt"), F.lit(1.0).alias("w"))
-    stats = rows.groupBy("run", "node").agg(
-        F.sum("cnt").alias("n_node"),
-        F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("w0_node"),
-        F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("w1_node"),
-    ).select("*", F.lit(criterion).alias("criterion"), F.lit(1).alias("msl"))
+    rows = li.select("run", "node", *SPLIT_FEATS, "y", F.lit(1).cast("bigint").alias("cnt"))
+    stats = rows.groupBy("run", "node").agg(F.sum("cnt").alias("n_node"), F.sum(F.when(F.col("y") == 1, F.col("cnt")).otherwise(0)).alias("c1_node"))
+    stats = cut_lineage(stats.select("*", F.lit(1.0).alias("cw0"), F.lit(1.0).alias("cw1"), F.lit(criterion).alias("criterion"), F.lit(1).alias("msl")))
     largest = stats.agg(F.max("n_node")).first()[0] or 0
-    best = TR.best_splits(rows, stats, SPLIT_FEATS, bucketed=largest > TR.WINDOW_LIMIT)
+    best = TR.best_splits(rows, stats, SPLIT_FEATS, n_buckets=-(-largest // TR.ROWS_PER_BUCKET))
     return best.select(
         "node",
         F.element_at(F.array(*[F.lit(c) for c in SPLIT_FEATS]), F.col("feature_index") + 1).alias("feature"),
@@ -90,7 +89,7 @@ def _iso_input(spark, sf_dir):
     return s.select(F.lit("quantity").alias("run"), F.col("p").alias("score"), "y", "id")
 
 
-ISO_SQL_CTE = """WITH li AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity / 50.0 AS x FROM lineitem),
+ISO_SQL_CTE = f"""WITH li AS (SELECT {QM.ID_SQL} AS id, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity / 50.0 AS x FROM lineitem),
 d AS (SELECT x, CAST(sum(y) AS DOUBLE) AS sy, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY x) AS i FROM li GROUP BY x),
 c AS (SELECT i, x, sum(sy) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw, sum(sy) OVER (ORDER BY i) - sy AS cs0, sum(w) OVER (ORDER BY i) - w AS cw0 FROM d),
 mm AS (SELECT p.i, p.x, max(mn) AS fitted FROM c p JOIN (
@@ -142,26 +141,34 @@ PLATT_A, PLATT_B = 4.0, -2.0
 )
 def q_apply_platt(spark, sf_dir):
     s = QM.scores(spark, sf_dir).select(F.col("model").alias("run"), "id", F.col("p").alias("score"))
-    prm = s.select("run").distinct().select("run", F.lit(PLATT_A).alias("a"), F.lit(PLATT_B).alias("b"))
+    prm = spark.createDataFrame([(m, PLATT_A, PLATT_B) for m in QM.MODELS], "run string, a double, b double")
     out = CAL.apply_platt(s, prm)
     return out.select("id", F.col("run").alias("model"), M.rnd(F.col("p_cal")).alias("p_cal"))
 
 
 # ---------------------------------------------------------------------- fixed models on thread features
-# ---- fixed values (published standardised LR coefficients; no intercept is published) ----
-PUBLISHED_COEFFICIENTS = {
-    "turn_count": 2.147104125272284,
-    "aggregate_money_terms": 1.5389655380855294,
-    "ratio_request_messages": 0.7582099643453202,
-    "aggregate_num_urls": 0.08292737966290638,
-}
+# ---- fixed values (example coefficients on standardised features) ----
+EXAMPLE_COEFFICIENTS = {"turn_count": 0.75, "aggregate_money_terms": 1.5, "ratio_request_messages": -0.5, "aggregate_num_urls": 0.125}
+
+EXAMPLE_RULES = """\
+|--- aggregate_money_terms <= 3.5000
+|   |--- turn_count <= 6.5000
+|   |   |--- class: 0
+|   |--- turn_count >  6.5000
+|   |   |--- ratio_request_messages <= 0.5000
+|   |   |   |--- class: 0
+|   |   |--- ratio_request_messages >  0.5000
+|   |   |   |--- class: 1
+|--- aggregate_money_terms >  3.5000
+|   |--- class: 1
+"""
 
 
 def _linear_sql() -> str:
     feats = STRUCTURAL_FEATURES
     stats = ", ".join(f"avg({c}) AS {c}__m, stddev_pop({c}) AS {c}__s" for c in feats)
     terms = " + ".join(
-        f"{PUBLISHED_COEFFICIENTS[c]!r} * (({c} - {c}__m) / CASE WHEN {c}__s = 0 THEN 1.0 ELSE {c}__s END)" for c in feats
+        f"{EXAMPLE_COEFFICIENTS[c]!r} * (({c} - {c}__m) / CASE WHEN {c}__s = 0 THEN 1.0 ELSE {c}__s END)" for c in feats
     )
     return O.with_features(
         f"SELECT orig_index, round(dec, 10) AS decision, round(1.0 / (1.0 + exp(-dec)), 10) AS p FROM "
@@ -177,22 +184,24 @@ def q_linear_score(spark, sf_dir):
     feats = STRUCTURAL_FEATURES
     st = M.standardization_stats(f, feats)
     model = st.select(
-        F.lit("published").alias("run"),
-        F.array(*[F.lit(PUBLISHED_COEFFICIENTS[c]) for c in feats]).alias("coefficients"),
+        F.lit("example").alias("run"),
+        F.array(*[F.lit(EXAMPLE_COEFFICIENTS[c]) for c in feats]).alias("coefficients"),
         F.lit(0.0).alias("intercept"),
         F.array(*[F.col(f"{c}__mean") for c in feats]).alias("means"),
         F.array(*[F.col(f"{c}__std") for c in feats]).alias("stds"),
     )
-    s = LIN.score(f.select(F.lit("published").alias("run"), "orig_index", *feats), model, feats)
+    s = LIN.score(f.select(F.lit("example").alias("run"), "orig_index", *feats), model, feats)
     return s.select("orig_index", M.rnd(F.col("decision")).alias("decision"), M.rnd(F.col("p1")).alias("p"))
 
 
 @register(
     "apply_tree_rules",
-    O.with_features(f"SELECT orig_index, thread_label, {TT.rules_sql(TT.parse_rules(TT.PUBLISHED_RULES))} AS predicted FROM features"),
+    O.with_features(
+        "SELECT orig_index, thread_label, CAST(aggregate_money_terms > 3.5 OR (turn_count > 6.5 AND ratio_request_messages > 0.5) AS INTEGER) AS predicted FROM features"
+    ),
 )
 def q_apply_tree_rules(spark, sf_dir):
-    rule = TT.rules_column(TT.parse_rules(TT.PUBLISHED_RULES))
+    rule = TT.rules_column(TT.parse_rules(EXAMPLE_RULES))
     return features(spark, sf_dir).select("orig_index", "thread_label", rule.alias("predicted"))
 
 
@@ -206,10 +215,8 @@ ABL_MODELS = {
 
 
 def _abl_scores(spark, sf_dir):
-    li = src.table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_returnflag") == "R").cast("int").alias("y"), *ABL_FEATS
-    )
-    z = M.standardize(li, ABL_FEATS, keep=["id", "y"])
+    li = S.with_folds(QM.lineitem_rows(spark, sf_dir, ABL_FEATS), 5, id_col="id", label="y")
+    z = M.standardize(li, ABL_FEATS, keep=["id", "y", "fold"], stats=M.standardization_stats(src.table(spark, sf_dir, "lineitem"), ABL_FEATS))
     sets = MD.feature_sets(ABL_FEATS)
     items = []
     for mname, (b0, coef) in ABL_MODELS.items():
@@ -220,8 +227,7 @@ def _abl_scores(spark, sf_dir):
                     dec = dec + F.lit(w) * F.col(c)
             items.append(F.struct(F.lit(mname).alias("model"), F.lit(sname).alias("feature_set"),
                                   F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-dec)), 12).alias("p")))
-    x = z.select("id", "y", F.explode(F.array(*items)).alias("s")).select("id", "y", "s.*")
-    return x.join(QM.folds(spark, sf_dir).select("id", "fold"), "id")
+    return z.select("id", "y", "fold", F.explode(F.array(*items)).alias("s")).select("id", "y", "fold", "s.*")
 
 
 def ablation_fixed(spark, sf_dir):
@@ -236,41 +242,47 @@ def _abl_sql() -> str:
     zc = ", ".join(f"({c} - {c}__m) / CASE WHEN {c}__s = 0 THEN 1.0 ELSE {c}__s END AS {c}" for c in ABL_FEATS)
     parts = []
     for mname, (b0, coef) in ABL_MODELS.items():
-        for sname, removed, cols in MD.feature_sets(ABL_FEATS):
-            dec = f"{b0!r}" + "".join(f" + {w!r} * {c}" for c, w in zip(ABL_FEATS, coef) if c in cols)
-            parts.append(f"SELECT id, y, '{mname}' AS model, '{sname}' AS feature_set, round(1.0 / (1.0 + exp(-({dec}))), 12) AS p FROM z")
+        for left_out in [None, *ABL_FEATS]:
+            sname = f"without_{left_out}" if left_out else "full_feature_set"
+            dec = f"{b0!r}" + "".join(f" + {w!r} * {c}" for c, w in zip(ABL_FEATS, coef) if c != left_out)
+            parts.append(f"SELECT id, y, fold, '{mname}' AS model, '{sname}' AS feature_set, round(1.0 / (1.0 + exp(-({dec}))), 12) AS p FROM z")
     fm = QM.fold_metrics_sql("model, feature_set, fold", "abl").replace("p < 0.5", "p <= 0.5").replace("p >= 0.5", "p > 0.5")
     summ = QM.summary_sql("model, feature_set", fm, QM.METRICS5, "stddev_samp")
     drops = ", ".join(
-        f"round(coalesce(f.{m}_mean - s.{m}_mean, 0.0), 10) AS {m}_mean_drop_from_full" for m in QM.METRICS5
+        f"coalesce(f.{m}_mean - s.{m}_mean, 0.0) AS {m}_mean_drop_from_full" for m in QM.METRICS5
     )
     return QM.W(
         f"SELECT s.*, {drops} FROM summ s LEFT JOIN (SELECT * FROM summ WHERE feature_set = 'full_feature_set') f USING (model)",
         f""",
-li2 AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_returnflag = 'R' AS INTEGER) AS y, {', '.join(ABL_FEATS)} FROM lineitem),
-z AS (SELECT id, y, {zc} FROM li2 JOIN (SELECT {stats} FROM lineitem) st ON true),
-abl0 AS ({' UNION ALL '.join(parts)}),
-abl AS (SELECT abl0.*, fo.fold FROM abl0 JOIN fo USING (id)),
+li2 AS (SELECT {QM.ID_SQL} AS id, CAST(l_returnflag = 'R' AS INTEGER) AS y, {QM.FOLD_SQL}, {', '.join(ABL_FEATS)} FROM lineitem),
+z AS (SELECT id, y, fold, {zc} FROM li2 JOIN (SELECT {stats} FROM lineitem) st ON true),
+abl AS ({' UNION ALL '.join(parts)}),
 summ AS ({summ})""",
     )
 
 
 ABL_SQL = _abl_sql()
+ABL_COLS = ["model", "feature_set", *QM.MEANS, *[f".{m}_mean_drop_from_full" for m in QM.METRICS5]]
+
+
+def _abl_rounded(sql: str) -> str:
+    head, select = sql.split("\nSELECT", 1)
+    return head + "\n" + QM.rounded_sql(ABL_COLS, f"(SELECT{select}) last")
 
 
-@register("ablation_drops", ABL_SQL)
+@register("ablation_drops", _abl_rounded(ABL_SQL))
 def q_ablation_drops(spark, sf_dir):
-    return ablation_fixed(spark, sf_dir)
+    return M.rounded(ablation_fixed(spark, sf_dir))
 
 
 @register(
     "largest_f1_drop",
-    ABL_SQL.replace(
+    _abl_rounded(ABL_SQL.replace(
         "SELECT s.*, ", "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1_mean_drop_from_full DESC, feature_set) AS rn FROM (SELECT s.*, ", 1
-    ) + " WHERE s.feature_set <> 'full_feature_set') x) y WHERE rn = 1",
+    ) + " WHERE s.feature_set <> 'full_feature_set') x) y WHERE rn = 1"),
 )
 def q_largest_f1_drop(spark, sf_dir):
-    return MD.largest_drop(ablation_fixed(spark, sf_dir))
+    return M.rounded(MD.largest_drop(ablation_fixed(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------- rank / union
@@ -295,25 +307,24 @@ def q_grid_rank(spark, sf_dir):
     "grid_results_union",
     QM.W(
         "SELECT * FROM (" + QM.conf_sql("model", "(SELECT *, CAST(p >= 0.5 AS INTEGER) AS pred FROM sc) t", "pred")
-        + ") a UNION ALL BY NAME SELECT * FROM " + QM.auc_sql("model", "sc") + " b"
+        + ") a UNION ALL BY NAME SELECT model, n_pos, n_neg, round(roc_auc, 10) AS roc_auc FROM " + QM.auc_sql("model", "sc") + " b"
     ),
 )
 def q_grid_results_union(spark, sf_dir):
     s = QM.scores(spark, sf_dir)
     a = M.confusion(s.withColumn("pred", M.binarize("p", 0.5)), "y", "pred", ["model"])
-    b = M.roc_auc(s, "y", "p", ["model"])
+    b = M.rounded(M.roc_auc(s, "y", "p", ["model"]))
     return a.unionByName(b, allowMissingColumns=True)
 
 
 @register("hyperparams_with_defaults")
 def q_hyperparams_with_defaults(spark, sf_dir):
-    """Selected parameters (long form from the grid winner) completed with per-key defaults."""
+    """Selected parameters (long form of a regularisation search's winner) completed with per-key defaults."""
     from ..sources.splits import hyperparams_with_defaults
-    from .q_models import q_selected_params
+    from .q_models import search, selected
 
-    sel = q_selected_params(spark, sf_dir)
+    sel = selected(search(spark, sf_dir, [c for c in MD.lr_grid() if not c["balanced"] and c["l1"] == 0.0], None))
     long = sel.select("model", F.explode(F.from_json("best_params", "map<string,string>")).alias("param", "value")).select(
         "model", F.regexp_replace("param", "^model__", "").alias("param"), "value"
     )
-    long = long.withColumn("param", F.when(F.col("param") == "l1_ratio", "l1_ratio").otherwise(F.col("param")))
     return hyperparams_with_defaults(long)

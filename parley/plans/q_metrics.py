@@ -20,32 +20,37 @@ from .registry import register
 MODELS = ["quantity", "discount"]  # model order = tie order (first wins)
 
 
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # order and line number alone are no key of the test table
+
+
+def lineitem_rows(spark, sf_dir, cols):
+    """(id, y, cols): one row per line item, with an id that is unique."""
+    li = src.table(spark, sf_dir, "lineitem").select(*KEY, "l_returnflag", *cols)
+    return li.select(F.concat_ws(":", *KEY).alias("id"), (F.col("l_returnflag") == "R").cast("int").alias("y"), *cols)
+
+
 def lineitem_labels(spark, sf_dir):
-    li = src.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount")
-    return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        (F.col("l_returnflag") == "R").cast("int").alias("y"),
-        "l_quantity",
-        "l_discount",
-    )
+    return lineitem_rows(spark, sf_dir, ["l_quantity", "l_discount"])
 
 
-def scores(spark, sf_dir):
-    """(id, y, model, p) for both scorers: a generator over the scan, no join."""
-    li = lineitem_labels(spark, sf_dir)
+def scorers(rows):
+    """Both scorers' rows: a generator over the rows, no join."""
     arr = F.array(
         F.struct(F.lit("quantity").alias("model"), (F.col("l_quantity") / 50.0).alias("p")),
         F.struct(F.lit("discount").alias("model"), (F.lit(1.0) - F.col("l_discount") * 10.0).alias("p")),
     )
-    return li.select("id", "y", F.explode(arr).alias("s")).select("id", "y", "s.model", "s.p")
+    kept = [c for c in rows.columns if c in ("id", "y", "fold")]
+    return rows.select(*kept, F.explode(arr).alias("s")).select(*kept, "s.model", "s.p")
 
 
-def folds(spark, sf_dir):
-    return S.stratified_folds(lineitem_labels(spark, sf_dir), 5, id_col="id", label="y")
+def scores(spark, sf_dir):
+    """(id, y, model, p) for both scorers."""
+    return scorers(lineitem_labels(spark, sf_dir))
 
 
 def fold_scores(spark, sf_dir):
-    return scores(spark, sf_dir).join(folds(spark, sf_dir).select("id", "fold"), "id")
+    """(id, y, fold, model, p): rows get their fold where they stand, then both scores."""
+    return scorers(S.with_folds(lineitem_labels(spark, sf_dir), 5, id_col="id", label="y"))
 
 
 def calib_scores(spark, sf_dir):
@@ -76,11 +81,14 @@ def calibration_summary(spark, sf_dir):
 # SQL side
 # ------------------------------------------------------------------------------------------------
 R = 10
-LI = """li AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity, l_discount FROM lineitem),
+ID_SQL = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+FOLD_SQL = "CAST((row_number() OVER (PARTITION BY l_returnflag = 'R' ORDER BY md5('42:' || " + ID_SQL + "), " + ID_SQL + ") - 1) % 5 AS INTEGER) AS fold"
+LI = f"""li AS (SELECT {ID_SQL} AS id, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity, l_discount FROM lineitem),
 sc AS (SELECT id, y, 'quantity' AS model, l_quantity / 50.0 AS p FROM li
        UNION ALL SELECT id, y, 'discount' AS model, 1.0 - l_discount * 10.0 AS p FROM li),
-fo AS (SELECT id, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 5 AS INTEGER) AS fold FROM li),
-fs AS (SELECT sc.*, fo.fold FROM sc JOIN fo USING (id)),
+fo AS (SELECT {ID_SQL} AS id, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity, l_discount, {FOLD_SQL} FROM lineitem),
+fs AS (SELECT id, y, fold, 'quantity' AS model, l_quantity / 50.0 AS p FROM fo
+       UNION ALL SELECT id, y, fold, 'discount' AS model, 1.0 - l_discount * 10.0 AS p FROM fo),
 cs AS (SELECT id, y, model, fold, 'raw' AS calibration_method, p FROM fs
        UNION ALL SELECT id, y, model, fold, 'sqrt' AS calibration_method, sqrt(p) AS p FROM fs)"""
 
@@ -110,7 +118,7 @@ MET = {
 
 def auc_sql(keys: str, src_: str) -> str:
     return f"""(SELECT {keys}, CAST(sum(n_pos) AS BIGINT) AS n_pos, CAST(sum(n_neg) AS BIGINT) AS n_neg,
-  round(CASE WHEN sum(n_pos) > 0 AND sum(n_neg) > 0 THEN sum(n_pos * (coalesce(below, 0) + n_neg / 2.0)) / (CAST(sum(n_pos) AS DOUBLE) * sum(n_neg)) END, {R}) AS roc_auc
+  CASE WHEN sum(n_pos) > 0 AND sum(n_neg) > 0 THEN sum(n_pos * (coalesce(below, 0) + n_neg / 2.0)) / (CAST(sum(n_pos) AS DOUBLE) * sum(n_neg)) END AS roc_auc
 FROM (SELECT {keys}, n_pos, n_neg, sum(n_neg) OVER (PARTITION BY {keys} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
       FROM (SELECT {keys}, p, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg FROM {src_} GROUP BY {keys}, p) c) w
 GROUP BY {keys})"""
@@ -119,9 +127,9 @@ GROUP BY {keys})"""
 def fold_metrics_sql(keys: str, src_: str) -> str:
     keyl = [k.strip() for k in keys.split(",")]
     using = ", ".join(keyl)
-    mets = ", ".join(f"round({v}, {R}) AS {k}" for k, v in MET.items())
+    mets = ", ".join(f"{v} AS {k}" for k, v in MET.items())
     return f"""(SELECT b.*, a.roc_auc FROM
- (SELECT {keys}, {mets}, round(brier_raw, {R}) AS brier_score FROM
+ (SELECT {keys}, {mets}, brier_raw AS brier_score FROM
    (SELECT {keys}, count(*) FILTER (WHERE y = 0 AND p < 0.5) AS true_negative, count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS false_positive,
            count(*) FILTER (WHERE y = 1 AND p < 0.5) AS false_negative, count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS true_positive,
            avg((p - y) * (p - y)) AS brier_raw FROM {src_} GROUP BY {keys}) c) b
@@ -129,10 +137,15 @@ def fold_metrics_sql(keys: str, src_: str) -> str:
 
 
 def summary_sql(keys: str, src_: str, metrics, std: str) -> str:
-    cols = ", ".join(f"round(avg({m}), {R}) AS {m}_mean, round({std}({m}), {R}) AS {m}_std" for m in metrics)
+    cols = ", ".join(f"avg({m}) AS {m}_mean, {std}({m}) AS {m}_std" for m in metrics)
     return f"SELECT {keys}, {cols} FROM {src_} GROUP BY {keys}"
 
 
+def rounded_sql(cols, src_: str) -> str:
+    """SELECT of cols from src_, those with a point rounded: 'a' stays, '.a' is rounded."""
+    return "SELECT " + ", ".join(f"round({c[1:]}, {R}) AS {c[1:]}" if c[0] == "." else c for c in cols) + f" FROM {src_}"
+
+
 def W(select: str, extra: str = "") -> str:
     return f"WITH {LI}{extra}\n{select}"
 
@@ -142,22 +155,15 @@ CV_SUMMARY_SQL = summary_sql("model", fold_metrics_sql("model, fold", "fs"), MET
 CAL_SUMMARY_SQL = summary_sql(
     "model, calibration_method", fold_metrics_sql("model, calibration_method, fold", "cs"), METRICS5 + ["brier_score"], "stddev_samp"
 )
-
-
-def grid_idx_sql(p: str) -> str:
-    c = f"CAST(floor({p} * 100) AS INTEGER)"
-    adj = f"CASE WHEN ({c} + 1) / 100.0 <= {p} THEN {c} + 1 WHEN {c} / 100.0 > {p} THEN {c} - 1 ELSE {c} END"
-    return f"greatest(4, least(95, {adj}))"
+MEANS = [f".{m}_{s}" for m in METRICS5 for s in ("mean", "std")]
+CAL_MEANS = MEANS + [".brier_score_mean", ".brier_score_std"]
 
 
 SWEEP_SQL = f""",
-per AS (SELECT model, {grid_idx_sql('p')} AS g, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg FROM sc GROUP BY ALL),
-tot AS (SELECT model, sum(n_pos) AS P, sum(n_neg) AS N FROM per GROUP BY model),
-grid AS (SELECT model, P, N, CAST(g.range AS INTEGER) AS g FROM tot JOIN range(5, 96) g ON true),
-sw0 AS (SELECT grid.model, grid.g, P, N,
-          sum(coalesce(per.n_pos, 0)) OVER (PARTITION BY grid.model ORDER BY grid.g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
-          sum(coalesce(per.n_neg, 0)) OVER (PARTITION BY grid.model ORDER BY grid.g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp
-        FROM grid LEFT JOIN per ON grid.model = per.model AND grid.g = per.g),
+per AS (SELECT model, p, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg FROM sc GROUP BY model, p),
+sw0 AS (SELECT model, CAST(g.range AS INTEGER) AS g, sum(n_pos) AS P, sum(n_neg) AS N,
+          coalesce(sum(n_pos) FILTER (WHERE p >= g.range / 100.0), 0) AS tp, coalesce(sum(n_neg) FILTER (WHERE p >= g.range / 100.0), 0) AS fp
+        FROM per JOIN range(5, 96) g ON true GROUP BY ALL),
 sw AS (SELECT model, g / 100.0 AS threshold, CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive,
          CAST(P - tp AS BIGINT) AS false_negative, CAST(N - fp AS BIGINT) AS true_negative, CAST(tp + fp AS BIGINT) AS n_predicted_positive,
          {zdiv('tp', 'tp + fp')} AS precision, {zdiv('tp', 'P')} AS recall, {zdiv('2 * tp', 'tp + P + fp')} AS f1 FROM sw0),
@@ -207,14 +213,14 @@ def q_classification_metrics(spark, sf_dir):
     return M.classification_metrics(s, "y", "pred", ["model"])
 
 
-@register("roc_auc", W(f"SELECT * FROM {auc_sql('model', 'sc')} a"))
+@register("roc_auc", W(rounded_sql(["model", "n_pos", "n_neg", ".roc_auc"], f"{auc_sql('model', 'sc')} a")))
 def q_roc_auc(spark, sf_dir):
-    return M.roc_auc(scores(spark, sf_dir), "y", "p", ["model"])
+    return M.rounded(M.roc_auc(scores(spark, sf_dir), "y", "p", ["model"]))
 
 
 @register("brier_score", W(f"SELECT model, round(avg((p - y) * (p - y)), {R}) AS brier_score FROM sc GROUP BY model"))
 def q_brier_score(spark, sf_dir):
-    return M.brier(scores(spark, sf_dir), "y", "p", ["model"])
+    return M.rounded(M.brier(scores(spark, sf_dir), "y", "p", ["model"]))
 
 
 def _report_sql() -> str:
@@ -238,22 +244,22 @@ allr AS (SELECT * FROM per
 @register("classification_report", _report_sql())
 def q_classification_report(spark, sf_dir):
     s = scores(spark, sf_dir).where(F.col("model") == "quantity").withColumn("pred", M.predict_label("p"))
-    return M.classification_report(s, "y", "pred")
+    return M.rounded(M.classification_report(s, "y", "pred"))
 
 
-@register("cv_fold_metrics", W(f"SELECT * FROM {fold_metrics_sql('model, fold', 'fs')} m"))
+@register("cv_fold_metrics", W(rounded_sql(["model", "fold", *[f".{m}" for m in METRICS5], ".brier_score"], f"{fold_metrics_sql('model, fold', 'fs')} m")))
 def q_cv_fold_metrics(spark, sf_dir):
-    return cv_fold_metrics(spark, sf_dir)
+    return M.rounded(cv_fold_metrics(spark, sf_dir))
 
 
-@register("cv_summary", W(CV_SUMMARY_SQL))
+@register("cv_summary", W(rounded_sql(["model", *MEANS], f"({CV_SUMMARY_SQL}) s")))
 def q_cv_summary(spark, sf_dir):
-    return cv_summary(spark, sf_dir)
+    return M.rounded(cv_summary(spark, sf_dir))
 
 
-@register("calibration_summary", W(CAL_SUMMARY_SQL))
+@register("calibration_summary", W(rounded_sql(["model", "calibration_method", *CAL_MEANS], f"({CAL_SUMMARY_SQL}) s")))
 def q_calibration_summary(spark, sf_dir):
-    return calibration_summary(spark, sf_dir)
+    return M.rounded(calibration_summary(spark, sf_dir))
 
 
 @register(
@@ -272,7 +278,7 @@ def q_cv_summary_formatted(spark, sf_dir):
 @register(
     "best_model",
     W(
-        "SELECT metric, model, score FROM (SELECT metric, model, score, row_number() OVER (PARTITION BY metric ORDER BY score DESC, "
+        "SELECT metric, model, round(score, 10) AS score FROM (SELECT metric, model, score, row_number() OVER (PARTITION BY metric ORDER BY score DESC, "
         "CASE model WHEN 'quantity' THEN 0 ELSE 1 END) AS rn FROM (SELECT 'f1' AS metric, model, f1_mean AS score FROM s "
         "UNION ALL SELECT 'roc_auc', model, roc_auc_mean FROM s) u) r WHERE rn = 1",
         f",\ns AS ({CV_SUMMARY_SQL})",
@@ -281,15 +287,15 @@ def q_cv_summary_formatted(spark, sf_dir):
 def q_best_model(spark, sf_dir):
     from ..operators.selection import best_per_metric
 
-    return best_per_metric(cv_summary(spark, sf_dir), ["f1", "roc_auc"], MODELS)
+    return M.rounded(best_per_metric(cv_summary(spark, sf_dir), ["f1", "roc_auc"], MODELS))
 
 
 @register(
     "select_calibration",
-    W(f"SELECT * FROM ({CAL_SUMMARY_SQL}) s ORDER BY brier_score_mean, f1_mean DESC LIMIT 1"),
+    W(rounded_sql(["model", "calibration_method", *CAL_MEANS], f"(SELECT * FROM ({CAL_SUMMARY_SQL}) s ORDER BY brier_score_mean, f1_mean DESC LIMIT 1) b")),
 )
 def q_select_calibration(spark, sf_dir):
-    return calibration_summary(spark, sf_dir).orderBy(F.col("brier_score_mean"), F.col("f1_mean").desc()).limit(1)
+    return M.rounded(calibration_summary(spark, sf_dir).orderBy(F.col("brier_score_mean"), F.col("f1_mean").desc()).limit(1))
 
 
 @register(
@@ -307,13 +313,13 @@ STD_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     "standardize_features",
     "WITH st AS (SELECT "
     + ", ".join(f"avg({c}) AS {c}__mean, stddev_pop({c}) AS {c}__std" for c in STD_COLS)
-    + ") SELECT l_orderkey * 10 + l_linenumber AS id, "
+    + f") SELECT {ID_SQL} AS id, "
     + ", ".join(f"round(({c} - {c}__mean) / CASE WHEN {c}__std = 0 THEN 1.0 ELSE {c}__std END, {R}) AS {c}" for c in STD_COLS)
     + " FROM lineitem JOIN (SELECT " + ", ".join(f"avg({c}) AS {c}__mean, stddev_pop({c}) AS {c}__std" for c in STD_COLS)
     + " FROM lineitem) st ON true",
 )
 def q_standardize_features(spark, sf_dir):
-    li = src.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *STD_COLS)
+    li = lineitem_rows(spark, sf_dir, STD_COLS)
     z = M.standardize(li, STD_COLS, keep=["id"])
     return z.select("id", *[M.rnd(F.col(c)).alias(c) for c in STD_COLS])
 

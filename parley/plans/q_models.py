@@ -73,29 +73,17 @@ def q_heldout_evaluation(spark, sf_dir):
     return MD.heldout_evaluation(train, test, cands)
 
 
-_GRID_TABLES: dict = {}
-
-
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
-    """20 LR + 180 tree candidates x 5 folds, all fitted together; mean/pop-std and F1 rank per model.
-
-    The result is checkpointed once per (application, data folder) and reused by the
-    queries derived from it (selected parameters, parameter defaults).
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _GRID_TABLES:
-        from ..session import cut_lineage
+    """20 LR + 180 tree candidates x 5 folds, all fitted together; mean/pop-std and F1 rank per model."""
+    return search(spark, sf_dir, MD.lr_grid(), MD.tree_grid())
 
-        _GRID_TABLES[key] = cut_lineage(_grid_search(spark, sf_dir))
-    return _GRID_TABLES[key]
 
-
-def _grid_search(spark, sf_dir):
+def search(spark, sf_dir, lr_list, tree_list):
     from pyspark.sql import Window
 
     data, _, _ = model_data(spark, sf_dir)
-    cands = MD.candidates(spark, lr_list=MD.lr_grid(), tree_list=MD.tree_grid())
+    cands = MD.candidates(spark, lr_list=lr_list, tree_list=tree_list)
     m = MD.cross_validate(data, cands, 5)
     summ = MD.cv_summary(m, ["cand_id", "model"])
     summ = summ.join(F.broadcast(cands.select("cand_id", "params")), "cand_id")
@@ -106,9 +94,12 @@ def _grid_search(spark, sf_dir):
 @register("selected_params")
 def q_selected_params(spark, sf_dir):
     """Refit-by-F1 winner per model (first candidate among equal mean F1) with its ten metric fields."""
+    return selected(q_grid_search(spark, sf_dir))
+
+
+def selected(g):
     from ..operators.selection import first_by
 
-    g = q_grid_search(spark, sf_dir)
     best = first_by(g, ["model"], [F.col("f1_mean").desc(), F.col("cand_id")])
     metrics = F.struct(*[F.col(f"{m}_{s}") for m in ["accuracy", "precision", "recall", "f1", "roc_auc"] for s in ["mean", "std"]])
     return best.select("model", F.col("params").alias("best_params"), F.col("f1_mean").alias("best_f1"), F.to_json(metrics).alias("metrics"))
@@ -151,22 +142,7 @@ def q_tree_paths(spark, sf_dir):
     return leaf_paths(_tuned_tree(spark, sf_dir)).select("leaf", "depth", "class", "conditions")
 
 
-_CALIBRATION_TABLES: dict = {}
-
-
 def _calibration(spark, sf_dir):
-    """Nested calibration, checkpointed once per (application, data folder) and shared by the
-    out-of-fold and summary queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CALIBRATION_TABLES:
-        from ..session import cut_lineage
-
-        oof, met = _calibration_job(spark, sf_dir)
-        _CALIBRATION_TABLES[key] = (cut_lineage(oof), cut_lineage(met))
-    return _CALIBRATION_TABLES[key]
-
-
-def _calibration_job(spark, sf_dir):
     data, _, _ = model_data(spark, sf_dir)
     nested = S.nested_folds(data.select("orig_index", F.col("y").alias("thread_label"), "fold"))
     cands = MD.candidates(spark, lr=MD.LR_TUNED, tree=MD.TREE_TUNED)
@@ -188,6 +164,42 @@ def q_oof_predictions(spark, sf_dir):
     return oof.select("model", "calibration_method", "orig_index", "fold", "y", "p")
 
 
+def _setups(spark, sf_dir):
+    """Out-of-fold probabilities of the best (model, calibration method): lowest mean Brier score, then highest mean F1."""
+    from ..operators import metrics as M
+    from ..operators.selection import first_by
+
+    oof, met = _calibration(spark, sf_dir)
+    summary = M.summarize(met, ["model", "calibration_method"], M.METRICS + ["brier_score"], sample_std=True)
+    best = first_by(summary, [], [F.col("brier_score_mean"), F.col("f1_mean").desc(), F.col("model"), F.col("calibration_method")])
+    won = oof.join(best.select("model", "calibration_method"), ["model", "calibration_method"], "left_semi")
+    return cut_lineage(won.select("model", "orig_index", "fold", "y", "p"))
+
+
+@register("risk_bands_oof")
+def q_risk_bands_oof(spark, sf_dir):
+    """Features -> nested calibration -> best setup -> risk bands from its out-of-fold probabilities."""
+    from ..operators import thresholds as T
+
+    won = _setups(spark, sf_dir)
+    return T.risk_bands(T.sweep(won, "y", "p", ["model"]), ["model"])
+
+
+@register("thread_risk")
+def q_thread_risk(spark, sf_dir):
+    """Each training thread with the winner's out-of-fold probability and the band it falls in."""
+    from ..operators import thresholds as T
+
+    won = _setups(spark, sf_dir)
+    bands = cut_lineage(T.risk_bands(T.sweep(won, "y", "p", ["model"]), ["model"]))
+    return T.assign_band(won, bands, "p", ["model"])
+
+
+@register("tree_baseline_scores")
+def q_tree_baseline_scores(spark, sf_dir):
+    return _fit_score_heldout(spark, sf_dir, tree=MD.TREE_BASELINE)
+
+
 @register("ablation")
 def q_ablation(spark, sf_dir):
     data, _, _ = model_data(spark, sf_dir)

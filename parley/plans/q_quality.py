@@ -9,6 +9,7 @@ from ..operators import profile as prof
 from ..operators import quality as qual
 from ..sources import tables as src
 from . import oracle_sql as O
+from ..operators.metrics import rounded
 from .registry import features, register, threads, turns
 
 FEATS = STRUCTURAL_FEATURES
@@ -69,12 +70,15 @@ def q_validate_features(spark, sf_dir):
 
 @register("failed_checks")
 def q_failed_checks(spark, sf_dir):
+    """Both suites over tables with planted faults: every seventh thread is out of range or lacks its label."""
     raw = threads(spark, sf_dir)
     from ..operators import features as feat
 
-    return qual.failed_checks(
-        qual.validate_turns(feat.parse_turns(raw)), qual.validate_features(feat.thread_features(raw))
-    ).select("check", "status", "detail")
+    hit = F.substring("thread_id", 8, 20).cast("bigint") % 7 == 0  # thread_000123
+    turns = feat.parse_turns(raw).withColumn("turn_index", F.when(hit, -1).otherwise(F.col("turn_index")))
+    feats = feat.thread_features(raw)
+    feats = feats.withColumn("thread_label", F.when(~hit, F.col("thread_label"))).withColumn("turn_count", F.when(hit, F.lit(0).cast("bigint")).otherwise(F.col("turn_count")))
+    return qual.failed_checks(qual.validate_turns(turns), qual.validate_features(feats)).select("check", "status", "detail")
 
 
 def _with(ctes: str, select: str) -> str:
@@ -86,23 +90,12 @@ from .registry import ORACLE  # noqa: E402
 ORACLE["validate_turns"] = _with(TURN_CHECKS_SQL, _rows_sql("va", TURN_ROWS))
 ORACLE["validate_features"] = _with(FEATURE_CHECKS_SQL, _rows_sql("vb", FEATURE_ROWS))
 ORACLE["failed_checks"] = _with(
-    f"{TURN_CHECKS_SQL}, {FEATURE_CHECKS_SQL}, allc AS ({_rows_sql('va', TURN_ROWS)}\nUNION ALL {_rows_sql('vb', FEATURE_ROWS)})",
-    "SELECT \"check\", status, detail FROM allc WHERE status = 'FAIL'",
+    "bad_t AS (SELECT count(*) AS n FROM turns WHERE orig_index % 7 = 0), bad_f AS (SELECT count(*) AS n FROM features WHERE orig_index % 7 = 0)",
+    """SELECT 'Parsed data valid turn_index' AS "check", 'FAIL' AS status, 'Invalid turn_index rows: ' || n AS detail FROM bad_t WHERE n > 0
+UNION ALL SELECT 'Feature data missing labels', 'FAIL', 'Missing labels: ' || n FROM bad_f WHERE n > 0
+UNION ALL SELECT 'turn_count greater than 0', 'FAIL', 'Invalid turn_count rows: ' || n FROM bad_f WHERE n > 0""",
 )
 
-RAW_REQUIRED = ["dialogue", "label"]
-
-
-@register(
-    "missing_columns",
-    "SELECT column_name FROM (SELECT unnest(['dialogue', 'label']) AS column_name) r "
-    "WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE conversations))",
-)
-def q_missing_columns(spark, sf_dir):
-    conv = src.table(spark, sf_dir, "conversations")
-    return qual.missing_columns(spark, conv, RAW_REQUIRED)
-
-
 @register(
     "label_distribution",
     O.with_features(
@@ -134,7 +127,7 @@ def _describe_sql() -> str:
 
 @register("feature_describe", _describe_sql())
 def q_feature_describe(spark, sf_dir):
-    return prof.describe(features(spark, sf_dir), FEATS)
+    return rounded(prof.describe(features(spark, sf_dir), FEATS))
 
 
 _CONV_COLS = ["conv_id", "turn", "role", "text"]
@@ -234,9 +227,20 @@ def q_feature_sets(spark, sf_dir):
     ).select("feature_set", "removed_feature", "features_used", "n_features", "orig_index", "c.feature", "c.value")
 
 
+PRESENCE_FILES = ["conversations", "documents", "lineitem"]
+
+
 @register("input_presence")
 def q_input_presence(spark, sf_dir):
-    return src.input_presence(spark, f"{sf_dir.rstrip('/')}/*.parquet")
+    """Three tables and one path that isn't there."""
+    base = sf_dir.rstrip("/")
+    return src.input_presence(spark, [*[f"{base}/{n}.parquet" for n in PRESENCE_FILES], f"{base}/no_such_table.parquet"])
+
+
+@register("presence_checks")
+def q_presence_checks(spark, sf_dir):
+    base = sf_dir.rstrip("/")
+    return qual.presence_checks(spark, f"{base}/conversations.parquet", f"{base}/no_such_table.parquet")
 
 
 @register("dataset_profile")
@@ -246,4 +250,5 @@ def q_dataset_profile(spark, sf_dir):
     raw = threads(spark, sf_dir)
     from ..operators import features as feat
 
-    return dataset_profile(raw, feat.parse_turns(raw), feat.thread_features(raw))
+    files = {"raw_data": f"{sf_dir.rstrip('/')}/conversations.parquet"}
+    return dataset_profile(raw, feat.parse_turns(raw), feat.thread_features(raw), files)

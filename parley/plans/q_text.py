@@ -45,9 +45,7 @@ def q_thread_features(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    from ..session import spread
-
-    return spread(src.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return src.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @register(
@@ -122,3 +120,43 @@ def q_money_terms(spark, sf_dir):
 def q_request_messages(spark, sf_dir):
     t = feat.parse_turns(threads(spark, sf_dir))
     return t.select("thread_id", "turn_index", X.is_request("message_text").alias("is_request"))
+
+
+@register(
+    "thread_features_from_turns",
+    O.with_features("SELECT thread_id, thread_label, type, turn_count, aggregate_num_urls, aggregate_money_terms, ratio_request_messages FROM features"),
+)
+def q_thread_features_from_turns(spark, sf_dir):
+    """Features from a turn table, aggregated partially before the shuffle."""
+    return feat.thread_features_from_turns(feat.parse_turns(threads(spark, sf_dir)))
+
+
+def _folder(spark, name):
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_threads", f"WITH {O.DECORATED_THREADS}\nSELECT dialogue, type, label, orig_index FROM threads")
+def q_csv_threads(spark, sf_dir):
+    """Raw dialogues written as CSV (quotes, newlines) and read by the raw reader."""
+    from ..sources import sinks
+
+    path = _folder(spark, "threads-csv")
+    sinks.write_table(threads(spark, sf_dir).select("dialogue", "type", "label", "orig_index"), path)
+    return src.read_raw_dialogues(spark, path, id_column="orig_index")
+
+
+@register(
+    "feature_table_roundtrip",
+    O.with_features("SELECT thread_id, orig_index, thread_label, turn_count, aggregate_num_urls, aggregate_money_terms, ratio_request_messages FROM features"),
+)
+def q_feature_table_roundtrip(spark, sf_dir):
+    """The feature table through its CSV sink and the load-or-fail reader."""
+    from ..sources import sinks
+
+    path = _folder(spark, "features-csv")
+    sinks.write_table(features(spark, sf_dir), path)
+    return src.read_features(spark, path)

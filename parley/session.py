@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
     if sc.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="parley-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        path = tempfile.mkdtemp(prefix="parley-ckpt-")
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/DBFS) for iterative jobs")
@@ -55,14 +54,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work (regexes over whole texts) at least one partition per core.
-
-    A scan with fewer splits than the default parallelism (a small file, one row group) is
-    round-robin repartitioned; a large input already has more splits and is left as is,
-    so no shuffle is added at scale.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

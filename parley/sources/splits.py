@@ -69,7 +69,7 @@ TREE_DEFAULTS = {"criterion": "gini", "max_depth": None, "min_samples_leaf": "1"
 
 
 def hyperparams_with_defaults(params: DataFrame) -> DataFrame:
-    """(model, param, value) with every known key present: a missing key gets its default.
+    """(model, param, value) with every known key present: a missing key gets its default, an explicit null stays.
 
     ``params`` is a long table (model, param, value STRING); an empty table gives all defaults.
     """
@@ -78,9 +78,9 @@ def hyperparams_with_defaults(params: DataFrame) -> DataFrame:
         ("Decision Tree", k, v) for k, v in TREE_DEFAULTS.items()
     ]
     defaults = spark.createDataFrame(rows, "model string, param string, default_value string")
-    return defaults.join(params, ["model", "param"], "left").select(
-        "model", "param", F.coalesce(F.col("value"), F.col("default_value")).alias("value")
-    )
+    given = params.withColumn("_given", F.lit(True))
+    value = F.when(F.col("_given"), F.col("value")).otherwise(F.col("default_value"))
+    return defaults.join(given, ["model", "param"], "left").select("model", "param", value.alias("value"))
 
 
 def read_selected_params(spark: SparkSession, path: str) -> DataFrame:

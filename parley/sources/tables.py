@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
+FEATURE_TYPES = {
+    "thread_label": "int", "turn_count": "bigint", "aggregate_num_urls": "bigint", "aggregate_money_terms": "bigint", "ratio_request_messages": "double",
+}
+FEATURE_READ = {"thread_id": "string", "orig_index": "bigint"} | FEATURE_TYPES
+
 RAW_SCHEMA = T.StructType(
     [
         T.StructField("dialogue", T.StringType(), True),
@@ -35,8 +43,10 @@ def read_raw_dialogues(spark: SparkSession, path: str, id_column: str | None = N
     """CSV of raw dialogues (header, quoted newlines, doubled quotes).
 
     ``orig_index`` must be a stable row key. With a source id column it is that id;
-    otherwise the row position in file order is assigned by ``zipWithIndex`` on the
-    scan (one extra pass that counts rows per partition, no shuffle).
+    otherwise it is the row's position in file order: partition counts give each
+    partition's offset, and the low bits of ``monotonically_increasing_id`` the place
+    inside it. The parsed rows are checkpointed first, so that both steps see the same
+    partitions. A file with quoted newlines is read by one task; split large inputs.
     """
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', schema=None, inferSchema=False)
     require_columns(df, {"dialogue", "label"})
@@ -48,8 +58,21 @@ def read_raw_dialogues(spark: SparkSession, path: str, id_column: str | None = N
     )
     if id_column:
         return df
-    schema = T.StructType(df.schema.fields + [T.StructField("orig_index", T.LongType(), False)])
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+    placed = cut_lineage(df.withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33).alias("_p")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    before = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    rows = placed.withColumn("_p", part).join(F.broadcast(starts), "_p")
+    return rows.select("dialogue", "type", "label", (F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias("orig_index"))
+
+
+def read_features(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """A feature table as ``sinks.write_table`` leaves it, or fail: the path must exist and hold the required columns."""
+    reader = spark.read.option("header", True).option("escape", '"') if fmt == "csv" else spark.read
+    df = reader.format(fmt).load(path)
+    require_columns(df, FEATURE_TYPES)
+    return df.select(*[F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in FEATURE_READ.items()])
 
 
 # ---- fixed values (decorated-thread fixture, FIXTURES.md section 3) ----
@@ -103,13 +126,18 @@ def decorated_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def input_presence(spark: SparkSession, paths) -> DataFrame:
-    """Path and size of every input file; the ``content`` column is pruned, so only metadata is read.
+    """(path, exists, size_bytes) of each named input; of a folder, its files' sizes together; a missing one has no size.
 
-    A missing path makes the scan fail at plan time, like the reference's
-    load-or-fail readers.
+    The ``content`` column is pruned, so only metadata is read. The named inputs are a short list.
     """
-    return (
-        spark.read.format("binaryFile")
-        .load(list(paths) if not isinstance(paths, str) else paths)
-        .select("path", F.lit(True).alias("exists"), F.col("length").alias("size_bytes"))
-    )
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        try:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+            found = files.agg(F.sum("length").alias("size_bytes")).select(F.lit(path).alias("path"), F.lit(True).alias("exists"), "size_bytes")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = spark.createDataFrame([(path, False, None)], "path string, exists boolean, size_bytes bigint")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -3,7 +3,7 @@
 One input row is one whole dialogue, so every operator is stateless per row: the same
 Column expressions as the batch path run on a ``readStream`` DataFrame, with no
 watermark or state store. Band tables and model parameters are static DataFrames
-joined to the stream (stream-static join).
+joined to the stream (stream-static join), but for one group of bands, which is a CASE.
 """
 
 from __future__ import annotations
@@ -39,10 +39,14 @@ def stream_risk(stream: DataFrame, bands: DataFrame, score_col: str = "p") -> Da
     return T.assign_band(stream, bands, score_col)
 
 
-def write_stream(df: DataFrame, path: str, query_name: str, fmt: str = "parquet", trigger_once: bool = False):
-    """Append sink with its checkpoint under the shared checkpoint folder (restartable after failures)."""
-    ckpt = ensure_checkpoint_dir(df.sparkSession).rstrip("/") + f"/stream-{query_name}"
-    w = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", ckpt).queryName(query_name)
+def write_stream(df: DataFrame, path: str, query_name: str, fmt: str = "parquet", trigger_once: bool = False, checkpoint: str | None = None):
+    """Append sink. ``checkpoint`` is the stream's own folder on shared storage: started again with the
+    same one, the stream goes on where it stopped. File sinks need it; others take a new folder without it."""
+    if checkpoint is None:
+        if fmt not in ("memory", "console"):
+            raise ValueError("a file sink needs a checkpoint folder that outlives the application")
+        checkpoint = ensure_checkpoint_dir(df.sparkSession).rstrip("/") + f"/stream-{query_name}"
+    w = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint).queryName(query_name)
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start(path) if fmt not in ("memory", "console") else w.start()

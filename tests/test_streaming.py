@@ -37,3 +37,14 @@ def test_stream_risk_bands(spark):
     q.stop()
     got = {r.id: r.risk_band for r in spark.sql("SELECT * FROM parley_stream_risk").collect()}
     assert got == {1: "Low", 2: "Medium", 3: "High", 4: "High"}
+
+
+def test_stream_goes_on_after_a_restart(spark):
+    source, sink, state = (tempfile.mkdtemp(prefix="parley-restart-") for _ in range(3))
+    raw = src.decorated_threads(spark, SF001).select("dialogue", "type", "label", "orig_index")
+    for part in ("orig_index < 10", "orig_index >= 10"):
+        raw.where(part).write.mode("append").parquet(source)
+        stream = SF.stream_features(SF.read_dialogue_stream(spark, source))
+        SF.write_stream(stream, sink, "parley_restart", trigger_once=True, checkpoint=state).awaitTermination()
+    got = [r.orig_index for r in spark.read.parquet(sink).select("orig_index").collect()]
+    assert sorted(got) == list(range(20))
