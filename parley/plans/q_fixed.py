@@ -114,14 +114,24 @@ def q_apply_isotonic(spark, sf_dir):
     return CAL.apply_isotonic(inp, model).select("id", M.rnd(F.col("p_cal")).alias("p_cal"))
 
 
-@register("isotonic_calibrate")
+@register(
+    "isotonic_calibrate",
+    ISO_SQL_CTE
+    + f""",
+kn AS (SELECT x AS x0, fitted AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(fitted) OVER (ORDER BY x) AS y1 FROM keep
+       WHERE pf IS NULL OR nf IS NULL OR fitted <> pf OR fitted <> nf),
+ot AS (SELECT {QM.ID_SQL} AS id, 1.0 - l_discount * 10.0 AS score FROM lineitem)
+SELECT id, score, round(CASE WHEN x0 IS NULL THEN (SELECT y0 FROM kn ORDER BY x0 LIMIT 1) WHEN x1 IS NULL THEN y0
+       ELSE y0 + (score - x0) * (y1 - y0) / (x1 - x0) END, 10) AS p_cal
+FROM ot ASOF LEFT JOIN kn ON ot.score >= kn.x0""",
+)
 def q_isotonic_calibrate(spark, sf_dir):
     """Isotonic map fitted on the 'quantity' scores, applied to the 'discount' scores (interpolation path)."""
     model = CAL.isotonic_model(CAL.fit_isotonic(_iso_input(spark, sf_dir)))
     other = QM.scores(spark, sf_dir).where(F.col("model") == "discount").select(
         F.lit("quantity").alias("run"), "id", F.col("p").alias("score")
     )
-    return CAL.apply_isotonic(other, model).select("id", "score", "p_cal")
+    return CAL.apply_isotonic(other, model).select("id", "score", M.rnd(F.col("p_cal")).alias("p_cal"))
 
 
 @register("platt_calibrate")

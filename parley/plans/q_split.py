@@ -104,7 +104,7 @@ def q_split_summary(spark, sf_dir):
     return S.split_summary(split_of(spark, sf_dir))
 
 
-@register("split_roundtrip")
+@register("split_roundtrip", with_split("SELECT orig_index, thread_label, part FROM split"))
 def q_split_roundtrip(spark, sf_dir):
     """Split written as JSON lines (partitioned by part) under the shared checkpoint folder and read back."""
     import uuid
