@@ -53,7 +53,16 @@ def stored(df: DataFrame) -> DataFrame:
     """df as written to and read from the shared folder of spark.checkpoint.dir: cuts the lineage like checkpoint(), in less space."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a `stored` table that no later step reads."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -110,4 +119,4 @@ def add_columns(df: DataFrame, text_col: str, outputs: dict[str, str], make: Cal
     return map_arrow(source, run, schema)
 
 
-__all__ = ["add_columns", "cut_lineage", "documents", "map_arrow", "read_table", "release", "stored", "without"]
+__all__ = ["add_columns", "cut_lineage", "discard", "documents", "map_arrow", "read_table", "release", "stored", "without"]

@@ -18,6 +18,9 @@ of `LENGTH` - v + 1 bytes from a sampled position, which any repeated string mus
 Names are polynomial hashes (two of 64 bits where they decide, one where they filter). A text
 is identified by a 64-bit hash. Copies of whole texts are handled once; all they hold goes.
 
+From the second step on, a text goes by a number of its own, and what a step has written for
+the next is removed once it has been read, so that the largest step sets the disk needed.
+
 A name is counted within a slice of a partition first: of equal names one row goes on under
 the name, the others are known to be repeated and go under names of their own. So a string that
 a third of all documents share meets itself once for each slice, in no group of that size.
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_arrow, release, stored, without
+from .common import add_columns, discard, map_arrow, release, stored, without
 
 LENGTH = 400
 COARSE, FINE = 17, 7  # orders of the two Singer sets: moduli 307 and 57
@@ -209,7 +212,8 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     release(spark)
     one = spots.join(texts, "mark").select("mark", "id", "spots")
     same = (base["mark"] == one["mark"]) & base["id"].eqNullSafe(one["id"])
-    pool = stored(base.join(one, same).select(base["mark"], "raw", "spots"))
+    pool = stored(base.join(one, same).select(base["mark"].alias("text"), "raw", "spots", F.monotonically_increasing_id().alias("mark")))
+    del first, one, same
     release(spark)
 
     def fine():
@@ -227,13 +231,17 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
         return name
 
-    second = _named(pool, ("narrow", "wide"), fine)
+    second = _named(pool.select("mark", "raw", "spots"), ("narrow", "wide"), fine)
     w = Window.partitionBy("narrow", "wide").orderBy("mark", "at")
-    second = stored(second.withColumn("again", _repeated(second, ("narrow", "wide"))).withColumn("k", F.row_number().over(w)).drop("many"))
+    one_each = F.when(F.row_number().over(w) == 1, F.col("narrow")).alias("narrow")  # once for each wide name
+    again = _repeated(second, ("narrow", "wide")).alias("again")
+    second = stored(second.select(one_each, "mark", "at", again))
     release(spark)
     sure = stored(_gathered(second.where("again"), "sure"))
-    mixed = second.groupBy("narrow").agg(F.min("wide").alias("a"), F.max("wide").alias("b")).where("a < b").select("narrow")
-    ends = _gathered(second.where("k = 1").join(mixed, "narrow", "left_semi"), "ends")
+    several = second.where("narrow is not null").groupBy("narrow").agg(F.count("*").alias("n")).where("n > 1")
+    ends = stored(_gathered(second.join(several, "narrow", "left_semi"), "ends"))
+    discard(second)
+    release(spark)
 
     def whole():
         h = Hasher()
@@ -247,11 +255,12 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
         return name
 
-    third = _named(pool.join(ends, "mark"), ("h1", "h2"), whole)
+    third = _named(pool.join(ends, "mark").select("mark", "raw", "spots", "ends"), ("h1", "h2"), whole)
     rest = stored(_gathered(third.withColumn("again", _repeated(third, ("h1", "h2"))).where("again"), "rest"))
+    del third
     release(spark)
     found = pool.join(sure, "mark", "left").join(rest, "mark", "left").where("sure is not null or rest is not null")
-    return texts, found.select("mark", "raw", "sure", "rest")
+    return texts, found.select(F.col("text").alias("mark"), "raw", "sure", "rest")
 
 
 def removed(n: int, sure, rest) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +291,7 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
         return batch
 
     outputs = {"part_removed": "bigint", "part_spans": "bigint", "part_sha256": "string"}
-    parts = add_columns(found, "raw", outputs, make, also=("sure", "rest"), kind="binary").drop("raw")
+    parts = add_columns(found, "raw", outputs, make, also=("sure", "rest"), kind="binary").drop("raw").dropDuplicates(["mark"])
     facts = texts.select("mark", "copies").join(parts, "mark", "left").withColumnRenamed("mark", "mark__")
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "mark"]

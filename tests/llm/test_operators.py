@@ -297,7 +297,7 @@ def test_singer_sets_cover_all_differences():
 def test_repeated_bytes(spark, seed):
     rng = random.Random(seed)
     source = "".join(rng.choices("abcdefgh é", k=6000))
-    rows = [(1, None), (2, ""), (3, "x" * 399), (4, "x" * 400), (5, "y" * 401), (6, "ab" * 3000), (None, source[:700]), (7, source[:700])]
+    rows = [(1, None), (2, ""), (3, "x" * 399), (4, "x" * 400), (5, "y" * 401), (6, "ab" * 3000), (None, source[:700]), (7, source[:700]), (8, source[900:1500]), (8, source[900:1500]), (None, source[:700])]
     for i in range(50):
         text = ""
         for _ in range(rng.randint(1, 6)):
