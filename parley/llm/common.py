@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 
+#: Rows that a batch function gets at once.
+SLICE = 512
 #: A function of one batch of texts (None for null), and of further columns if asked for, that returns one list of values for each output column.
 BatchFn = Callable[[list], tuple]
 
@@ -110,11 +112,13 @@ def add_columns(df: DataFrame, text_col: str, outputs: dict[str, str], make: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            made = fn(*[batch.column(i).to_pylist() for i in range(1 + len(also))])
-            passed = [batch.column(i + 1 + len(also)) for i in range(len(names))]
-            arrays = passed + [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in added])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):  # few texts at a time as Python objects
+                batch = whole.slice(at, SLICE)
+                made = fn(*[batch.column(i).to_pylist() for i in range(1 + len(also))])
+                passed = [batch.column(i + 1 + len(also)) for i in range(len(names))]
+                arrays = passed + [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in added])
 
     return map_arrow(source, run, schema)
 
