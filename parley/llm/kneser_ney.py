@@ -30,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut_lineage, map_arrow, without
+from .common import add_columns, map_arrow, release, stored, without
 
 ORDER = 5
 START, END = "\x02", "\x03"
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 500_000
 QUANTILE = 0.995
 SLACK = 1.1
 MEMO = 400_000
 MEMO_CHARS = 64
+#: n-grams whose log probability a task remembers.
+GRAMS = 1_000_000
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -88,7 +90,8 @@ def _level(level: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, key, w): discounted probabilities of n-grams (kind p) and backing-off weights of contexts (kind b)."""
-    raw = cut_lineage(raw_grams(word_counts(trusted, text_col)))
+    raw = stored(raw_grams(word_counts(trusted, text_col)))
+    release(trusted.sparkSession)
     size = F.length("gram")
     level, parts = raw.where(size == ORDER), []
     for k in range(ORDER, 0, -1):
@@ -96,11 +99,11 @@ def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
         parts += [grams.select(F.lit("p").alias("kind"), "key", "w"), contexts.select(F.lit("b").alias("kind"), "key", "w")]
         if k > 1:
             lower = level.select(F.expr(f"right(gram, {k - 1})").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-            level = cut_lineage(lower.union(raw.where(size == k - 1)))
+            level = stored(lower.union(raw.where(size == k - 1)))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return cut_lineage(out)
+    return stored(out)
 
 
 class Scorer:
@@ -108,20 +111,31 @@ class Scorer:
 
     def __init__(self, p: dict, b: dict, shard: int, shards: int, other: float):
         self.p, self.b, self.shard, self.shards, self.other = p, b, shard, shards, other
-        self.memo, self.older = {}, {}
+        self.memo, self.older, self.grams = {}, {}, {}
+
+    def place(self, gram: str) -> float:
+        """Log probability of a gram's last character after the others; 0 where another shard has it."""
+        i, p, b = len(gram) - 1, self.p, self.b
+        if self.shards > 1 and shard_of(gram[max(0, i - 2) : i], self.shards) != self.shard:
+            return 0.0
+        prob = p.get(gram[i], 0.0) + b[""] * self.other
+        for k in range(1, i + 1):
+            weight = b.get(gram[i - k : i])
+            if weight is None:
+                break
+            prob = p.get(gram[i - k :], 0.0) + weight * prob
+        return math.log(prob)
 
     def word(self, w: str) -> float:
-        s, p, b, total = START + w + END, self.p, self.b, 0.0
+        s, grams, total = START + w + END, self.grams, 0.0
         for i in range(1, len(s)):
-            if self.shards > 1 and shard_of(s[max(0, i - 2) : i], self.shards) != self.shard:
-                continue
-            prob = p.get(s[i], 0.0) + b[""] * self.other
-            for k in range(1, min(i, ORDER - 1) + 1):
-                weight = b.get(s[i - k : i])
-                if weight is None:
-                    break
-                prob = p.get(s[i - k : i + 1], 0.0) + weight * prob
-            total += math.log(prob)
+            gram = s[i - ORDER + 1 : i + 1] if i >= ORDER else s[: i + 1]
+            value = grams.get(gram)
+            if value is None:
+                if len(grams) >= GRAMS:
+                    grams.clear()
+                value = grams[gram] = self.place(gram)
+            total += value
         return total
 
     def text(self, words: list[str]) -> float:
@@ -161,8 +175,8 @@ def log_probability(docs: DataFrame, model: DataFrame, text_col: str = "text", s
     for shard in range(shards):
         part = keyed.where(F.col("shard").isNull() | (F.col("shard") == shard))
         tables = {"p": {}, "b": {}}
-        for r in part.select("kind", "key", "w").toLocalIterator():
-            tables[r["kind"]][r["key"]] = r["w"]
+        for kind, key, w in zip(*[c.to_pylist() for c in part.select("kind", "key", "w").toArrow().columns]):
+            tables[kind][key] = w
         sent = docs.sparkSession.sparkContext.broadcast(tables)
         out = _add_shard(out, sent, text_col, shard, shards, 1 / (vocabulary + 1))
     total = F.lit(0.0)
@@ -188,9 +202,10 @@ def _add_shard(docs, sent, text_col, shard, shards, other):
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """docs without their text, with `perplexity`, `threshold` and `kept`."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias(id_col)).distinct()
-    model = train(docs.select(id_col, text_col).join(trusted, id_col, "left_semi"), text_col)
+    # always by a shuffle of the text: ids of trusted documents have no bound that would allow a broadcast
+    model = train(docs.select(id_col, text_col).join(trusted.hint("merge"), id_col, "left_semi"), text_col)
     scored = log_probability(without(docs, ["perplexity", "threshold", "kept"]), model, text_col, shard_rows).drop(text_col)
-    scored = cut_lineage(scored.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_scored"))))
+    scored = stored(scored.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_scored"))))
     known = scored.where("perplexity is not null").join(trusted, id_col, "left_semi")
     at = F.percentile_approx("perplexity", QUANTILE, 100_000) * SLACK
     by = known.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang__")).agg(at.alias("own__"))
