@@ -3,16 +3,22 @@
 Two public vocabularies tokenise every word. A text's measures are: characters per token in
 either vocabulary, the share of byte-fallback tokens (characters that the piece vocabulary
 doesn't hold), and the Shannon entropy of its piece tokens, also as a share of the highest
-that a text of as many tokens could have. Each script has bands for them; a text outside a
-band is rejected. Beside these stand the base measures: words, characters in words, symbols,
-duplicate lines and words in repeated three-word windows.
+that a text of as many tokens could have. A text outside a band of any of them is rejected.
+Beside these stand the base measures: words, characters in words, symbols, duplicate lines and
+words in repeated three-word windows.
+
+The bands come from the corpus: of the texts of one script and language that pass the base
+rule, `FENCE` times the distance of the quartiles beyond either quartile, and no nearer to
+them than `LEAST_MARGIN`. A script and language of fewer than `LEAST_TEXTS` such texts (and
+texts without a language) take the bands of all texts of the script. Within these hold fixed
+outer bands, which are all that a script of fewer texts has.
 
 Words are tokenised by themselves, as after a space, so a worker can remember the words it has
 seen (two generations of bounded size; results don't depend on it).
 
 Cases: null and empty texts have no word; they, and texts of under `LEAST_WORDS` words or
 mostly repeated windows, fail the base rule and aren't kept; an empty table gives an empty
-table; each row is its own, so repeated rows and null ids need no rule.
+table; repeated rows each count for the bands and are judged alike; null ids need no rule.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ import regex
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, stored
 
 LEAST_WORDS = 50
 REPEATED_PERCENT = 50
@@ -38,10 +45,14 @@ MEMO = 250_000
 MEMO_CHARS = 64
 #: Scripts that have bands of their own; all else is "other". A text's script is that of most of its letters.
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hangul", "Hiragana", "Katakana", "Thai")
-#: measure -> (least, most) accepted.
-DEFAULT = {"chars_per_piece": (0.2, 12.0), "chars_per_token": (0.2, 12.0), "byte_share": (0.0, 0.9), "entropy": (2.0, 16.0), "entropy_share": (0.1, 1.0)}
+#: Texts from which bands are taken, and their distance from the quartiles (in distances of the quartiles: Tukey's outer fences).
+LEAST_TEXTS = 100
+FENCE = 3.0
+LEAST_MARGIN = {"chars_per_piece": 0.1, "chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.2, "entropy_share": 0.05}
+#: measure -> (least, most) accepted in any corpus.
+DEFAULT = {"chars_per_piece": (0.2, 12.0), "chars_per_token": (0.2, 12.0), "byte_share": (0.0, 0.9), "entropy": (2.0, 16.0), "entropy_share": (0.3, 1.0)}
 BANDS = {
-    "Latin": {"chars_per_piece": (1.3, 8.0), "chars_per_token": (1.2, 8.0), "byte_share": (0.0, 0.15), "entropy": (3.0, 16.0), "entropy_share": (0.1, 1.0)},
+    "Latin": {"chars_per_piece": (1.3, 8.0), "chars_per_token": (1.2, 8.0), "byte_share": (0.0, 0.15), "entropy": (3.0, 16.0), "entropy_share": (0.5, 1.0)},
     "Cyrillic": DEFAULT | {"chars_per_piece": (0.8, 8.0), "byte_share": (0.0, 0.3)},
     "Greek": DEFAULT | {"byte_share": (0.0, 0.5)},
 }
@@ -122,8 +133,8 @@ COLUMNS = {
 }
 
 
-def quality(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with COLUMNS. The driver reads the two vocabulary files and broadcasts them (about a megabyte each)."""
+def measured(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs with COLUMNS, `kept` by the outer bands. The driver reads the two vocabulary files and broadcasts them (about a megabyte each)."""
     files = []
     for path in (pieces_path, ranks_path):
         with open(path, "rb") as f:
@@ -150,6 +161,35 @@ def quality(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str, te
     return add_columns(docs, text_col, COLUMNS, make)
 
 
+def corpus_bands(found: DataFrame, by: list) -> DataFrame:
+    """(key0, .., bands) of each group of at least LEAST_TEXTS measured texts: a (least, most) for each of MEASURES."""
+
+    def band(m):
+        low, high = (F.percentile_approx(m, q, 100_000) for q in (0.25, 0.75))
+        margin = F.greatest(FENCE * (high - low), F.lit(LEAST_MARGIN[m]))
+        return F.struct((low - margin).alias("least"), (high + margin).alias("most")).alias(m)
+
+    groups = found.where(~F.col("base_failed")).groupBy(*[c.alias(f"key{i}") for i, c in enumerate(by)])
+    return groups.agg(F.count("*").alias("n"), *map(band, MEASURES)).where(F.col("n") >= LEAST_TEXTS).select(*[f"key{i}" for i in range(len(by))], F.struct(*MEASURES).alias("bands"))
+
+
+def quality(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without their text, with COLUMNS; without a column `lang_col` the bands are by script alone."""
+    found = stored(measured(docs, pieces_path, ranks_path, pattern, text_col).drop(text_col))
+    lang = F.col(f"`{lang_col}`") if lang_col in found.columns else F.lit(None).cast("string")
+    # a row for each script, and for each pair of script and language of at least LEAST_TEXTS texts
+    own = corpus_bands(found.where(lang.isNotNull()), [F.col("script"), lang]).withColumnsRenamed({"key0": "script__", "key1": "lang__", "bands": "own__"})
+    whole = corpus_bands(found, [F.col("script")]).withColumnsRenamed({"key0": "of__", "bands": "whole__"})
+    # few keys hold most rows, so no shuffle by them
+    placed = found.join(F.broadcast(own), (F.col("script") == F.col("script__")) & (lang == F.col("lang__")), "left")
+    placed = placed.join(F.broadcast(whole), F.col("script") == F.col("of__"), "left")
+    bands = F.coalesce("own__", "whole__")
+    good = F.lit(True)
+    for m in MEASURES:
+        good = good & F.col(m).between(bands[m]["least"], bands[m]["most"])
+    return placed.withColumn("kept", F.col("kept") & (bands.isNull() | good)).drop("script__", "lang__", "own__", "of__", "whole__")
+
+
 _shared: dict = {}
 
 

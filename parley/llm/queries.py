@@ -50,9 +50,8 @@ def op7_secret_entropy(spark, sf_dir):
 @query
 def op6_tokenizer_fertility(spark, sf_dir):
     path = public_tokenizers.path
-    return fertility.quality(
-        documents(spark, sf_dir), path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ).drop("text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return fertility.quality(docs, path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("lang")
 
 
 @query

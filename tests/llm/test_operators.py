@@ -246,6 +246,23 @@ def test_fertility_measures():
     assert fertility.script("привет мир") == "Cyrillic" and fertility.script("Straße") == "Latin" and fertility.script("12") == "other"
 
 
+def test_fertility_bands_come_from_the_corpus(spark):
+    rng, path = random.Random(8), public_tokenizers.path
+    common = "the people of this town have many old houses and some new ones near a long river where boats go by every day in summer and winter".split()
+    rows = [(i, " ".join(rng.choices(common, k=rng.randint(80, 160))), "en" if i % 2 else None) for i in range(2 * fertility.LEAST_TEXTS)]
+    odd = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(100))  # no longer words, only more tokens for each
+    rows += [(1000, odd, "en"), (1001, odd, None), (1002, odd, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    files = path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    fixed = {r["doc_id"]: r["kept"] for r in fertility.measured(docs, *files).collect()}
+    assert all(fixed.values())  # no fixed band tells them apart
+    for frame_ in (docs, docs.drop("lang")):
+        kept = {r["doc_id"]: r["kept"] for r in fertility.quality(frame_, *files).collect()}
+        assert len(kept) == len(rows) and not any(kept[i] for i in (1000, 1001, 1002)) and sum(kept.values()) >= len(rows) - 5
+    few = {r["doc_id"]: r["kept"] for r in fertility.quality(docs.where("doc_id < 20 or doc_id >= 1000"), *files).collect()}
+    assert all(few.values())
+
+
 # ---- sentence spans
 
 def test_sentence_spans(spark, docs):
