@@ -3,14 +3,22 @@
 A text is cut into sentences: after a full stop, exclamation or question mark with white space
 behind it, and at line ends. Runs of consecutive sentences are hashed (128 bits over their
 words, A-Z lower-cased): every run of three, every run of two with `PAIR_WORDS` words, and every
-sentence of `LONE_WORDS` words. Of the places where a run stands, the first by doc_id (null
-last), text hash and position is kept; each sentence inside any other is removed.
+sentence of `LONE_WORDS` words. Passages that begin or end inside a sentence are found by
+strings of `PASSAGE` words, whatever the sentences: of each `SPREAD` neighbouring ones that with
+the least hash is taken (winnowing), so any text of PASSAGE + SPREAD - 1 words has the same in
+all its copies, and those taken in a longer one overlap. Sentences are cut where such a string
+begins or ends; the pieces are what is counted and removed. Up to SPREAD - 1 words at either
+edge of a copied passage, where its sentence goes on differently, may stay.
+
+Of the places where a run or string stands, the first by doc_id (null last), text hash and
+position is kept; each piece inside any other is removed.
 
 Within a slice of a partition only the first place of a run is shuffled by its hash. The others
 are known not to be the first and go with a hash of their own, so a run that a third of all
 documents share sends one row for each slice, not for each document.
 
-Cases: null and empty texts have no sentence and stay as they are; rows with equal id and equal
+Cases: null and empty texts have no sentence and stay as they are; texts of under
+PASSAGE + SPREAD - 1 words have no strings of their own and their sentences stay whole; rows with equal id and equal
 text are one document, in whose rows the same sentences go; a run that overlaps itself in one
 text counts as repeated; an empty table gives an empty table.
 """
@@ -30,34 +38,90 @@ from .common import add_columns, map_arrow, without
 RUN = 3
 PAIR_WORDS = 30
 LONE_WORDS = 50
+PASSAGE = 24
+SPREAD = 20
 SLICE = 2048
 _END = re.compile(r"(?<=[.!?])[\x20\x09-\x0d]+|\n+")
+_WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
-def sentences(text: str) -> list[int]:
+def _sentences(text: str) -> list[int]:
     """Ends (exclusive, with the white space behind) of the sentences, in code points."""
     ends = [m.end() for m in _END.finditer(text)]
     return ends if not text or ends and ends[-1] == len(text) else [*ends, len(text)]
 
 
+def _sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over each `size` neighbouring values."""
+    step = 1
+    while 2 * step <= size:
+        values, step = pick(values[:-step], values[step:]), 2 * step
+    return pick(values[: len(values) - size + step], values[size - step :])
+
+
+def chosen(words: list[bytes]) -> list[int]:
+    """First words of the strings of PASSAGE words with the least hash of any SPREAD neighbouring ones."""
+    if len(words) < PASSAGE + SPREAD - 1:
+        return []
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    made, size, long = None, 0, one  # hashes of strings of `size` words, and of `step` words
+    step = 1
+    while step <= PASSAGE:
+        if PASSAGE & step:
+            n = len(words) - size - step + 1
+            made = long if made is None else made[:n] * _factor(step) + long[size : size + n]
+            size += step
+        long, step = long[:-step] * _factor(step) + long[step:], 2 * step
+    made = (made ^ (made >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    made ^= made >> np.uint64(29)
+    least = np.pad(_sliding(made, SPREAD, np.minimum), SPREAD - 1)
+    return np.flatnonzero(_sliding(least, SPREAD, np.maximum) == made).tolist()
+
+
+def _factor(size: int) -> np.uint64:
+    return np.uint64(pow(0xC2B2AE3D27D4EB4F, size, 1 << 64))
+
+
+def _cut(text: str) -> tuple[list[int], list[int], list[tuple[int, int, bytes]]]:
+    """(ends of the sentences, ends of the pieces, strings as start, end and digest)."""
+    ends, words = _sentences(text), text.encode().lower().split()
+    first = chosen(words)
+    if not first:
+        return ends, ends, []
+    at = [m.start() for m in _WORD.finditer(text)]
+    at[0] = 0  # no piece of white space alone at a text's ends
+    at.append(len(text))
+    strings = [(at[i], at[i + PASSAGE], xxhash.xxh3_128_digest(b" ".join(words[i : i + PASSAGE]))) for i in first]
+    return ends, sorted({*ends, *[x for s in strings for x in s[:2]]} - {0}), strings
+
+
+def sentences(text: str) -> list[int]:
+    """Ends (exclusive, with the white space behind) of the pieces into which sentences are cut, in code points."""
+    return _cut(text)[1]
+
+
 def runs(text: str) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, digest) of all runs that are hashed."""
-    made, at, words = [], 0, []
-    for end in sentences(text):
+    """(first piece, pieces, digest) of all runs and strings that are hashed."""
+    ends, pieces, strings = _cut(text)
+    index = dict(zip([0, *pieces], range(len(pieces) + 1)))
+    made, at, words, starts = [(index[a], index[b] - index[a], d) for a, b, d in strings], 0, [], []
+    for end in ends:
         words.append(text[at:end].encode().lower().split())
+        starts.append(index[at])
         at = end
+    starts.append(len(pieces))
     full = [i for i, w in enumerate(words) if w]  # sentences without a word belong to no run of their own
     joined = {i: b" ".join(words[i]) for i in full}
     digest = xxhash.xxh3_128_digest
     for k, i in enumerate(full):
         if len(words[i]) >= LONE_WORDS:
-            made.append((i, 1, digest(joined[i])))
+            made.append((starts[i], starts[i + 1] - starts[i], digest(joined[i])))
         pair = full[k : k + 2]
         if len(pair) == 2 and len(words[i]) + len(words[pair[1]]) >= PAIR_WORDS:
-            made.append((i, pair[1] - i + 1, digest(joined[i] + b"\n" + joined[pair[1]])))
+            made.append((starts[i], starts[pair[1] + 1] - starts[i], digest(joined[i] + b"\n" + joined[pair[1]])))
         three = full[k : k + RUN]
         if len(three) == RUN:
-            made.append((i, three[-1] - i + 1, digest(b"\n".join([joined[j] for j in three]))))
+            made.append((starts[i], starts[three[-1] + 1] - starts[i], digest(b"\n".join([joined[j] for j in three]))))
     return made
 
 
@@ -91,7 +155,7 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with `kept_text`, `n_sentences`, `n_removed` and `removed` (indices of the removed sentences)."""
+    """docs with `kept_text`, `n_sentences`, `n_removed` and `removed` (indices of the removed pieces, all counted in pieces of sentences)."""
     base = without(docs, ["mark", "kept_text", "n_sentences", "n_removed", "removed"]).withColumn("mark", F.xxhash64(F.col(text_col)))
     places = _places(base.select(F.col(id_col).alias("doc_id"), "mark", F.col(text_col).alias("text")))
     order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "mark", "at")

@@ -295,6 +295,39 @@ def test_passages_of_over_fifty_words_are_caught(spark):
         assert same in found[0] and all(found[i].count(".") == 3 for i in (1, 2)), lengths
 
 
+def test_passages_inside_sentences_are_caught(spark):
+    rng, edge = random.Random(4), sentence_dedup.SPREAD - 1
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    rows, copied = [], {}
+    for k in range(40):
+        same = words(rng.choice([51, 55, 63, 120]))
+        for i in (10 * k, 10 * k + 1, 10 * k + 2):
+            comma = [w + "," if j % 7 == 3 else w for j, w in enumerate(same)]
+            rows.append((i, " ".join([*words(9), "end.", *words(rng.randint(1, 30)), *comma, *words(rng.randint(1, 30)), "end."])))
+            copied[i] = comma
+    found = {r["doc_id"]: r["kept_text"].split() for r in sentence_dedup.dedup(frame(spark, rows)).collect()}
+    for i, text in rows:
+        kept, all_words, same = found[i], text.split(), copied[i]
+        if i % 10 == 0:
+            assert kept == all_words
+        else:
+            at = all_words.index(same[0])
+            assert kept[:at] == all_words[:at] and kept[-(len(all_words) - at - len(same)) :] == all_words[at + len(same) :]
+            left = kept[at : len(kept) - (len(all_words) - at - len(same))]
+            n = max((j for j in range(len(left) + 1) if left[:j] == same[:j]))
+            assert len(left) <= 2 * edge and n <= edge and left[n:] == same[len(same) - len(left) + n :]
+
+
+def test_chosen_strings_are_least_of_their_neighbours():
+    rng, p, w = random.Random(6), sentence_dedup.PASSAGE, sentence_dedup.SPREAD
+    words = [b"%d" % rng.randrange(50) for _ in range(700)]
+    whole = {tuple(words[i : i + p]) for i in sentence_dedup.chosen(words)}
+    for at in range(0, 640, 7):
+        part = words[at : at + p + w - 1]
+        assert [tuple(part[i : i + p]) in whole for i in sentence_dedup.chosen(part)] == [True]
+    assert max(np.diff(sentence_dedup.chosen(words))) <= w and sentence_dedup.chosen(words[: p + w - 2]) == []
+
+
 def test_sentence_spans_awkward(spark):
     found = sentence_dedup.dedup(plain.awkward(spark)).collect()
     assert len(found) == len(plain.AWKWARD)
