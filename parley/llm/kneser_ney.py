@@ -8,9 +8,11 @@ the totals of their contexts, which gives for each n-gram its discounted probabi
 each context the weight of the order below.
 
 A document's perplexity is that of its words' characters. The model is cut into shards by
-the last two characters of the context, of at most about `SHARD_ROWS` rows; orders without
-two characters of context are in all. A document's log probability is the sum over shards, so
-each pass over the documents holds one shard; a small model has one.
+the last two characters of the context, of `SHARD_ROWS` rows on average (a hash of frequent
+contexts may put more into one); orders without two characters of context are in all. The
+driver reads one shard after the other and broadcasts it. A document's log probability is the
+sum over shards; the sums so far are stored after each shard, so each pass over the documents
+holds one shard; a small model has one.
 
 A language's threshold is the `QUANTILE` of its trusted documents' perplexities, times
 `SLACK`; languages without trusted documents (and null) take that of all trusted documents.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_arrow, release, stored, without
+from .common import add_columns, discard, map_arrow, release, stored, without
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -178,7 +180,13 @@ def log_probability(docs: DataFrame, model: DataFrame, text_col: str = "text", s
         for kind, key, w in zip(*[c.to_pylist() for c in part.select("kind", "key", "w").toArrow().columns]):
             tables[kind][key] = w
         sent = docs.sparkSession.sparkContext.broadcast(tables)
-        out = _add_shard(out, sent, text_col, shard, shards, 1 / (vocabulary + 1))
+        added, before = _add_shard(out, sent, text_col, shard, shards, 1 / (vocabulary + 1)), out
+        if shard + 1 < shards:  # chained steps of one stage would hold all shards at once
+            added = stored(added)
+            sent.unpersist()
+            if shard:
+                discard(before)
+        out = added
     total = F.lit(0.0)
     for shard in range(shards):
         total = total + F.col(f"log_p__{shard}")

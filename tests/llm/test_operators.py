@@ -400,6 +400,16 @@ def test_kneser_ney(spark):
     assert all(abs(one[i] - many[i]) < 1e-6 * abs(one[i]) for i in one)
 
 
+def test_kneser_ney_holds_one_shard_in_a_stage(spark):
+    rows = spark.read.parquet(f"{SF001}/documents.parquet").limit(40)
+    table = kneser_ney.train(rows)
+    found = kneser_ney.log_probability(rows, table, shard_rows=table.count() // 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    whole = {r["doc_id"]: (r["log_p"], r["n_scored"]) for r in kneser_ney.log_probability(rows, table).collect()}
+    got = {r["doc_id"]: (r["log_p"], r["n_scored"]) for r in found.collect()}
+    assert len(got) == 40 and all(got[i][1] == n and abs(got[i][0] - p) < 1e-6 * abs(p) for i, (p, n) in whole.items())
+
+
 def test_kneser_ney_awkward(spark):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 1), (8, None), (None, 1)], "doc_id bigint, quality int")
     found = kneser_ney.classify(plain.awkward(spark), labels).collect()
