@@ -7,9 +7,10 @@ such a word, the position of the word in the window gives the only place where t
 start (positional bound), the window must end inside the text (length bound), and the words
 there are compared with the window's.
 
-Benchmark items are the stated query set. They are taken in blocks of a checked size, by a
-hash of the item, and each block runs against all documents; one block is usually all.
-Documents are never shuffled.
+Benchmark items are the stated query set. Equal rows are taken once. The items go in blocks by a
+hash of the item; the bytes of every block are counted before any is collected, and a block
+that is too large is dealt again, so that none but a single item holds more than stated. Each
+block runs against all documents; one block is usually all. Documents are never shuffled.
 
 Cases: null texts and texts without words have no window and no hit; items with equal id
 count once; a null item id counts as an empty string; repeated rows each get their own
@@ -118,17 +119,36 @@ def _mark(docs: DataFrame, items: list, text_col: str, size: int, first: bool) -
     return add_columns(docs, text_col, dict(zip(names, ("bigint", "array<bigint>", "array<string>"))), make)
 
 
+def _blocks(items: DataFrame, block_bytes: int, where=None, depth: int = 0) -> list:
+    """Conditions that deal distinct items into blocks of at most block_bytes, by hashes of their own for each depth."""
+    where = F.lit(True) if where is None else where
+    size = F.sum(F.coalesce(F.octet_length("id") + F.octet_length("text"), F.lit(0)))
+    n, total = items.where(where).agg(F.count("*"), size).first()
+    total = total or 0
+    if total <= block_bytes or n <= 1:
+        return [where]
+    blocks = -(-total * 5 // (block_bytes * 4))  # room for blocks of unequal size
+    at = F.pmod(F.xxhash64("id", "text", F.lit(depth)), F.lit(blocks))
+    out = []
+    for r in items.where(where).groupBy(at.alias("k")).agg(F.count("*").alias("n"), size.alias("size")).orderBy("k").collect():
+        part = where & (at == r["k"])
+        out += [part] if r["size"] <= block_bytes or r["n"] <= 1 else _blocks(items, block_bytes, part, depth + 1)
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with `n_words`, `n_hit` (words in any window), `items` (sorted ids of the items found), `hit_spans`, `contaminated`.
 
     hit_spans: structs of start and end (exclusive) of the runs of words hit, by start; runs from different blocks may overlap.
     """
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).cast("string").alias("text")).distinct()
+    parts = _blocks(items, block_bytes)
+    blocks = len(parts)
+    if blocks > 1:
+        items = cut_lineage(items)
     out = docs
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
+    for k, where in enumerate(parts):
+        part = items.where(where).collect()
         out = _mark(out, [(r["id"], r["text"]) for r in part], text_col, size, k == 0)
         if k:
             out = out.withColumn("hit_spans", F.concat("hit_spans", "more_spans")).withColumn("items", F.array_union("items", "more_items")).drop("more_spans", "more_items")

@@ -162,6 +162,20 @@ def test_decontamination(spark, docs, block):
     assert ordered(got) == ordered((i, *x) for (i, _), x in zip(rows, plain.contaminated(rows, items)))
 
 
+def test_benchmark_blocks_hold_what_is_stated(spark, monkeypatch):
+    rng, sizes, mark = random.Random(3), [], decontaminate._mark
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    items = [(i, " ".join(word() for _ in range(12))) for i in range(60)]
+    large = (99, " ".join(word() for _ in range(200)))
+    rows = items + [items[0]] * 200 + [large, (None, None), (98, None)]
+    monkeypatch.setattr(decontaminate, "_mark", lambda docs, part, *a: sizes.append(part) or mark(docs, part, *a))
+    bench, docs = spark.createDataFrame(rows, "item_id bigint, text string"), frame(spark, [(1, items[0][1]), (2, f"x {items[7][1]}"), (3, large[1]), (4, "x")])
+    found = {r["doc_id"]: r["items"] for r in decontaminate.contamination(docs, bench, block_bytes=1000).collect()}
+    assert found == {1: ["0"], 2: ["7"], 3: ["99"], 4: []}
+    assert all(len(part) == 1 or sum(len(t or "") for _, t in part) <= 1000 for part in sizes)
+    assert sum(map(len, sizes)) == len(items) + 3 and len(sizes) < 25
+
+
 def test_decontamination_query_and_empty(spark, docs):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
     got = [tuple(r) for r in queries.op5_prefix_decontamination(spark, SF001).collect()]
