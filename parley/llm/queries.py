@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, fertility, kneser_ney, langid, pii, secrets, sentence_dedup, simhash, suffix_dedup
+from . import bpe, decontaminate, fertility, kneser_ney, langid, merkle, pii, secrets, sentence_dedup, simhash, suffix_dedup
 from .common import documents, read_table
 
 QUERIES, ORACLE = {}, {}
@@ -69,3 +69,8 @@ def op10_kneser_ney(spark, sf_dir):
 @query
 def op4_difference_cover(spark, sf_dir):
     return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.audit(read_table(spark, sf_dir, "documents").select(*merkle.FIELDS))

