@@ -92,7 +92,7 @@ def arrow_type(ddl: str) -> pa.DataType:
     return {
         "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
         "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-        "array<string>": pa.list_(pa.string()),
+        "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
     }[ddl]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, fertility, kneser_ney, langid, merkle, pii, secrets, sentence_dedup, simhash, suffix_dedup
+from . import bpe, decontaminate, fertility, kneser_ney, langid, merkle, pii, secrets, sentence_dedup, simhash, suffix_dedup, toxicity
 from .common import documents, read_table
 
 QUERIES, ORACLE = {}, {}
@@ -74,3 +74,9 @@ def op4_difference_cover(spark, sf_dir):
 @query
 def op11_merkle_manifest(spark, sf_dir):
     return merkle.audit(read_table(spark, sf_dir, "documents").select(*merkle.FIELDS))
+
+
+@query
+def op12_label_model(spark, sf_dir):
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.digests(toxicity.score(documents(spark, sf_dir), labels))
