@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, fertility, kneser_ney, langid, merkle, pii, secrets, sentence_dedup, simhash, suffix_dedup, toxicity
+from . import bpe, decontaminate, fertility, kneser_ney, langid, merkle, pii, secrets, sentence_dedup, simhash, suffix_dedup, toxicity, variants
 from .common import documents, read_table
 
 QUERIES, ORACLE = {}, {}
@@ -80,3 +80,8 @@ def op11_merkle_manifest(spark, sf_dir):
 def op12_label_model(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity.digests(toxicity.score(documents(spark, sf_dir), labels))
+
+
+@query
+def op13_partenum_variants(spark, sf_dir):
+    return variants.variants(documents(spark, sf_dir))

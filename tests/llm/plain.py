@@ -236,3 +236,40 @@ def merkle(rows, arity=3):
                 now = _digest(left, now, right)
             out.append((row[0], leaf, trees[s][0], root, sha("".join(left + right for left, right in path)), now, now == root))
     return out
+
+
+def spelling(docs, least=5, length=6):
+    """word -> (form, root, n, n_near, form_n), from all pairs of a small vocabulary by deletions."""
+    import zlib
+
+    count = collections.Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] += 1
+    count = {w: n for w, n in count.items() if n >= least and len(w) >= length}
+    near = collections.defaultdict(set)
+    gap = collections.defaultdict(set)
+    for w in count:
+        for k in range(len(w)):
+            gap[w[:k], w[k + 1 :]].add(w)
+            if (shorter := w[:k] + w[k + 1 :]) in count:
+                near[w].add(shorter)
+                near[shorter].add(w)
+    for group in gap.values():
+        for w in group:
+            near[w] |= group - {w}
+    out = {}
+    for w, n in count.items():
+        best = min(near[w], key=lambda x: (-count[x], x), default=None)
+        out[w] = best if best is not None and count[best] >= 5 * n else None
+
+    def root(w):
+        while out[w] is not None:
+            w = out[w]
+        return w
+
+    return {w: (f, root(w), count[w], len(near[w]), count[f] if f else None) for w, f in out.items()}
