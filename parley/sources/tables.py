@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from . import csv_records
 
 FEATURE_TYPES = {
     "thread_label": "int", "turn_count": "bigint", "aggregate_num_urls": "bigint", "aggregate_money_terms": "bigint", "ratio_request_messages": "double",
@@ -43,28 +43,17 @@ def read_raw_dialogues(spark: SparkSession, path: str, id_column: str | None = N
     """CSV of raw dialogues (header, quoted newlines, doubled quotes).
 
     ``orig_index`` must be a stable row key. With a source id column it is that id;
-    otherwise it is the row's position in file order: partition counts give each
-    partition's offset, and the low bits of ``monotonically_increasing_id`` the place
-    inside it. The parsed rows are checkpointed first, so that both steps see the same
-    partitions. A file with quoted newlines is read by one task; split large inputs.
+    otherwise it is the row's position in all files, in order of their names. A file is
+    cut into records by many tasks (`csv_records`), quoted newlines or not.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', schema=None, inferSchema=False)
+    df = csv_records.read_csv(spark, path)
     require_columns(df, {"dialogue", "label"})
-    df = df.select(
+    return df.select(
         F.col("dialogue").cast("string").alias("dialogue"),
         optional_column(df, "type").alias("type"),
         F.col("label").cast("int").alias("label"),
-        *([F.col(id_column).cast("bigint").alias("orig_index")] if id_column else []),
+        F.col(id_column if id_column else "position__").cast("bigint").alias("orig_index"),
     )
-    if id_column:
-        return df
-    placed = cut_lineage(df.withColumn("_m", F.monotonically_increasing_id()))
-    part = F.shiftright("_m", 33).alias("_p")
-    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
-    before = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    rows = placed.withColumn("_p", part).join(F.broadcast(starts), "_p")
-    return rows.select("dialogue", "type", "label", (F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias("orig_index"))
 
 
 def read_features(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
