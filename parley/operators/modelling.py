@@ -249,7 +249,7 @@ def nested_calibration(data: DataFrame, nested: DataFrame, cands: DataFrame, met
             prm = CAL.fit_platt(calib_in)
             applied = CAL.apply_platt(val_s.withColumnRenamed("decision", "score"), prm)
         else:
-            model = CAL.isotonic_model(CAL.fit_isotonic(calib_in))
+            model = CAL.fit_isotonic(calib_in)
             applied = CAL.apply_isotonic(val_s.withColumnRenamed("decision", "score"), model)
         pieces.append(applied.select("run", "orig_index", "y", "p_cal", F.lit(method).alias("calibration_method")))
     allp = pieces[0]

@@ -110,7 +110,7 @@ def q_isotonic_fit(spark, sf_dir):
 @register("apply_isotonic", ISO_SQL_CTE + "\nSELECT li.id, round(mm.fitted, 10) AS p_cal FROM li JOIN mm USING (x)")
 def q_apply_isotonic(spark, sf_dir):
     inp = _iso_input(spark, sf_dir)
-    model = CAL.isotonic_model(CAL.fit_isotonic(inp))
+    model = CAL.fit_isotonic(inp)
     return CAL.apply_isotonic(inp, model).select("id", M.rnd(F.col("p_cal")).alias("p_cal"))
 
 
@@ -127,7 +127,7 @@ FROM ot ASOF LEFT JOIN kn ON ot.score >= kn.x0""",
 )
 def q_isotonic_calibrate(spark, sf_dir):
     """Isotonic map fitted on the 'quantity' scores, applied to the 'discount' scores (interpolation path)."""
-    model = CAL.isotonic_model(CAL.fit_isotonic(_iso_input(spark, sf_dir)))
+    model = CAL.fit_isotonic(_iso_input(spark, sf_dir))
     other = QM.scores(spark, sf_dir).where(F.col("model") == "discount").select(
         F.lit("quantity").alias("run"), "id", F.col("p").alias("score")
     )

@@ -56,17 +56,18 @@ def test_pav_equals_max_min_formula():
     x = np.arange(40, dtype=float)
     y = (rng.random(40) < x / 40).astype(float)
     w = rng.integers(1, 5, 40).astype(float)
-    xs, ys = CAL.pav(x, y * w, w)
-    full = np.interp(x, xs, ys)
+    pool = CAL.Pool()
+    for a, sy, n in zip(x, y * w, w):
+        pool.add(a, a, sy, n)
+    full = np.interp(x, [e for b in pool.blocks for e in b[:2]], [b[2] / b[3] for b in pool.blocks for _ in "ab"])
     assert np.allclose(full, _maxmin(y, w))
     assert np.all(np.diff(full) >= 0)
 
 
 def test_isotonic_apply_interpolates_and_clips(spark):
     fit = spark.createDataFrame([("r", 0.2, 0.1), ("r", 0.6, 0.5)], "run string, x double, fitted double")
-    model = CAL.isotonic_model(fit)
     df = spark.createDataFrame([("r", 0.0), ("r", 0.4), ("r", 0.9)], "run string, score double")
-    got = [round(r.p_cal, 9) for r in CAL.apply_isotonic(df, model).orderBy("score").collect()]
+    got = [round(r.p_cal, 9) for r in CAL.apply_isotonic(df, fit).orderBy("score").collect()]
     assert got == [0.1, 0.3, 0.5]
 
 
