@@ -66,7 +66,6 @@ GAZETTEER = {
 }
 FOR = r"(?i)mail|contact|reach|call|phone|tel|mobil|fax|card|visa|account|konto|compte|cuenta|ssn|social|iban|address|name|write|host|server"
 AGAINST = r"(?i)version|licen|isbn|order|section|chapter|v\.?\x20*\z|part\x20no|figure|page"
-CONTEXT = 24
 STEPS = 12
 VOTES = ("by_regex", "by_gazetteer", "by_context")
 
@@ -75,15 +74,11 @@ def _digits(v: Column, least: int, most: int) -> Column:
     return F.length(F.regexp_replace(v, "[^0-9]", "")).between(least, most)
 
 
-def _valid(spans: Column, ok) -> Column:
-    return F.filter(spans, lambda s: ok(s["value"]))
-
-
-def _matches(df: DataFrame, text: str, kinds: dict[str, str], prefix: str) -> DataFrame:
-    for kind, pattern in kinds.items():
+def _matches(df: DataFrame, text: str, kinds: dict, prefix: str) -> DataFrame:
+    for kind, (pattern, _) in kinds.items():
         df = df.withColumn(f"{prefix}{kind}", F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-    for kind, pattern in kinds.items():
-        df = df.withColumn(f"{prefix}{kind}", S.located(F.col(text), pattern, F.col(f"{prefix}{kind}"), kind, RANK[kind]))
+    for kind, (pattern, ok) in kinds.items():
+        df = df.withColumn(f"{prefix}{kind}", S.located(F.col(text), pattern, F.col(f"{prefix}{kind}"), kind, RANK[kind], ok))
     return df
 
 
@@ -94,14 +89,13 @@ def _vote(kind: Column, value: Column, patterns: dict[str, str], no: int) -> Col
     return out
 
 
-def _labelled(span: Column, text: Column) -> Column:
+def _labelled(span: Column) -> Column:
     """A span with its labelers' votes and the features of the classifier."""
-    kind, value = span["kind"], span["value"]
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(span["start"], F.lit(CONTEXT)).cast("int"))
+    kind, value, before = span["kind"], span["value"], span["before"]
     side = F.right(before, F.lit(1))
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
     return F.struct(
-        span["start"].alias("start"), span["rank"].alias("rank"), span["end"].alias("end"), kind.alias("kind"), value.alias("value"),
+        span["start"].alias("start"), span["rank"].alias("rank"), span["end"].alias("end"), kind.alias("kind"), value.alias("value"), before.alias("before"),
         _vote(kind, value, STRICT, -1).alias(VOTES[0]),
         _vote(kind, value, GAZETTEER, 0).alias(VOTES[1]),
         F.when(before.rlike(AGAINST), -1).when(before.rlike(FOR), 1).otherwise(0).alias(VOTES[2]),
@@ -114,12 +108,11 @@ def _labelled(span: Column, text: Column) -> Column:
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `pii_base` (base spans) and `pii_all` (these and the further candidates, with votes and features)."""
     df = without(docs, ["pii_base", "pii_all"]).withColumn("t__", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = _matches(df, "t__", {k: p for k, (p, _) in BASE.items()}, "b__")
-    df = _matches(df, "t__", MORE, "m__")
-    kept = [_valid(F.col(f"b__{k}"), ok) for k, (_, ok) in BASE.items()]
-    df = df.withColumn("pii_base", F.sort_array(F.concat(*kept)))
+    df = _matches(df, "t__", BASE, "b__")
+    df = _matches(df, "t__", {k: (p, None) for k, p in MORE.items()}, "m__")
+    df = df.withColumn("pii_base", F.sort_array(F.concat(*[F.col(f"b__{k}") for k in BASE])))
     more = S.apart(F.concat(*[F.col(f"m__{k}") for k in MORE]), F.col("pii_base"))
-    df = df.withColumn("pii_all", F.transform(F.concat("pii_base", more), lambda s: _labelled(s, F.col("t__"))))
+    df = df.withColumn("pii_all", F.transform(F.concat("pii_base", more), _labelled))
     return df.drop("t__", *[f"b__{k}" for k in BASE], *[f"m__{k}" for k in MORE])
 
 
@@ -176,7 +169,7 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = candidates(docs, text_col)
     weights = fit(found.select("pii_all"))
     kept = F.filter("pii_all", lambda s: (s["rank"] < len(BASE)) | (_odds(s, weights) > 0))
-    plain = F.transform(kept, lambda s: F.struct(*[s[f] for f in ("start", "rank", "end", "kind", "value")]).cast(S.SPAN))
+    plain = F.transform(kept, lambda s: F.struct(*[s[f] for f in ("start", "rank", "end", "kind", "value", "before")]).cast(S.SPAN))
     return without(found, ["pii_spans"]).withColumn("pii_spans", F.sort_array(plain)).drop("pii_all")
 
 

@@ -28,6 +28,8 @@ _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["'
 BASE = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]{12,}+", "hex": r"(?<![0-9a-f])[0-9a-f]{32,}+"}
 LEAST = 8
 WINDOW = 20
+#: Places after `+` that key characters take; bits of a count; counts in one number.
+KEYS, BITS, PACKED = 80, 6, 10
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+"
 #: Least entropy of a window, in bits, by character class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.5, "key": 3.7}
@@ -39,23 +41,35 @@ ALLOWED = (
 
 
 def entropy(value: Column) -> Column:
-    """Highest Shannon entropy (bits) of a window over an ASCII string of WINDOW characters or more."""
-    codes = F.transform(F.split(value, ""), F.ascii)
+    """Highest Shannon entropy (bits) of a window over a string of WINDOW key characters or more.
+
+    The counts of a window are PACKED to a number, BITS each, by the character's place after `+`.
+    """
     part = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
-    first = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: F.size(F.filter(F.slice(codes, 1, WINDOW), lambda c: c == k)))
-    total = F.aggregate(first, F.lit(0.0), lambda s, c: s + F.get(part, c))
+    shift = lambda by, x: F.call_function("shiftleft", F.lit(x).cast("bigint"), (by % PACKED) * BITS)
+    held = lambda counts, x: F.call_function("shiftright", F.get(counts, F.floor(x / PACKED).cast("int")), (x % PACKED) * BITS).bitwiseAND(F.lit(2**BITS - 1))
+    changed = lambda counts, x, by: F.transform(counts, lambda c, k: F.when(k == F.floor(x / PACKED), c + shift(x, by)).otherwise(c))
+    state = lambda counts, total, low: F.struct(counts.alias("counts"), total.alias("total"), low.alias("low"))
+
+    def enter(s, x):
+        n = held(s["counts"], x).cast("int")
+        return state(changed(s["counts"], x, 1), s["total"] + F.get(part, n + 1) - F.get(part, n), s["low"])
+
+    def move(s, step):
+        less, more = held(s["counts"], step["gone"]).cast("int"), held(s["counts"], step["new"]).cast("int")
+        total = s["total"] + F.get(part, less - 1) - F.get(part, less) + F.get(part, more + 1) - F.get(part, more)
+        counts = changed(changed(s["counts"], step["gone"], -1), step["new"], 1)
+        return F.when(step["gone"] == step["new"], s).otherwise(state(counts, total, F.least(s["low"], total)))
 
-    def move(s, i):
-        gone, new = F.get(codes, i - WINDOW), F.get(codes, i)
-        less, more = F.get(s["counts"], gone), F.get(s["counts"], new)
-        change = F.get(part, less - 1) - F.get(part, less) + F.get(part, more + 1) - F.get(part, more)
-        total = F.when(gone == new, s["total"]).otherwise(s["total"] + change)
-        counts = F.transform(s["counts"], lambda c, k: c - F.when(k == gone, 1).otherwise(0) + F.when(k == new, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), total.alias("total"), F.least(s["low"], total).alias("low"))
+    def over(codes):
+        rest = F.size(codes) - WINDOW
+        steps = F.zip_with(F.slice(codes, 1, rest), F.slice(codes, WINDOW + 1, rest), lambda a, b: F.struct(a.alias("gone"), b.alias("new")))
+        empty = state(F.array(*[F.lit(0).cast("bigint")] * (KEYS // PACKED + 1)), F.lit(0.0), F.lit(0.0))
+        full = F.aggregate(F.slice(codes, 1, WINDOW), empty, enter, lambda s: state(s["counts"], s["total"], s["total"]))
+        return F.aggregate(steps, full, move, lambda s: s["low"])
 
-    steps = F.when(F.size(codes) > WINDOW, F.sequence(F.lit(WINDOW), F.size(codes) - 1)).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(steps, F.struct(first.alias("counts"), total.alias("total"), total.alias("low")), move, lambda s: s["low"])
-    return F.lit(math.log2(WINDOW)) - low / WINDOW
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c) - ord("+"))
+    return F.lit(math.log2(WINDOW)) - S.let(codes, over) / WINDOW
 
 
 def _class_threshold(value: Column) -> Column:
@@ -72,12 +86,13 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
         df = df.withColumn(f"s__{kind}", F.regexp_extract_all(text, F.lit(p), F.lit(0)))
     df = df.withColumn("s__key", F.regexp_extract_all(text, F.lit(_ASSIGN), F.lit(1)))
     for rank, (kind, p) in enumerate(patterns.items()):
-        df = df.withColumn(f"s__{kind}", S.located(text, p, F.col(f"s__{kind}"), kind, rank))
+        ok = (lambda v: ~v.rlike(ALLOWED)) if kind == "entropy" else None
+        df = df.withColumn(f"s__{kind}", S.located(text, p, F.col(f"s__{kind}"), kind, rank, ok))
     df = df.withColumn("s__assign", F.filter("s__assign", lambda s, i: F.length(F.get(F.col("s__key"), i)) >= LEAST))
     df = df.withColumn("secret_base", F.sort_array(F.concat("s__assign", "s__access", "s__hex")))
     extra = F.filter(
         S.apart(F.col("s__entropy"), F.col("secret_base")),
-        lambda s: ~s["value"].rlike(ALLOWED) & (entropy(s["value"]) >= _class_threshold(s["value"])),
+        lambda s: entropy(s["value"]) >= _class_threshold(s["value"]),
     )
     df = df.withColumn("secret_spans", F.sort_array(F.concat("secret_base", extra)))
     return df.drop("t__", "s__key", *[f"s__{k}" for k in patterns])
