@@ -67,8 +67,14 @@ EM_STEPS, EM_CLOSE = 200, 1e-6
 TRUSTED = 0.98
 
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"[^\W\d_]+[0134578@$!*]+[^\W\d_]+", re.UNICODE)
+UPPER = re.compile("[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]")
+MARKS = re.compile(r"[0134578@$!*]+(?=[^\W\d_])")
+TOKEN = re.compile(r"(?:[^\W_]|[@$!*])+")
 SWAPPED = str.maketrans("0134578@$!", "oieastbasi")
+#: Code points on either side of a mark that a spelling with marks can have.
+AROUND = 20
+#: Words a task remembers as of no interest, or with their units, before it forgets them all.
+REMEMBERED = 300_000
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 ADDRESS = {"you", "your", "youre", "u", "du", "dich", "ihr", "tu", "te", "toi", "vous", "usted", "eres", "he", "she", "they", "this", "that", "the", "these", "such"}
 
@@ -96,7 +102,15 @@ def learn(taught: DataFrame) -> dict[str, float]:
     """Weights of units, learned from rows (text, toxic): the log ratio of their rates in toxic and other texts."""
 
     def run(batches):
-        seen = {0: Counter(), 1: Counter()}
+        seen, known = {0: Counter(), 1: Counter()}, {}
+
+        def all_units(words):
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = units(w)
+            return {""}.union(*map(known.__getitem__, words))
 
         def out():
             for label, counts in seen.items():
@@ -110,7 +124,7 @@ def learn(taught: DataFrame) -> dict[str, float]:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    seen[toxic].update({u for w in set(words_of(text)) for u in units(w)} | {""})
+                    seen[toxic].update(all_units(set(words_of(text))))
                 if sum(map(len, seen.values())) > FLUSH:
                     yield from out()
         yield from out()
@@ -141,53 +155,63 @@ class Voters:
         self.kinds = {w: i for i, k in enumerate(LEXICONS.values()) for w in k.split()}
         self.words = {u: w for u, w in learned.items() if not u.endswith("*")}
         self.starts = {u[:-1]: w for u, w in learned.items() if u.endswith("*")}
+        self.dull: set[str] = set()
 
     def start(self, word: str) -> float:
         return max((self.starts.get(word[:n], 0.0) for n in BEGINNINGS if len(word) > n), default=0.0)
 
+    def stretched(self, word: str) -> bool:
+        return STRETCHED.search(word) is not None and any(STRETCHED.sub(r"\1" * n, word) in self.kinds for n in (1, 2))
+
+    def spelled(self, text: str) -> bool:
+        """Whether a word of the lexicons stands in the text with marks in place of some letters, or between them."""
+        for m in MARKS.finditer(text):
+            at = m.start()
+            if at and text[at - 1].isalpha():
+                from_ = max(0, at - AROUND)
+                for t in TOKEN.finditer(text[from_ : m.end() + AROUND].lower()):
+                    token = t.group()
+                    if t.start() <= at - from_ < t.end() and (token.translate(SWAPPED) in self.kinds or token.replace("*", "") in self.kinds or self.starred(token)):
+                        return True
+        return False
+
+    def starred(self, token: str) -> bool:
+        return "*" in token and any(len(w) == len(token) and all(a in (b, "*") for a, b in zip(token, w)) for w in self.kinds)
+
     def features(self, text: str | None) -> list[float]:
         """One number for each of FEATURES; the first are the votes, 1 or 0."""
         words = words_of(text)
         counts = Counter(words)
-        by_kind, learned, starts, hits = [0] * len(LEXICONS), {}, {}, 0
-        for w, n in counts.items():
-            kind = self.kinds.get(w)
+        by_kind, learned, starts, found, hits, stretched = [0] * len(LEXICONS), {}, {}, set(), 0, False
+        if len(self.dull) > REMEMBERED:
+            self.dull.clear()
+        for w in counts.keys() - self.dull:
+            kind, start, long = self.kinds.get(w), self.start(w), self.stretched(w)
+            if kind is None and not start and not long and w not in self.words:
+                self.dull.add(w)
+                continue
+            stretched |= long
             if kind is not None:
-                by_kind[kind] += n
+                by_kind[kind] += counts[w]
             if w in self.words:
                 learned[w] = self.words[w]
-            s = self.start(w)
-            if s:
-                starts[w] = s
-            if kind is not None or w in learned or s:
-                hits += n
-        found = [w for w in counts if w in self.kinds or w in learned or w in starts]
+            if start:
+                starts[w] = start
+            if kind is not None or w in learned or start:
+                found.add(w)
+                hits += counts[w]
         rate = hits / len(words) if words else 0.0
-        spelled = stretched = addressed = shouting = 0
-        if text:
-            mixed = [m.lower() for m in MIXED.findall(text)]
-            spelled = any(m.translate(SWAPPED) in self.kinds or m.replace("*", "") in self.kinds or self._starred(m) for m in mixed)
-            stretched = any(self._squeezed(w) for w in counts if STRETCHED.search(w))
-            shouting = len(text) >= 40 and sum(map(str.isupper, text)) > 0.5 * sum(map(str.isalpha, text))
-        if found:
-            own = set(found)
-            addressed = any(w in own and not ADDRESS.isdisjoint(words[max(0, i - 3) : i]) for i, w in enumerate(words))
+        letters = sum(map(len, words))
+        addressed = bool(found) and any(w in found and not ADDRESS.isdisjoint(words[max(0, i - 3) : i]) for i, w in enumerate(words))
+        shouting = letters >= 40 and len(UPPER.findall(text)) > 0.5 * letters
         weight = sum(sorted({**starts, **learned}.values(), reverse=True)[:8])
         votes = [
             *[n > 0 for n in by_kind], len(learned) > 0, len(learned) > 1, len(starts) > 0, len(starts) > 1,
-            len(found) > 1, rate >= 0.01, addressed, spelled, stretched, shouting,
+            len(found) > 1, rate >= 0.01, addressed, bool(text) and self.spelled(text), stretched, shouting,
         ]
         log = math.log1p
         return [float(v) for v in votes] + [log(len(found)), log(hits), min(1.0, 20 * rate), log(len(learned)), log(len(starts)), weight / 8]
 
-    def _starred(self, token: str) -> bool:
-        if "*" not in token:
-            return False
-        return any(len(w) == len(token) and all(a in (b, "*") for a, b in zip(token, w)) for w in self.kinds)
-
-    def _squeezed(self, word: str) -> bool:
-        return any(STRETCHED.sub(r"\1" * n, word) in self.kinds for n in (1, 2))
-
 
 class LabelModel:
     """Votes given a hidden label, each voter depending on the label and on one other voter (its parent in a tree)."""
@@ -297,7 +321,8 @@ def taught_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     known = known.where(~held_out("key"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     marks = rows.select("id", F.xxhash64("text").alias("mark")).join(known, F.col("id") == F.col("key")).groupBy("mark").agg(F.min(F.struct("id", "toxic")).alias("s"))
-    return rows.join(marks.select(F.col("s.id").alias("key"), F.col("s.toxic").alias("toxic")), F.col("id") == F.col("key")).select("id", "text", "toxic")
+    marks = marks.select(F.col("s.id").alias("key"), F.col("s.toxic").alias("toxic")).hint("merge")  # the same plan at every size
+    return rows.where(~held_out("id")).join(marks, F.col("id") == F.col("key")).select("id", "text", "toxic")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
