@@ -6,42 +6,46 @@ the run's ``penalise_intercept`` is false, which leaves it free):
     L2:  1/2 ||b||^2 + C * sum_i w_i * logloss_i
     L1:  ||b||_1     + C * sum_i w_i * logloss_i
 on features standardised with the run's training mean and population std (a zero std
-scales by 1). Each iteration is one aggregate pass over the compacted rows computing,
-per run, the gradient (d+1), the Hessian (upper triangle) and the loss; the driver
-solves the (d+1)x(d+1) step per run. Driver data: run parameters only.
+scales by 1). Runs that share their training rows share a ``part``: a row stands once for
+each part, not for each run. An iteration is one pass over the compacted rows with all live
+runs' coefficients: a batch of a part's rows meets the matrix of its runs' coefficients, which
+gives all their losses, gradients (d+1) and Hessians (upper triangle) at once; each task hands
+on one row of sums for each run. The driver solves the (d+1)x(d+1) step per run. Driver data:
+run parameters only.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_ITER = 1000
 TOL = 1e-9
 
 
-def run_stats(train: DataFrame, feats) -> DataFrame:
-    """Mean and population std per run (row counts in ``cnt`` when rows are pre-compacted)."""
+def part_stats(train: DataFrame, feats) -> DataFrame:
+    """Mean and population std per part (row counts in ``cnt`` when rows are pre-compacted)."""
     if "cnt" not in train.columns:
         aggs = []
         for c in feats:
             aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
-        return train.groupBy("run").agg(*aggs)
+        return train.groupBy("part").agg(*aggs)
     n = F.sum("cnt")
     aggs = [n.alias("_n")]
     for c in feats:
         aggs += [F.sum(F.col("cnt") * F.col(c)).alias(f"_s_{c}")]
-    m = train.groupBy("run").agg(*aggs)
-    means = m.select("run", "_n", *[(F.col(f"_s_{c}") / F.col("_n")).alias(f"{c}__mean") for c in feats])
-    dev = train.join(F.broadcast(means), "run").groupBy("run").agg(
+    m = train.groupBy("part").agg(*aggs)
+    means = m.select("part", "_n", *[(F.col(f"_s_{c}") / F.col("_n")).alias(f"{c}__mean") for c in feats])
+    dev = train.join(means, "part").groupBy("part").agg(
         *[F.sum(F.col("cnt") * (F.col(c) - F.col(f"{c}__mean")) * (F.col(c) - F.col(f"{c}__mean"))).alias(f"_v_{c}") for c in feats],
         F.first("_n").alias("_n"),
     )
-    out = means.drop("_n").join(dev, "run")
-    return out.select("run", *[x for c in feats for x in (F.col(f"{c}__mean"), F.sqrt(F.col(f"_v_{c}") / F.col("_n")).alias(f"{c}__std"))])
+    out = means.drop("_n").join(dev, "part")
+    return out.select("part", *[x for c in feats for x in (F.col(f"{c}__mean"), F.sqrt(F.col(f"_v_{c}") / F.col("_n")).alias(f"{c}__std"))])
 
 
 def _z(feats):
@@ -51,63 +55,55 @@ def _z(feats):
     ]
 
 
-def compact_standardized(train: DataFrame, params: DataFrame, feats, y: str = "y") -> tuple[DataFrame, DataFrame]:
-    """(run, z0..z{d-1}, y, w) with w = count * class weight, plus the per-run stats table."""
-    stats = run_stats(train, feats)
+def compact_standardized(train: DataFrame, feats, y: str = "y") -> tuple[DataFrame, DataFrame]:
+    """(part, z0..z{d-1}, y, w) with w the row count, plus the per-part stats table."""
+    stats = part_stats(train, feats)
     n = F.sum("cnt") if "cnt" in train.columns else F.count(F.lit(1))
-    compact = train.groupBy("run", *feats, F.col(y).alias("y")).agg(n.alias("cnt"))
-    cls = compact.groupBy("run", "y").agg(F.sum("cnt").alias("n_c"))
-    tot = cls.groupBy("run").agg(F.sum("n_c").alias("n_run"), F.count(F.lit(1)).alias("k"))
-    cw = cls.join(tot, "run").join(params.select("run", "balanced"), "run").select(
-        "run", "y", F.when(F.col("balanced"), F.col("n_run") / (F.col("k") * F.col("n_c"))).otherwise(F.lit(1.0)).alias("cw")
-    )
-    z = compact.join(F.broadcast(stats), "run").join(F.broadcast(cw), ["run", "y"])
-    rows = z.select("run", *_z(feats), "y", (F.col("cnt") * F.col("cw")).alias("w"))
+    compact = train.groupBy("part", *feats, F.col(y).alias("y")).agg(n.alias("cnt"))
+    rows = compact.join(stats, "part").select("part", *_z(feats), "y", F.col("cnt").cast("double").alias("w"))
     return rows, stats
 
 
-def _quoted(name: str) -> str:
-    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _aggregate(rows: DataFrame, beta: dict, d: int, target: str = "y") -> dict:
-    """One pass: per-run loss, gradient and Hessian at the given coefficients.
-
-    The live runs' coefficients travel inside the query as a literal map
-    (run -> array), so an iteration is one aggregate job with no join. The query is
-    one SQL text: building it costs one parse instead of hundreds of client calls.
-    """
-    spark = rows.sparkSession
-    view = getattr(rows, "_parley_view", None)
-    if view is None:
-        view = f"parley_lr_{uuid.uuid4().hex}"
-        rows.createOrReplaceTempView(view)
-        rows._parley_view = view
-    runs = sorted(beta)
-    entries = ", ".join(
-        f"{_quoted(r)}, array({', '.join(repr(float(v)) + 'D' for v in beta[r])})" for r in runs
-    )
-    xs = [f"z{i}" for i in range(d)] + ["1.0D"]
-    m = " + ".join(f"_b[{i}] * {x}" for i, x in enumerate(xs))
-    aggs = ["sum(w * (sp - t * m)) AS L"]
-    aggs += [f"sum(w * (s - t) * {xs[i]}) AS g{i}" for i in range(d + 1)]
-    aggs += [f"sum(w * s * (1 - s) * {xs[i]} * {xs[k]}) AS h{i}_{k}" for i in range(d + 1) for k in range(i, d + 1)]
-    in_list = ", ".join(map(_quoted, runs))
-    sql = f"""
-    SELECT run, {', '.join(aggs)} FROM (
-      SELECT *, 1.0D / (1.0D + exp(-m)) AS s,
-             CASE WHEN m > 0 THEN m + log1p(exp(-m)) ELSE log1p(exp(m)) END AS sp
-      FROM (SELECT run, w, {', '.join(f'z{i}' for i in range(d))}, CAST({target} AS DOUBLE) AS t, {m} AS m
-            FROM (SELECT *, map({entries})[run] AS _b FROM {view} WHERE run IN ({in_list}))))
-    GROUP BY run"""
+def _aggregate(rows: DataFrame, live: dict, d: int, target: str = "y") -> dict:
+    """One pass: each live run's loss, gradient and Hessian. live: run -> (part, coefficients, weights of the labels 0 and 1)."""
+    by_part: dict = {}
+    for run, (part, b, cw) in sorted(live.items()):
+        by_part.setdefault(part, []).append((run, b, cw))
+    packed = {p: ([r for r, _, _ in of], np.array([b for _, b, _ in of]).T, np.array([cw for _, _, cw in of]).T) for p, of in by_part.items()}
+    upper = np.triu_indices(d + 1)
+    width = 1 + (d + 1) + len(upper[0])
+
+    def sums(batches):
+        total: dict = {}
+        for batch in batches:
+            parts = batch.column(0).dictionary_encode()
+            index, names = np.asarray(parts.indices), parts.dictionary.to_pylist()
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, d + 1)] + [np.ones(batch.num_rows)])
+            t, w = (batch.column(i).to_numpy(zero_copy_only=False)[:, None] for i in (d + 1, d + 2))
+            for i, part in enumerate(names):
+                if part not in packed:
+                    continue
+                own = index == i
+                _, b, cw = packed[part]
+                z, y, weight = x[own], t[own], w[own] * np.where(t[own] == 1, cw[1], cw[0])
+                m = z @ b
+                s = 1 / (1 + np.exp(-np.clip(m, -700, 700)))
+                loss = np.maximum(m, 0) + np.log1p(np.exp(-np.abs(m))) - y * m
+                pairs = z[:, upper[0]] * z[:, upper[1]]
+                made = np.vstack([(weight * loss).sum(axis=0), z.T @ (weight * (s - y)), pairs.T @ (weight * s * (1 - s))])
+                total[part] = total[part] + made if part in total else made
+        for part, made in total.items():
+            runs = packed[part][0]
+            yield pa.RecordBatch.from_arrays([pa.array(runs), *[pa.array(made[i]) for i in range(width)]], names=["run", *[f"v{i}" for i in range(width)]])
+
+    columns = rows.select("part", *[F.col(f"z{i}").cast("double") for i in range(d)], F.col(target).cast("double"), F.col("w").cast("double"))
+    made = columns.mapInArrow(sums, "run string, " + ", ".join(f"v{i} double" for i in range(width)))
     out = {}
-    for r in spark.sql(sql).collect():
-        g = np.array([r[f"g{i}"] for i in range(d + 1)])
+    for r in made.groupBy("run").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)]).collect():
+        v = np.array([r[f"v{i}"] for i in range(width)])
         h = np.zeros((d + 1, d + 1))
-        for i in range(d + 1):
-            for k in range(i, d + 1):
-                h[i, k] = h[k, i] = r[f"h{i}_{k}"]
-        out[r["run"]] = (r["L"], g, h)
+        h[upper] = v[d + 2 :]
+        out[r["run"]] = (v[0], v[1 : d + 2], h + np.triu(h, 1).T)
     return out
 
 
@@ -137,18 +133,26 @@ def _prox_newton_step(b, g, h, C, weights, iters=10_000):
 
 
 def fit_logistic(rows: DataFrame, params: DataFrame, d: int, target: str = "y", max_iter: int = MAX_ITER) -> DataFrame:
-    """rows: (run, z0.., y|target, w); params: (run, C, l1[, penalise_intercept]).
+    """rows: (part, z0.., y|target, w); params: (run, C, l1[, part, balanced, penalise_intercept]).
 
-    Returns (run, b0..b{d}, iterations, converged) with b{d} the intercept; a run that reaches
+    Without a part, a run is its own. Balanced runs weigh label c by n / (labels * n_c) of their
+    part. Returns (run, b0..b{d}, iterations, converged) with b{d} the intercept; a run that reaches
     ``max_iter`` steps says so in ``converged``."""
     spark = rows.sparkSession
-    if "penalise_intercept" not in params.columns:
-        params = params.withColumn("penalise_intercept", F.lit(True))
-    prm = {}
-    for r in params.select("run", "C", "l1", "penalise_intercept").collect():
+    for name, default in (("penalise_intercept", F.lit(True)), ("balanced", F.lit(False)), ("part", F.col("run"))):
+        params = params if name in params.columns else params.withColumn(name, default)
+    rows = rows if "part" in rows.columns else rows.withColumnRenamed("run", "part")
+    prm, part, classes = {}, {}, {}
+    given = params.select("run", "C", "l1", "penalise_intercept", "balanced", "part").collect()
+    if any(r["balanced"] for r in given):
+        for r in rows.groupBy("part", target).agg(F.sum("w").alias("n")).collect():
+            classes.setdefault(r["part"], {})[r[target]] = r["n"]
+    for r in given:
         weights = np.ones(d + 1)
         weights[d] = float(r["penalise_intercept"])
         prm[r["run"]] = (float(r["C"]), bool(r["l1"]), weights)
+        n = classes.get(r["part"], {}) if r["balanced"] else {}
+        part[r["run"]] = (r["part"], [sum(n.values()) / (len(n) * n[c]) if c in n else 1.0 for c in (0, 1)])
     runs = sorted(prm)
     beta = {r: np.zeros(d + 1) for r in runs}
     step = {r: np.zeros(d + 1) for r in runs}
@@ -159,7 +163,7 @@ def fit_logistic(rows: DataFrame, params: DataFrame, d: int, target: str = "y",
         live = [r for r in runs if r not in done]
         if not live:
             break
-        stats = _aggregate(rows, {r: beta[r] for r in live}, d, target)
+        stats = _aggregate(rows, {r: (part[r][0], beta[r], part[r][1]) for r in live}, d, target)
         for r in live:
             if r not in stats:
                 done[r] = (it, False)
@@ -185,23 +189,24 @@ def fit_logistic(rows: DataFrame, params: DataFrame, d: int, target: str = "y",
 
 
 def fit_runs(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFrame:
-    """train: (run, feats..., y); runs: (run, C, l1 [0/1 or bool], balanced). Model table:
-    (run, coefficients ARRAY<DOUBLE> on standardised features, intercept, means, stds)."""
+    """train: (part, feats..., y[, cnt]); runs: (run, part, C, l1 [0/1 or bool], balanced). Model table:
+    (run, coefficients ARRAY<DOUBLE> on standardised features, intercept, means, stds, iterations, converged).
+    Without a part, train has the run."""
+    if "part" not in train.columns:
+        train, runs = train.withColumnRenamed("run", "part"), runs.withColumn("part", F.col("run"))
     params = runs.select(
         "run",
+        "part",
         F.col("C").cast("double").alias("C"),
         (F.coalesce(F.col("l1").cast("double"), F.lit(0.0)) >= 1.0).alias("l1"),
         F.coalesce(F.col("balanced").cast("boolean"), F.lit(False)).alias("balanced"),
         (F.coalesce(F.col("penalise_intercept"), F.lit(True)) if "penalise_intercept" in runs.columns else F.lit(True)).alias("penalise_intercept"),
     )
-    rows, stats = compact_standardized(train, params, feats, y)
-    rows = rows.cache()
+    rows, stats = compact_standardized(train, feats, y)
+    rows, stats = cut_lineage(rows), cut_lineage(stats)
     d = len(feats)
-    params = params.cache()
     beta = fit_logistic(rows, params, d)
-    rows.unpersist()
-    params.unpersist()
-    model = beta.join(stats, "run")
+    model = beta.join(params.select("run", "part"), "run").join(stats, "part")
     return model.select(
         "run",
         F.array(*[F.col(f"b{i}") for i in range(d)]).alias("coefficients"),
@@ -228,7 +233,7 @@ def sigmoid(c: F.Column) -> F.Column:
 
 
 def score(rows: DataFrame, models: DataFrame, feats) -> DataFrame:
-    """Adds ``decision`` and ``p1`` for each row's run (model table broadcast: one row per run)."""
-    j = rows.join(F.broadcast(models), "run")
+    """Adds ``decision`` and ``p1`` for each row's run (one row per run in the model table)."""
+    j = rows.join(models, "run")
     dec = decision(feats)
     return j.select(*rows.columns, dec.alias("decision"), sigmoid(dec).alias("p1"))

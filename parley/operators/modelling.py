@@ -2,9 +2,9 @@
 Spark jobs over ``run`` keys.
 
 A *run* is (candidate, fold[, inner fold]); its training rows are the rows whose fold
-differs (a generator over the fold list, then an equi-join on the fold), compacted by
-feature values before any fit. All runs of a job fit together: trees level by level,
-logistic regressions in shared Newton passes.
+differs, compacted by feature values before any fit. Rows stand once for each *part* (fold,
+inner fold, feature set), not for each run: logistic regressions take all runs of a part in
+the same Newton passes, and tree candidates are cuts of a few shared trees.
 """
 
 from __future__ import annotations
@@ -87,68 +87,79 @@ def tree_grid():
 
 
 def fold_runs(data: DataFrame, cands: DataFrame, k: int, fold_col: str = "fold", group_cols=()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(runs, train, valid): runs = candidates x folds; train rows carry the run whose fold they are not in.
+    """(runs, train, valid): runs = candidates x folds, each with the ``part`` (fold, and group) whose rows it takes.
 
-    ``group_cols`` (present in both data and cands) further split runs, e.g. a feature set.
+    Rows carry their part only: train rows stand in the parts of all other folds, valid rows in
+    that of their own, however many candidates there are. ``group_cols`` (present in both data
+    and cands) further split parts, e.g. a feature set.
     """
     g = list(group_cols)
+    part = F.concat_ws("#", *[F.col(c).cast("string") for c in g], F.col("k").cast("string")).alias("part")
     runs = cands.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")).select(
-        F.concat_ws("#", "cand_id", *[F.col(c).cast("string") for c in g], F.col("k").cast("string")).alias("run"), "*"
+        F.concat_ws("#", "cand_id", *[F.col(c).cast("string") for c in g], F.col("k").cast("string")).alias("run"), part, "*"
     )
     # compact before the fan-out: one row per distinct (group, fold, features, y) with its count
     feats_in = [c for c in FEATS if c in data.columns]
     data = data.groupBy(*g, fold_col, *feats_in, "y").agg(F.count(F.lit(1)).alias("cnt"))
-    others = data.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col(fold_col))).alias("k"))
-    train = others.join(runs.select("run", *g, "k"), [*g, "k"]).drop("k")
-    valid = data.withColumn("k", F.col(fold_col)).join(runs.select("run", *g, "k"), [*g, "k"]).drop("k")
-    return runs, train, valid
-
-
-def fit_models(runs: DataFrame, train: DataFrame, feats=FEATS):
-    """Fit every run; returns (lr_models or None, tree_nodes or None). ``runs`` carries candidate params."""
-    runs = runs.cache()
-    train = cut_lineage(train)
-    lr_runs = runs.where(F.col("model") == LR_NAME)
-    dt_runs = runs.where(F.col("model") == TREE_NAME)
-    lr_models = nodes = None
-    w = ["cnt"] if "cnt" in train.columns else []
+    train = data.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col(fold_col))).alias("k"))
+    valid = data.withColumn("k", F.col(fold_col))
+    return runs, *[rows.select(part, *feats_in, "y", "cnt") for rows in (train, valid)]
+
+
+class Models:
+    """Fitted runs: linear models by run; shared trees and each run's cut of them."""
+
+    def __init__(self, runs: DataFrame, lr=None, nodes=None, cuts=None, parts=None):
+        self.runs, self.lr, self.nodes, self.cuts, self.parts = runs, lr, nodes, cuts, parts
+
+    def trees(self) -> DataFrame:
+        """The node table of each run."""
+        return TR.cut_trees(self.nodes, self.cuts)
+
+
+def fit_models(runs: DataFrame, train: DataFrame, feats=FEATS) -> Models:
+    """Fits every run (run, part, candidate parameters) on the train rows (part, features, y, cnt) of its part."""
+    runs, train = cut_lineage(runs), cut_lineage(train)
+    lr_runs, dt_runs = runs.where(F.col("model") == LR_NAME), runs.where(F.col("model") == TREE_NAME)
+    out = Models(runs)
     if not lr_runs.isEmpty():
-        tr = train.join(lr_runs.select("run"), "run", "left_semi")
-        lr_models = LIN.fit_runs(tr.select("run", *feats, "y", *w), lr_runs.select("run", "C", "l1", "balanced", "penalise_intercept"), feats)
-        lr_models = cut_lineage(lr_models)
+        own = train.join(lr_runs.select("part").distinct(), "part", "left_semi")
+        out.lr = cut_lineage(LIN.fit_runs(own, lr_runs.select("run", "part", "C", "l1", "balanced", "penalise_intercept"), feats))
     if not dt_runs.isEmpty():
-        tr = train.join(dt_runs.select("run"), "run", "left_semi")
-        nodes = TR.fit_trees(
-            tr.select("run", *feats, "y", *w),
-            dt_runs.select("run", "criterion", "max_depth", "min_samples_split", "min_samples_leaf", "balanced"),
-            feats,
-        )
-    return lr_models, nodes
+        trees, cuts = (cut_lineage(t) for t in TR.shared_trees(dt_runs.select("run", "part", "criterion", "max_depth", "min_samples_split", "min_samples_leaf", "balanced")))
+        rows = train.join(trees.select("run", "part"), "part").select("run", *feats, "y", "cnt")
+        out.nodes, out.cuts, out.parts = cut_lineage(TR.fit_trees(rows, trees, feats)), cuts, trees.select("run", "part")
+    return out
+
 
+def score_models(rows: DataFrame, models: Models, feats=FEATS, compact: bool = False) -> DataFrame:
+    """rows (part, features, ...) scored by each run of their part: adds ``run``, ``decision`` (LR log-odds, tree probability) and ``p1``.
 
-def score_models(rows: DataFrame, lr_models, nodes, feats=FEATS) -> DataFrame:
-    """rows carry ``run``; adds ``decision`` (LR log-odds, tree probability) and ``p1``."""
+    ``compact``: only (run, y, cnt, decision, p1) are wanted, and a tree's rows are counted by leaf before they meet its runs.
+    """
+    columns = ["run", "y", "cnt"] if compact else ["run", *rows.columns]
     out = None
-    if lr_models is not None:
-        va = rows.join(lr_models.select("run"), "run", "left_semi")
-        out = LIN.score(va, lr_models, feats)
-    if nodes is not None:
-        va = rows.join(nodes.select("run").distinct(), "run", "left_semi")
-        sc = TR.apply_trees(va, nodes, feats).drop("leaf").withColumn("decision", F.col("p1"))
-        sc = sc.select(*va.columns, "decision", "p1")
-        out = sc if out is None else out.unionByName(sc)
+    if models.lr is not None:
+        own = rows.join(models.runs.where(F.col("model") == LR_NAME).select("run", "part"), "part")
+        out = LIN.score(own, models.lr, feats).select(*columns, "decision", "p1")
+    if models.nodes is not None:
+        own = TR.apply_trees(rows.join(models.parts, "part"), models.nodes, feats).withColumnRenamed("run", "tree").drop("p1")
+        if compact:
+            own = own.groupBy("tree", "leaf", "y").agg(F.sum("cnt").alias("cnt"))
+        says = TR.leaf_values(models.nodes, models.trees(), models.cuts)
+        scored = own.join(says, ["tree", "leaf"]).select(*columns, F.col("p1").alias("decision"), "p1")
+        out = scored if out is None else out.unionByName(scored)
     return out
 
 
 def fit_and_score(runs: DataFrame, train: DataFrame, valid: DataFrame, feats=FEATS) -> DataFrame:
-    """Fit every run (LR and tree candidates) and score its validation rows: adds ``p1`` and ``decision``."""
-    lr_models, nodes = fit_models(runs, train, feats)
-    return score_models(cut_lineage(valid), lr_models, nodes, feats)
+    """Fit every run (LR and tree candidates) and score its validation rows: (run, y, cnt, decision, p1)."""
+    return score_models(cut_lineage(valid), fit_models(runs, train, feats), feats, compact=True)
 
 
 def run_metrics(scored: DataFrame, runs: DataFrame, keys=("cand_id", "model", "k")) -> DataFrame:
     """Per-run metrics: labels by ``p1 > 0.5``, AUC on p1."""
-    s = scored.drop(*[c for c in keys if c in scored.columns]).join(F.broadcast(runs.select("run", *keys)), "run")
+    s = scored.drop(*[c for c in keys if c in scored.columns]).join(runs.select("run", *keys), "run")
     w = "cnt" if "cnt" in s.columns else None
     return M.fold_metrics(s, "y", "p1", ["run", *keys], threshold=0.5, rule=">", weight=w)
 
@@ -163,36 +174,24 @@ def cross_validate(data: DataFrame, cands: DataFrame, k: int = 5, feats=FEATS) -
     return run_metrics(scored, runs)
 
 
-def fit_full(train: DataFrame, cands: DataFrame, feats=FEATS):
+def fit_full(train: DataFrame, cands: DataFrame, feats=FEATS) -> tuple[DataFrame | None, DataFrame | None]:
     """Fit each candidate once on all training rows (run = cand_id). Returns (lr_models, tree_nodes)."""
-    runs = cands.withColumn("run", F.col("cand_id"))
-    lr = runs.where(F.col("model") == LR_NAME)
-    dt = runs.where(F.col("model") == TREE_NAME)
-    lr_models = tree_nodes = None
-    train = train.groupBy(*feats, "y").agg(F.count(F.lit(1)).alias("cnt"))  # compact before the fan-out
-    ids_lr = [r["run"] for r in lr.select("run").collect()]
-    ids_dt = [r["run"] for r in dt.select("run").collect()]
-    if ids_lr:
-        t = train.select(*feats, "y", "cnt", F.explode(F.array(*[F.lit(r) for r in ids_lr])).alias("run"))
-        lr_models = LIN.fit_runs(t, lr.select("run", "C", "l1", "balanced", "penalise_intercept"), feats)
-    if ids_dt:
-        t = train.select(*feats, "y", "cnt", F.explode(F.array(*[F.lit(r) for r in ids_dt])).alias("run"))
-        tree_nodes = TR.fit_trees(t, dt.select("run", "criterion", "max_depth", "min_samples_split", "min_samples_leaf", "balanced"), feats)
-    return lr_models, tree_nodes
+    rows = train.groupBy(F.lit("all").alias("part"), *feats, "y").agg(F.count(F.lit(1)).alias("cnt"))
+    models = fit_models(cands.select(F.col("cand_id").alias("run"), F.lit("all").alias("part"), "*"), rows, feats)
+    return models.lr, None if models.nodes is None else cut_lineage(models.trees())
 
 
 def score_full(rows: DataFrame, cands: DataFrame, lr_models, tree_nodes, feats=FEATS) -> DataFrame:
     """Score rows with every fitted candidate: (run, rows..., decision, p1)."""
+    ids = cands.select(F.col("cand_id").alias("run"), "model")  # every row meets every candidate, which is what is asked for
+    each = rows.withColumn("all__", F.lit(1)).join(ids.withColumn("all__", F.lit(1)), "all__").drop("all__")
     out = None
     if lr_models is not None:
-        ids = [r["run"] for r in lr_models.select("run").collect()]
-        t = rows.select("*", F.explode(F.array(*[F.lit(r) for r in ids])).alias("run"))
-        out = LIN.score(t, lr_models, feats)
+        out = LIN.score(each.where(F.col("model") == LR_NAME).drop("model"), lr_models, feats)
     if tree_nodes is not None:
-        ids = [r["run"] for r in tree_nodes.select("run").distinct().collect()]
-        t = rows.select("*", F.explode(F.array(*[F.lit(r) for r in ids])).alias("run"))
-        sc = TR.apply_trees(t, tree_nodes, feats).drop("leaf").withColumn("decision", F.col("p1"))
-        sc = sc.select(*t.columns, "decision", "p1")
+        own = each.where(F.col("model") == TREE_NAME).drop("model")
+        sc = TR.apply_trees(own, tree_nodes, feats).drop("leaf").withColumn("decision", F.col("p1"))
+        sc = sc.select(*own.columns, "decision", "p1")
         out = sc if out is None else out.unionByName(sc)
     return out
 
@@ -201,7 +200,7 @@ def heldout_evaluation(train: DataFrame, test: DataFrame, cands: DataFrame, feat
     """Fit on the training rows, evaluate on held-out rows: metrics + confusion matrix per candidate."""
     lr_models, nodes = fit_full(train, cands, feats)
     scored = score_full(test, cands, lr_models, nodes, feats)
-    s = scored.join(F.broadcast(cands.select(F.col("cand_id").alias("run"), "model")), "run")
+    s = scored.join(cands.select(F.col("cand_id").alias("run"), "model"), "run")
     s = s.withColumn("pred", M.predict_label("p1"))
     conf = M.confusion(s, "y", "pred", ["model"])
     auc = M.roc_auc(s, "y", "p1", ["model"]).select("model", "roc_auc")
@@ -226,22 +225,15 @@ def nested_calibration(data: DataFrame, nested: DataFrame, cands: DataFrame, met
     """
     nd = nested.join(data, "orig_index")
     k_outer = (data.agg(F.max("fold")).first()[0] or 0) + 1
-    base = cands.select("*", F.explode(F.sequence(F.lit(0), F.lit(k_outer - 1))).alias("k")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(k_inner - 1))).alias("j")
-    ).withColumn("run", F.concat_ws("#", "cand_id", F.col("k").cast("string"), F.col("j").cast("string")))
-    tr = nd.select(
-        "orig_index", *feats, "y", F.col("outer_fold").alias("k"),
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(k_inner - 1)), lambda x: x != F.col("inner_fold"))).alias("j"),
-    ).join(base.select("run", "k", "j"), ["k", "j"])
-    cal = nd.select("orig_index", *feats, "y", F.col("outer_fold").alias("k"), F.col("inner_fold").alias("j")).join(
-        base.select("run", "k", "j"), ["k", "j"]
-    )
-    val = data.select("orig_index", *feats, "y", F.col("fold").alias("k"),
-                      F.explode(F.sequence(F.lit(0), F.lit(k_inner - 1))).alias("j")).join(base.select("run", "k", "j"), ["k", "j"])
-    tr = tr.groupBy("run", *feats, "y").agg(F.count(F.lit(1)).alias("cnt"))  # compact before fitting
-    lr_models, nodes = fit_models(base, tr, feats)
-    cal_s = cut_lineage(score_models(cal.select("run", "orig_index", *feats, "y"), lr_models, nodes, feats))
-    val_s = cut_lineage(score_models(val.select("run", "orig_index", *feats, "y"), lr_models, nodes, feats))
+    inner = F.sequence(F.lit(0), F.lit(k_inner - 1))
+    part = F.concat_ws("#", F.col("k").cast("string"), F.col("j").cast("string")).alias("part")
+    base = cands.select("*", F.explode(F.sequence(F.lit(0), F.lit(k_outer - 1))).alias("k")).select("*", F.explode(inner).alias("j"))
+    base = cut_lineage(base.select(F.concat_ws("#", "cand_id", F.col("k").cast("string"), F.col("j").cast("string")).alias("run"), part, "*"))
+    tr = nd.select(*feats, "y", F.col("outer_fold").alias("k"), F.explode(F.filter(inner, lambda x: x != F.col("inner_fold"))).alias("j"))
+    cal = nd.select("orig_index", *feats, "y", F.col("outer_fold").alias("k"), F.col("inner_fold").alias("j"))
+    val = data.select("orig_index", *feats, "y", F.col("fold").alias("k"), F.explode(inner).alias("j"))
+    models = fit_models(base, tr.groupBy(part, *feats, "y").agg(F.count(F.lit(1)).alias("cnt")), feats)  # compact before fitting
+    cal_s, val_s = (cut_lineage(score_models(rows.select(part, "orig_index", *feats, "y"), models, feats)) for rows in (cal, val))
     pieces = []
     for method in methods:
         calib_in = cal_s.select("run", F.col("decision").alias("score"), "y")
@@ -255,7 +247,7 @@ def nested_calibration(data: DataFrame, nested: DataFrame, cands: DataFrame, met
     allp = pieces[0]
     for p_ in pieces[1:]:
         allp = allp.unionByName(p_)
-    meta = F.broadcast(base.select("run", "cand_id", "model", "k"))
+    meta = base.select("run", "cand_id", "model", "k")
     oof = allp.join(meta, "run").groupBy("cand_id", "model", "calibration_method", "orig_index", "k", "y").agg(
         F.avg("p_cal").alias("p")
     ).withColumnRenamed("k", "fold")

@@ -16,6 +16,14 @@ sums are exact and don't depend on how the work is split.
 The active rows are checkpointed every level (reliable checkpoint, survives executor
 loss). The driver only sees per-level row counts; nodes are a DataFrame.
 
+A node with at most LOCAL_ROWS compacted rows needs no further passes: its rows go to one task,
+which grows the subtree below it with the same formulas and ties (``grow``). So the number of
+passes follows the size of the data, and a small table takes one.
+
+Candidates that differ only in their depth limit and ``min_samples_split`` share one tree: the
+best split of a node depends on neither, so each candidate's tree is the shared one cut where
+its own limits stop (``cut_trees``).
+
 Stopping rules follow the reference library: depth limit, ``min_samples_split``,
 ``2 * min_samples_leaf``, pure node, or no valid split; leaf sizes use row counts,
 impurities use class-weighted counts.
@@ -23,8 +31,11 @@ impurities use class-weighted counts.
 
 from __future__ import annotations
 
+import math
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +43,9 @@ from ..session import cut_lineage
 
 PURE = 2.220446049250313e-16  # machine epsilon: an impurity above it can be split
 UNLIMITED = 2**31 - 1
+TIES = 1e12  # scores per unit of weight are compared in steps of its inverse, so that rounding decides no tie
 ROOT = ""
+LOCAL_ROWS = 100_000  # compacted rows of a node whose subtree one task grows
 ROWS_PER_BUCKET = 1_000_000  # compacted rows of a node that one ordered window takes
 
 
@@ -72,7 +85,8 @@ def best_splits(rows: DataFrame, node_stats: DataFrame, feats, keys=("run", "nod
     over the value order use order-preserving buckets (approximate quantile bounds per
     group, exact offsets from integer bucket totals; any number of buckets gives the same
     result), midpoints use the next distinct value, and
-    the winner is ``min(struct(score, feature, threshold))`` per node.
+    the winner is ``min(struct(score, feature, threshold))`` per node, with scores per unit of weight
+    that are equal to 12 places taken as ties.
     """
     spark = rows.sparkSession
     rv, sv = _view(rows, "parley_rows"), _view(node_stats, "parley_nodes")
@@ -102,9 +116,9 @@ def best_splits(rows: DataFrame, node_stats: DataFrame, feats, keys=("run", "nod
                     (n_node - c1_node - ln + ln1) * cw0 AS rw0, (c1_node - ln1) * cw1 AS rw1, criterion,
                     CASE WHEN (v + next_v) / 2.0D = next_v THEN v ELSE (v + next_v) / 2.0D END AS threshold
              FROM cum JOIN {sv} USING ({k}) WHERE next_v IS NOT NULL AND ln >= msl AND n_node - ln >= msl),
-    scored AS (SELECT {k}, f, threshold, ln, rn, {score} AS score FROM cand)
+    scored AS (SELECT {k}, f, threshold, ln, rn, {score} AS score, lw0 + lw1 + rw0 + rw1 AS weight FROM cand)
     SELECT {k}, b.score AS score, b.f AS feature_index, b.threshold AS threshold, b.ln AS n_left, b.rn AS n_right
-    FROM (SELECT {k}, min(named_struct('score', score, 'f', f, 'threshold', threshold, 'ln', ln, 'rn', rn)) AS b
+    FROM (SELECT {k}, min(named_struct('key', floor(score / weight * {TIES} + 0.5D), 'f', f, 'threshold', threshold, 'score', score, 'ln', ln, 'rn', rn)) AS b
           FROM scored GROUP BY {k})"""
     out = spark.sql(sql)
     for view in (rv, sv):  # analysed already
@@ -178,7 +192,7 @@ def _level(rows: DataFrame, params: DataFrame, feats, depth: int, n_buckets: int
         "impurity",
         F.col("feature_index").isNull().alias("is_leaf"),
         "feature_index",
-        F.element_at(F.array(*[F.lit(c) for c in feats]), F.col("feature_index") + 1).alias("feature"),
+        F.when(F.col("feature_index").isNotNull(), F.element_at(F.array(*[F.lit(c) for c in feats]), F.col("feature_index") + 1)).alias("feature"),
         "threshold",
         ((F.col("w0_node") + F.col("w1_node")) * F.col("impurity") - F.col("score")).alias("decrease"),
         (F.col("w1_node") / (F.col("w0_node") + F.col("w1_node"))).alias("p1"),
@@ -187,41 +201,152 @@ def _level(rows: DataFrame, params: DataFrame, feats, depth: int, n_buckets: int
     )
 
 
+NODE_COLUMNS = (
+    "run string, node string, depth int, n bigint, c0 bigint, c1 bigint, w0 double, w1 double, impurity double, is_leaf boolean, "
+    "feature_index int, feature string, threshold double, decrease double, p1 double, n_left bigint, n_right bigint"
+)
+
+
+def _impure(a, b, criterion: str):
+    """``impurity`` over arrays."""
+    n = a + b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p0, p1 = np.where(n > 0, a / n, 0.0), np.where(n > 0, b / n, 0.0)
+        if criterion != "entropy":
+            return 1.0 - p0 * p0 - p1 * p1
+        return -sum(np.where(p > 0, p * (np.log(np.where(p > 0, p, 1.0)) / math.log(2.0)), 0.0) for p in (p0, p1))
+
+
+def grow(x: np.ndarray, y: np.ndarray, cnt: np.ndarray, root: str, prm: dict, feats) -> list[tuple]:
+    """Nodes of the subtree below `root`: `_level` and its passes for rows that fit in one task."""
+    cw0, cw1, criterion, least = prm["cw0"], prm["cw1"], prm["criterion"], prm["min_samples_leaf"]
+    out, waiting = [], [(root, np.arange(len(y)))]
+    while waiting:
+        node, own = waiting.pop()
+        ones = np.where(y[own] == 1, cnt[own], 0)
+        n, c0, c1 = int(cnt[own].sum()), int(np.where(y[own] == 0, cnt[own], 0).sum()), int(ones.sum())
+        w0, w1 = c0 * cw0, c1 * cw1
+        pure = float(_impure(np.float64(w0), np.float64(w1), criterion))
+        best, least_key = None, math.inf
+        if len(node) < prm["max_depth"] and n >= prm["min_samples_split"] and n >= 2 * least and pure > PURE:
+            for f in range(len(feats)):
+                order = np.argsort(x[own, f], kind="stable")
+                v = x[own[order], f]
+                end = np.flatnonzero(v[1:] != v[:-1])  # last row of each value but the largest
+                ln, ln1 = np.cumsum(cnt[own[order]])[end], np.cumsum(ones[order])[end]
+                good = (ln >= least) & (n - ln >= least)
+                if not good.any():
+                    continue
+                end, ln, ln1 = end[good], ln[good], ln1[good]
+                lw0, lw1, rw0, rw1 = (ln - ln1) * cw0, ln1 * cw1, (n - c1 - ln + ln1) * cw0, (c1 - ln1) * cw1
+                score = (lw0 + lw1) * _impure(lw0, lw1, criterion) + (rw0 + rw1) * _impure(rw0, rw1, criterion)
+                key = np.floor(score / (lw0 + lw1 + rw0 + rw1) * TIES + 0.5)
+                i = int(np.argmin(key))  # the least threshold of the least score
+                if best is None or key[i] < least_key:
+                    least_key, mid = key[i], (v[end[i]] + v[end[i] + 1]) / 2.0
+                    best = (float(score[i]), f, float(v[end[i]] if mid == v[end[i] + 1] else mid), int(ln[i]), int(n - ln[i]))
+        p1 = w1 / (w0 + w1) if w0 + w1 else None
+        if best is None:
+            out.append((node, len(node), n, c0, c1, w0, w1, pure, True, None, None, None, None, p1, None, None))
+            continue
+        score, f, threshold, left, right = best
+        out.append((node, len(node), n, c0, c1, w0, w1, pure, False, f, feats[f], threshold, (w0 + w1) * pure - score, p1, left, right))
+        above = x[own, f] > threshold
+        waiting += [(node + "0", own[~above]), (node + "1", own[above])]
+    return out
+
+
+def _grown(rows: DataFrame, params: DataFrame, feats) -> DataFrame:
+    """The subtrees below the nodes of `rows`, each grown in one task."""
+    names = [c.split()[0] for c in NODE_COLUMNS.split(", ")]
+    whole = ("depth", "n", "c0", "c1", "feature_index", "n_left", "n_right")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[0]
+        x = group[list(feats)].to_numpy(dtype=float)
+        made = grow(x, group["y"].to_numpy(), group["cnt"].to_numpy(dtype=np.int64), first["node"], first, feats)
+        out = pd.DataFrame([(first["run"], *r) for r in made], columns=names)
+        return out.astype({c: "Int64" for c in whole})
+
+    given = rows.join(params, "run").select("run", "node", *[F.col(c).cast("double").alias(c) for c in feats], "y", "cnt", "criterion", "max_depth", "min_samples_split", "min_samples_leaf", "cw0", "cw1")
+    return given.groupBy("run", "node").applyInPandas(one, NODE_COLUMNS)
+
+
 def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFrame:
     """Grow one tree per run. ``train`` has (run, feats..., y[, cnt]); ``runs`` has the parameters.
 
-    Per level: one job builds the level (statistics + split search, checkpointed), one
+    Per level: nodes that are small enough by now are grown to their leaves by a task each. For
+    the others one job builds the level (statistics + split search, checkpointed), one
     small job reads the number of splits and the largest child, one job moves the
     rows to the children (checkpointed). The number of ordered buckets follows the
-    largest node's exact row count. Returns the node table: (run, node, depth, n, c0,
-    c1, w0, w1, impurity, is_leaf, feature_index, feature, threshold, decrease, p1,
-    n_left, n_right).
+    largest node's exact row count. Returns the node table: NODE_COLUMNS.
     """
     compact, params = compact_rows(train, tree_params(runs), feats, y)
     rows, params = cut_lineage(compact.withColumn("node", F.lit(ROOT))), cut_lineage(params)
-    largest = rows.groupBy("run").agg(F.sum("cnt").alias("n")).agg(F.max("n")).first()[0] or 0
     levels = []
     depth = 0
     xf = F.element_at(F.array(*[F.col(c).cast("double") for c in feats]), F.col("feature_index") + 1)
     while True:
+        sizes = cut_lineage(rows.groupBy("run", "node").agg(F.count(F.lit(1)).alias("rows"), F.sum("cnt").alias("n")))
+        small, largest = sizes.agg(F.count_if(F.col("rows") <= LOCAL_ROWS), F.max(F.when(F.col("rows") > LOCAL_ROWS, F.col("n")))).first()
+        if small:
+            fit = sizes.where(F.col("rows") <= LOCAL_ROWS).select("run", "node")
+            levels.append(cut_lineage(_grown(rows if largest is None else rows.join(fit, ["run", "node"], "left_semi"), params, feats)))
+            rows = rows.join(fit, ["run", "node"], "left_anti")
+        if largest is None:
+            break
         level = cut_lineage(_level(rows, params, feats, depth, n_buckets=-(-largest // ROWS_PER_BUCKET)))
         levels.append(level)
-        splits = level.where(~F.col("is_leaf")).select("run", "node", "feature_index", "threshold", "n_left", "n_right")
-        n_splits, largest = splits.agg(F.count(F.lit(1)), F.max(F.greatest("n_left", "n_right"))).first()
+        splits = level.where(~F.col("is_leaf")).select("run", "node", "feature_index", "threshold")
         depth += 1
-        if not n_splits:
+        if splits.isEmpty():
             break
         rows = cut_lineage(
-            rows.join(splits.select("run", "node", "feature_index", "threshold"), ["run", "node"]).select(
-                "run", *feats, "y", "cnt", _child(xf > F.col("threshold")).alias("node"),
-            )
+            rows.join(splits, ["run", "node"]).select("run", *feats, "y", "cnt", _child(xf > F.col("threshold")).alias("node"))
         )
+    if not levels:  # no rows
+        return train.sparkSession.createDataFrame([], NODE_COLUMNS)
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
     return out
 
 
+def shared_trees(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trees, cuts): the least number of trees, in the column ``run``, that the runs (run, part, parameters) are cuts of;
+    and each run's tree and limits."""
+    named = tree_params(runs).join(runs.select("run", "part"), "run").withColumn(
+        "tree", F.concat_ws("|", "part", "criterion", F.col("min_samples_leaf").cast("string"), F.col("balanced").cast("string"))
+    )
+    trees = named.groupBy(F.col("tree").alias("run")).agg(
+        F.first("part").alias("part"), F.first("criterion").alias("criterion"), F.max("max_depth").alias("max_depth"),
+        F.min("min_samples_split").alias("min_samples_split"), F.first("min_samples_leaf").alias("min_samples_leaf"), F.first("balanced").alias("balanced"),
+    )
+    return trees, named.select("run", "tree", F.col("max_depth").alias("most"), F.col("min_samples_split").alias("least"))
+
+
+def cut_trees(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The node table of each run of `cuts` (run, tree, most, least), from the nodes of the shared trees."""
+    shared = nodes.withColumnRenamed("run", "tree")
+    above = shared.select(F.col("tree").alias("t__"), F.col("node").alias("p__"), F.col("n").alias("n_above"))
+    parent = F.expr("substring(node, 1, length(node) - 1)")
+    linked = shared.join(above, (F.col("tree") == F.col("t__")) & (F.col("depth") > 0) & (parent == F.col("p__")), "left")
+    kept = linked.join(cuts, "tree").where((F.col("depth") == 0) | ((F.col("depth") <= F.col("most")) & (F.col("n_above") >= F.col("least"))))
+    leaf = F.col("is_leaf") | (F.col("depth") >= F.col("most")) | (F.col("n") < F.col("least"))
+    inner = ("feature_index", "feature", "threshold", "decrease", "n_left", "n_right")
+    return kept.withColumn("is_leaf", leaf).select(
+        *[F.when(~F.col("is_leaf"), F.col(c)).alias(c) if c in inner else F.col(c) for c in nodes.columns]
+    )
+
+
+def leaf_values(nodes: DataFrame, run_nodes: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(run, tree, leaf, p1): what each run says for each leaf of its shared tree, by the leaf's longest way up to a leaf of the run."""
+    leaves = nodes.where("is_leaf").select(F.col("run").alias("tree"), F.col("node").alias("leaf"))
+    ways = leaves.select("*", F.explode(F.expr("transform(sequence(0, length(leaf)), i -> substring(leaf, 1, i))")).alias("node"))
+    ends = run_nodes.where("is_leaf").select("run", "node", "p1").join(cuts.select("run", "tree"), "run")
+    return ways.join(ends, ["tree", "node"]).select("run", "tree", "leaf", "p1")
+
+
 COMPILE_NODE_LIMIT = 2000  # node rows up to which fitted trees are applied as one CASE expression, the same routing without joins
 COMPILE_RUN_LIMIT = 64
 COMPILE_DEPTH_LIMIT = 40
