@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_BUCKETS = 64
 
 
@@ -50,3 +52,18 @@ def running_sums(
         wn = Window.partitionBy(*keys, "_bk").orderBy(ordering)
         out = out.withColumn(f"next_{order}", F.coalesce(F.lead(order).over(wn), F.col("_nextmin"))).drop("_nextmin")
     return out.drop("_bk", *[f"_o_{c}" for c in cols])
+
+
+def global_rank(df: DataFrame, order, name: str) -> DataFrame:
+    """df with its 1-based place in the total order (a list of sort columns): `row_number` over all rows, without one task for all.
+
+    Rows are range-partitioned and sorted, and checkpointed with their place in their partition;
+    the partitions' row counts, one row each, give the rest.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = cut_lineage(placed.withColumn("_p", F.shiftright("_m", 33)))
+    sizes = placed.groupBy(F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = sizes.select("_q", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    at = F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(starts, F.col("_p") == F.col("_q")).select(*df.columns, at.alias(name))

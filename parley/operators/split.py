@@ -3,9 +3,10 @@
 Order within a class is ``md5('<seed>:<id>')`` then id: deterministic, seedable, and
 identical in any SQL engine. Ranks are computed without a per-class global sort:
 rows are bucketed by the first hex digits of the hash, bucket sizes are counted
-(a table bounded by classes x 16^digits), their running offsets are broadcast, and
-``row_number`` runs inside (class, bucket) groups. The result equals
-``row_number() over (partition by label order by hash, id)``.
+(at most classes x 16^digits rows, and no more than there are rows), joined back with
+their running offsets, and ``row_number`` runs inside (class, bucket) groups. The result
+equals ``row_number() over (partition by label order by hash, id)``. Classes may be as many
+as rows: beyond ONE_TASK_CLASSES the quotas' ranking of classes is distributed too.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import SEED
+from ..session import cut_lineage
+from .ordered import global_rank
 
 BUCKET_HEX_DIGITS = 4  # 65,536 buckets per class
+ONE_TASK_CLASSES = 100_000  # classes that one window ranks at most
 
 
 def shuffle_key(id_col: str, seed) -> Column:
@@ -33,9 +37,8 @@ def stratified_rank(df: DataFrame, id_col: str, label: str, seed=SEED, strata=()
     sizes = h.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    # bounded: (#strata x #classes) x 16^digits rows
     w = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
-    ranked = h.join(F.broadcast(offsets), [*keys, "_b"]).withColumn("rank", F.col("_off") + F.row_number().over(w))
+    ranked = h.join(offsets, [*keys, "_b"]).withColumn("rank", F.col("_off") + F.row_number().over(w))
     return ranked.drop("_h", "_b", "_off")
 
 
@@ -46,34 +49,35 @@ def class_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame
 
 def quotas_of(counts: DataFrame, label: str, test_size: float = 0.2) -> DataFrame:
     """The same from class counts (label, n_c); products go through DECIMAL, so any BIGINT count is exact."""
-    w_all = Window.partitionBy()
-    q = counts.select(
+    counts = cut_lineage(counts)  # one row per class
+    classes, n = counts.agg(F.count(F.lit(1)), F.sum("n_c")).first()
+    n_test = F.ceil(F.lit(test_size) * F.lit(n or 0)).cast("bigint")
+    product = "(CAST(n_test AS DECIMAL(19,0)) * CAST(n_c AS DECIMAL(19,0)))"
+    q = counts.select(label, "n_c", F.lit(n).cast("bigint").alias("n"), n_test.alias("n_test")).select(
         label,
-        "n_c",
-        F.sum("n_c").over(w_all).alias("n"),
-    ).select(label, "n_c", "n", F.ceil(F.lit(test_size) * F.col("n")).cast("bigint").alias("n_test"))
-    q = q.select(
-        label,
-        "n_c",
-        "n",
         "n_test",
-        F.expr("(CAST(n_test AS DECIMAL(19,0)) * CAST(n_c AS DECIMAL(19,0))) div CAST(n AS DECIMAL(19,0))").alias("base"),
-        F.expr("CAST((CAST(n_test AS DECIMAL(19,0)) * CAST(n_c AS DECIMAL(19,0))) % CAST(n AS DECIMAL(19,0)) AS BIGINT)").alias("rem"),
-    )
-    q = q.select(
-        "*",
-        (F.col("n_test") - F.sum("base").over(w_all)).alias("left"),
-        F.row_number().over(Window.orderBy(F.col("rem").desc(), F.col(label))).alias("pri"),
+        F.expr(f"{product} div CAST(n AS DECIMAL(19,0))").alias("base"),
+        F.expr(f"CAST({product} % CAST(n AS DECIMAL(19,0)) AS BIGINT)").alias("rem"),
     )
+    left = q.agg(F.max("n_test") - F.sum("base")).first()[0] or 0
+    if classes <= ONE_TASK_CLASSES:
+        q = q.withColumn("pri", F.row_number().over(Window.orderBy(F.col("rem").desc(), F.col(label))))
+    else:
+        q = global_rank(q, [F.col("rem").desc(), F.col(label).asc()], "pri")
+    q = q.withColumn("left", F.lit(left))
     return q.select(label, (F.col("base") + F.when(F.col("pri") <= F.col("left"), 1).otherwise(0)).alias("quota"))
 
 
 def stratified_split(df: DataFrame, id_col: str = "orig_index", label: str = "thread_label", test_size: float = 0.2, seed=SEED) -> DataFrame:
     """(id, label, part) with part in {'train','test'}. The quota table has one row per class."""
-    ranked = stratified_rank(df.select(id_col, label), id_col, label, seed)
-    quotas = class_quotas(df.select(label), label, test_size)
-    j = ranked.join(F.broadcast(quotas), label)
-    return j.select(id_col, label, F.when(F.col("rank") <= F.col("quota"), "test").otherwise("train").alias("part"))
+    return with_part(df.select(id_col, label), id_col, label, test_size, seed)
+
+
+def with_part(df: DataFrame, id_col: str = "orig_index", label: str = "thread_label", test_size: float = 0.2, seed=SEED) -> DataFrame:
+    """df with ``part``, ranked in place: all columns stay with their row, so no join back by id."""
+    ranked = stratified_rank(df, id_col, label, seed)
+    j = ranked.join(class_quotas(df.select(label), label, test_size), label)
+    return j.select(*df.columns, F.when(F.col("rank") <= F.col("quota"), "test").otherwise("train").alias("part"))
 
 
 def with_folds(df: DataFrame, k: int = 5, id_col: str = "orig_index", label: str = "thread_label", seed=SEED) -> DataFrame:

@@ -14,30 +14,22 @@ FEATS = STRUCTURAL_FEATURES
 
 
 def model_data(spark, sf_dir):
-    """Training rows of the stratified split with their 5-fold assignment: (orig_index, feats, y, fold)."""
-    f = features(spark, sf_dir)
-    split = S.stratified_split(f)
-    train = S.select_part(f, split, "train")
-    folds = S.stratified_folds(train)
-    data = train.join(folds.select("orig_index", "fold"), "orig_index").select(
-        "orig_index", *FEATS, F.col("thread_label").alias("y"), "fold"
-    )
-    return cut_lineage(data), split, f
+    """Training rows of the stratified split with their 5-fold assignment, both ranked in place: (orig_index, feats, y, fold)."""
+    train = S.with_part(features(spark, sf_dir)).where("part = 'train'").drop("part")
+    return cut_lineage(S.with_folds(train).select("orig_index", *FEATS, F.col("thread_label").alias("y"), "fold"))
 
 
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    data, _, _ = model_data(spark, sf_dir)
+    data = model_data(spark, sf_dir)
     cands = MD.candidates(spark, lr=MD.LR_BASELINE, tree=MD.TREE_BASELINE)
     m = MD.cross_validate(data, cands, 5)
     return MD.cv_summary(m, ["model"])
 
 
 def _split_rows(spark, sf_dir):
-    f = features(spark, sf_dir)
-    split = S.stratified_split(f)
-    cols = ["orig_index", *FEATS, F.col("thread_label").alias("y")]
-    part = cut_lineage(f.join(split.select("orig_index", "part"), "orig_index").select(*cols, "part"))
+    f = S.with_part(features(spark, sf_dir))
+    part = cut_lineage(f.select("orig_index", *FEATS, F.col("thread_label").alias("y"), "part"))
     return part.where("part = 'train'").drop("part"), part.where("part = 'test'").drop("part")
 
 
@@ -82,7 +74,7 @@ def q_grid_search(spark, sf_dir):
 def search(spark, sf_dir, lr_list, tree_list):
     from pyspark.sql import Window
 
-    data, _, _ = model_data(spark, sf_dir)
+    data = model_data(spark, sf_dir)
     cands = MD.candidates(spark, lr_list=lr_list, tree_list=tree_list)
     m = MD.cross_validate(data, cands, 5)
     summ = MD.cv_summary(m, ["cand_id", "model"])
@@ -143,7 +135,7 @@ def q_tree_paths(spark, sf_dir):
 
 
 def _calibration(spark, sf_dir):
-    data, _, _ = model_data(spark, sf_dir)
+    data = model_data(spark, sf_dir)
     nested = S.nested_folds(data.select("orig_index", F.col("y").alias("thread_label"), "fold"))
     cands = MD.candidates(spark, lr=MD.LR_TUNED, tree=MD.TREE_TUNED)
     return MD.nested_calibration(data, nested.select("orig_index", "outer_fold", "inner_fold"), cands)
@@ -202,6 +194,6 @@ def q_tree_baseline_scores(spark, sf_dir):
 
 @register("ablation")
 def q_ablation(spark, sf_dir):
-    data, _, _ = model_data(spark, sf_dir)
+    data = model_data(spark, sf_dir)
     cands = MD.candidates(spark, lr=MD.LR_TUNED, tree=MD.TREE_TUNED)
     return MD.add_drops(MD.ablation(data, cands, 5))
