@@ -6,8 +6,9 @@ import public_tokenizers
 
 from . import bpe, decontaminate, fertility, kneser_ney, langid, merkle, pii, secrets, sentence_dedup, simhash, suffix_dedup, toxicity, variants
 from .common import documents, read_table
+from .oracle import ORACLE  # noqa: F401  (name -> DuckDB SQL)
 
-QUERIES, ORACLE = {}, {}
+QUERIES = {}
 
 
 def query(fn):

@@ -56,7 +56,7 @@ def located(text: Column, pattern: str, found: Column, kind: str, rank: int, ok=
         return F.flatten(F.zip_with(groups, before(long, F.lit(0).cast("bigint"), lambda s, x: s + x), placed))
 
     made = let(steps, lambda s: let(chunks(s, F.size(s)), over))
-    return F.when(F.size(found) > 0, made).otherwise(none())
+    return F.when(F.exists(found, ok) if ok else F.size(found) > 0, made).otherwise(none())
 
 
 def none() -> Column:
