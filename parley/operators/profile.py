@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_sums
-
 DIGITS = 10  # output rounding of float aggregates (order-independent results)
+RANGES = 1024  # parts of a range that a pass of `order_statistics` counts
 
 
 def rnd(c):
@@ -34,31 +35,56 @@ def long_form(df: DataFrame, cols, name: str = "feature", value: str = "value")
     ).select("s.*")
 
 
+def order_statistics(df: DataFrame, group: str, value: str, ranks: dict, ends: dict) -> dict:
+    """{(group, rank): value}, exact: ranks (from 0) by group, and each group's (least, largest) value.
+
+    A pass counts the values of each still open range in RANGES equal parts; only the part with a
+    wanted rank is opened again, between the least and largest value seen in it, until it holds one
+    value. A pass brings RANGES rows a range to the driver, whatever the number of rows and values.
+    """
+    found, spans = {}, {}
+    for g, wanted in ranks.items():
+        for k in wanted:
+            spans.setdefault((g, *ends[g], 0), []).append(k)
+    while spans:
+        for (g, a, b, below), wanted in list(spans.items()):
+            if a == b:
+                found |= {(g, k): a for k in wanted}
+                del spans[g, a, b, below]
+        if not spans:
+            break
+        given, v = list(spans.items()), F.col(value)
+        share = lambda a, b: (v / 2 - a / 2) / (b / 2 - a / 2) if b / 2 > a / 2 else (v - a) / (b - a)  # noqa: E731  (halves don't overflow)
+        part = lambda a, b: F.least(F.floor(share(a, b) * RANGES), F.lit(RANGES - 1))
+        hits = [F.when((F.col(group) == g) & v.between(a, b), F.struct(F.lit(i).alias("i"), part(a, b).alias("part"))) for i, ((g, a, b, _), _) in enumerate(given)]
+        placed = df.select(v.alias("v"), F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+        counts = placed.groupBy("h.i", "h.part").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        spans = {}
+        for i, ((g, _, _, below), wanted) in enumerate(given):
+            for r in sorted((r for r in counts if r["i"] == i), key=lambda r: r["part"]):
+                inside = [k for k in wanted if below <= k < below + r["n"]]
+                if inside:
+                    spans[g, r["a"], r["b"], below] = inside
+                below += r["n"]
+    return found
+
+
 def exact_quantiles(df: DataFrame, group: str, value: str, qs) -> DataFrame:
-    """Linear-interpolated quantiles (pandas/``quantile_cont``), exact, per group.
+    """Linear-interpolated quantiles (pandas/``quantile_cont``), exact, per group: (group, q, quantile).
 
-    Values are first compacted to (group, value, count); ranks come from a bucketed running
-    count over the distinct values. Result: (group, q, quantile).
+    Groups are few (the columns of a long form). No distinct value is joined, sorted or shuffled.
     """
-    compact = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    cum = running_sums(compact, [group], value, ["c"])  # bucketed: no group sorted in one task
-    ranked = cum.select(group, value, (F.col("cum_c") - F.col("c")).alias("lo"), F.col("cum_c").alias("hi"))
-    totals = compact.groupBy(group).agg(F.sum("c").alias("n"))
-    qdf = totals.select(group, "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).select(
-        group, "q", (F.col("q") * (F.col("n") - 1)).alias("h")
-    ).select(group, "q", "h", F.floor("h").alias("k0"))
-    qdf = qdf.select(group, "q", "h", "k0", (F.col("k0") + 1).alias("k1"))
-    lo_pick = ranked.alias("r").join(
-        qdf.alias("a"), (F.col("r." + group) == F.col("a." + group)) & (F.col("r.lo") <= F.col("a.k0")) & (F.col("a.k0") < F.col("r.hi"))
-    ).select(F.col("a." + group).alias(group), "a.q", "a.h", "a.k0", "a.k1", F.col("r." + value).alias("x0"))
-    hi_pick = ranked.alias("r").join(
-        qdf.alias("a"), (F.col("r." + group) == F.col("a." + group)) & (F.col("r.lo") <= F.col("a.k1")) & (F.col("a.k1") < F.col("r.hi"))
-    ).select(F.col("a." + group).alias(group), "a.q", F.col("r." + value).alias("x1"))
-    out = lo_pick.join(hi_pick, [group, "q"], "left")
-    frac = F.col("h") - F.col("k0")
-    return out.select(
-        group, "q", F.when(F.col("x1").isNull() | (frac == 0), F.col("x0")).otherwise(F.col("x0") + frac * (F.col("x1") - F.col("x0"))).alias("quantile")
-    )
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    facts = {r[0]: r for r in rows.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b")).collect()}
+    places = {(g, float(q)): q * (r["n"] - 1) for g, r in facts.items() for q in qs}
+    ranks = {g: {min(math.floor(h) + d, r["n"] - 1) for (g2, _), h in places.items() if g2 == g for d in (0, 1)} for g, r in facts.items()}
+    at = order_statistics(rows, group, value, ranks, {g: (r["a"], r["b"]) for g, r in facts.items()})
+    out = []
+    for (g, q), h in places.items():
+        k = math.floor(h)
+        x0, x1 = at[g, k], at[g, min(k + 1, facts[g]["n"] - 1)]
+        out.append((g, q, x0 + (h - k) * (x1 - x0) if h > k else x0))
+    return df.sparkSession.createDataFrame(out, f"{group} string, q double, quantile double")
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
