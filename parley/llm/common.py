@@ -88,6 +88,17 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def aside(df: DataFrame, used, outputs, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(df) with all columns but the used ones under names that no operator has, and under their own again in the result.
+
+    Input columns with the name of an output go first.
+    """
+    others = [c for c in without(df, {*used, *outputs}).columns]
+    hidden = {f"aside{i}__": c for i, c in enumerate(others)}
+    out = run(df.select(*[F.col(f"`{c}`") for c in used], *[F.col(f"`{c}`").alias(h) for h, c in hidden.items()]))
+    return out.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in out.columns])
+
+
 def arrow_type(ddl: str) -> pa.DataType:
     return {
         "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
@@ -123,4 +134,4 @@ def add_columns(df: DataFrame, text_col: str, outputs: dict[str, str], make: Cal
     return map_arrow(source, run, schema)
 
 
-__all__ = ["add_columns", "cut_lineage", "discard", "documents", "map_arrow", "read_table", "release", "stored", "without"]
+__all__ = ["add_columns", "aside", "cut_lineage", "discard", "documents", "map_arrow", "read_table", "release", "stored", "without"]

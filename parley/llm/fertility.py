@@ -36,7 +36,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, stored
+from .common import add_columns, aside, stored
 
 LEAST_WORDS = 50
 REPEATED_PERCENT = 50
@@ -175,6 +175,11 @@ def corpus_bands(found: DataFrame, by: list) -> DataFrame:
 
 def quality(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without their text, with COLUMNS; without a column `lang_col` the bands are by script alone."""
+    used = [text_col, lang_col] if lang_col in docs.columns else [text_col]
+    return aside(docs, used, COLUMNS, lambda df: _quality(df, pieces_path, ranks_path, pattern, text_col, lang_col))
+
+
+def _quality(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str, text_col: str, lang_col: str) -> DataFrame:
     found = stored(measured(docs, pieces_path, ranks_path, pattern, text_col).drop(text_col))
     lang = F.col(f"`{lang_col}`") if lang_col in found.columns else F.lit(None).cast("string")
     # a row for each script, and for each pair of script and language of at least LEAST_TEXTS texts

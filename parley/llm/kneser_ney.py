@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, discard, map_arrow, release, stored, without
+from .common import add_columns, aside, discard, map_arrow, release, stored, without
 
 ORDER = 5
 START, END = "\x02", "\x03"
 SHARD_ROWS = 500_000
+#: Languages whose thresholds are broadcast at most.
+LANGUAGES = 10_000
 QUANTILE = 0.995
 SLACK = 1.1
 MEMO = 400_000
@@ -208,16 +210,22 @@ def _add_shard(docs, sent, text_col, shard, shards, other):
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs without their text, with `perplexity`, `threshold` and `kept`."""
+    """docs without their text, with `perplexity`, `threshold`, `kept`, `log_p` and `n_scored`."""
+    outputs = ("perplexity", "threshold", "kept", "log_p", "n_scored")
+    return aside(docs, [id_col, text_col, lang_col], outputs, lambda df: _classify(df, labels, text_col, id_col, lang_col, shard_rows))
+
+
+def _classify(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, lang_col: str, shard_rows: int) -> DataFrame:
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias(id_col)).distinct()
     # always by a shuffle of the text: ids of trusted documents have no bound that would allow a broadcast
     model = train(docs.select(id_col, text_col).join(trusted.hint("merge"), id_col, "left_semi"), text_col)
-    scored = log_probability(without(docs, ["perplexity", "threshold", "kept"]), model, text_col, shard_rows).drop(text_col)
+    scored = log_probability(docs, model, text_col, shard_rows).drop(text_col)
     scored = stored(scored.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_scored"))))
     known = scored.where("perplexity is not null").join(trusted, id_col, "left_semi")
     at = F.percentile_approx("perplexity", QUANTILE, 100_000) * SLACK
     by = known.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang__")).agg(at.alias("own__"))
     overall = known.agg(at.alias("all")).first()["all"]
-    placed = scored.join(by, F.col(lang_col) == F.col("lang__"), "left").withColumn("threshold", F.coalesce("own__", F.lit(overall).cast("double")))
+    # one row for each language: at most as many as there are language names
+    placed = scored.join(F.broadcast(by) if by.count() <= LANGUAGES else by, F.col(lang_col) == F.col("lang__"), "left").withColumn("threshold", F.coalesce("own__", F.lit(overall).cast("double")))
     kept = F.when(F.col("threshold").isNull(), F.col("n_scored").isNotNull()).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
     return placed.withColumn("kept", kept).drop("lang__", "own__")

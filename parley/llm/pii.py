@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import cut_lineage, without
+from .common import aside, cut_lineage, without
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: kind -> (pattern, condition on the match). Same matches as the stated base patterns.
@@ -166,6 +166,10 @@ def _odds(span: Column, weights: dict[tuple[str, str], float]) -> Column:
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `pii_base` and `pii_spans` (base spans and the candidates that the classifier keeps), sorted."""
+    return aside(docs, [text_col], ("pii_base", "pii_spans", "pii_all"), lambda df: _detect(df, text_col))
+
+
+def _detect(docs: DataFrame, text_col: str) -> DataFrame:
     found = candidates(docs, text_col)
     weights = fit(found.select("pii_all"))
     kept = F.filter("pii_all", lambda s: (s["rank"] < len(BASE)) | (_odds(s, weights) > 0))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import without
+from .common import aside
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 #: kind -> pattern. Same matches as the stated base patterns, without those too short.
@@ -80,7 +80,11 @@ def _class_threshold(value: Column) -> Column:
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `secret_base` (base spans) and `secret_spans` (these and high-entropy strings), sorted."""
-    df = without(docs, ["secret_base", "secret_spans"]).withColumn("t__", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return aside(docs, [text_col], ("secret_base", "secret_spans"), lambda df: _detect(df, text_col))
+
+
+def _detect(docs: DataFrame, text_col: str) -> DataFrame:
+    df = docs.withColumn("t__", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     text, patterns = F.col("t__"), BASE | {"entropy": CANDIDATE}
     for kind, p in patterns.items():
         df = df.withColumn(f"s__{kind}", F.regexp_extract_all(text, F.lit(p), F.lit(0)))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_arrow, without
+from .common import add_columns, aside, map_arrow
 
 RUN = 3
 PAIR_WORDS = 30
@@ -154,9 +154,16 @@ def _places(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "mark", "text"), run, "h1 bigint, h2 bigint, doc_id bigint, mark bigint, at int, n int, known boolean")
 
 
+OUTPUTS = {"kept_text": "string", "n_sentences": "bigint", "n_removed": "bigint", "removed": "array<int>"}
+
+
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with `kept_text`, `n_sentences`, `n_removed` and `removed` (indices of the removed pieces, all counted in pieces of sentences)."""
-    base = without(docs, ["mark", "kept_text", "n_sentences", "n_removed", "removed"]).withColumn("mark", F.xxhash64(F.col(text_col)))
+    return aside(docs, [id_col, text_col], OUTPUTS, lambda df: _dedup(df, text_col, id_col))
+
+
+def _dedup(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    base = docs.withColumn("mark", F.xxhash64(F.col(text_col)))
     places = _places(base.select(F.col(id_col).alias("doc_id"), "mark", F.col(text_col).alias("text")))
     order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "mark", "at")
     later = places.withColumn("k", F.dense_rank().over(order)).where(F.col("known") | (F.col("k") > 1))
@@ -178,8 +185,7 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
 
         return lambda texts, spans: tuple(zip(*map(one, texts, spans), strict=True)) or ((), (), (), ())
 
-    outputs = {"kept_text": "string", "n_sentences": "bigint", "n_removed": "bigint", "removed": "array<int>"}
-    return add_columns(joined.drop("id__", "mark__", "mark"), text_col, outputs, make, also=("spans__",))
+    return add_columns(joined.drop("id__", "mark__", "mark"), text_col, OUTPUTS, make, also=("spans__",))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, discard, map_arrow, release, stored, without
+from .common import add_columns, aside, discard, map_arrow, release, stored
 
 LENGTH = 400
 COARSE, FINE = 17, 7  # orders of the two Singer sets: moduli 307 and 57
@@ -277,6 +277,10 @@ def removed(n: int, sure, rest) -> tuple[np.ndarray, np.ndarray]:
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without their text, with `n_bytes`, `n_removed`, `n_spans` and `kept_sha256` (of the bytes that stay)."""
+    return aside(docs, [id_col, text_col], ("n_bytes", "n_removed", "n_spans", "kept_sha256"), lambda df: _dedup(df, text_col, id_col))
+
+
+def _dedup(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     texts, found = repeats(docs, text_col, id_col)
 
     def make():
@@ -294,8 +298,7 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     parts = add_columns(found, "raw", outputs, make, also=("sure", "rest"), kind="binary").drop("raw").dropDuplicates(["mark"])
     facts = texts.select("mark", "copies").join(parts, "mark", "left").withColumnRenamed("mark", "mark__")
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "mark"]
-    rows = without(docs, names).withColumn("n_bytes", F.octet_length(text).cast("bigint")).withColumn("whole__", F.sha2(text, 256)).withColumn("mark", F.xxhash64(text_col)).drop(text_col)
+    rows = docs.withColumn("n_bytes", F.octet_length(text).cast("bigint")).withColumn("whole__", F.sha2(text, 256)).withColumn("mark", F.xxhash64(text_col)).drop(text_col)
     joined = rows.join(facts, rows["mark"] == facts["mark__"], "left")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return (

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, add_columns, map_arrow, stored, without
+from .common import SLICE, add_columns, aside, map_arrow, stored
 
 # Common insults and threats, by kind and language.
 LEXICONS = {
@@ -327,14 +327,16 @@ def taught_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """docs without their text, with `held_out`, `votes` (names of the voters that fire) and `score`."""
-    learned = learn(taught_rows(docs, labels, id_col, text_col, label_col))
-    made = without(docs, ["held_out", "votes", "score", "x__"])
+    return aside(docs, [id_col, text_col], ("held_out", "votes", "score"), lambda df: _score(df, labels, id_col, text_col, label_col))
+
 
+def _score(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    learned = learn(taught_rows(docs, labels, id_col, text_col, label_col))
     def make():
         voters = Voters(learned)
         return lambda texts: ([voters.features(t) for t in texts],)
 
-    found = stored(add_columns(made, text_col, {"x__": "array<double>"}, make).drop(text_col).withColumn("held_out", held_out(id_col)))
+    found = stored(add_columns(docs, text_col, {"x__": "array<double>"}, make).drop(text_col).withColumn("held_out", held_out(id_col)))
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("key__")).agg(F.max(label_col).cast("int").alias("toxic__"))
     open_rows = found.where(~F.col("held_out")).select(F.col(f"`{id_col}`").alias("id"), "x__")
     seen = open_rows.join(known, F.col("id") == F.col("key__"), "left").select("id", "x__", F.coalesce("toxic__", F.lit(-1)).alias("label"))
