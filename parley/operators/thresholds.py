@@ -151,18 +151,17 @@ def risk_bands(sw: DataFrame, keys=(), model: Column | None = None, method: Colu
 
 
 def assign_band(scores: DataFrame, bands: DataFrame, p: str, keys=()) -> DataFrame:
-    """Range lookup ``min <= p < max`` against the band table: three rows per group, broadcast, joined on the
-    group; without groups, the three rows become one CASE expression (no join, also on a stream)."""
+    """Range lookup ``min <= p < max`` against the band table: a group's few bands in one row, joined on the
+    group, so that a score meets one row; without groups, they become one CASE expression (no join, also on a stream)."""
     if not keys:
         out = F.lit(None).cast("string")
         for r in bands.select("risk_band", "probability_min", "probability_max_exclusive").collect():
             out = F.when((F.col(p) >= r["probability_min"]) & (F.col(p) < r["probability_max_exclusive"]), r["risk_band"]).otherwise(out)
         return scores.select("*", out.alias("risk_band"))
-    b = F.broadcast(
-        bands.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "risk_band", "probability_min", "probability_max_exclusive")
-    )
-    cond = (F.col(p) >= F.col("probability_min")) & (F.col(p) < F.col("probability_max_exclusive"))
+    row = F.collect_list(F.struct("probability_min", "probability_max_exclusive", "risk_band")).alias("_bands")
+    of = bands.groupBy(*[F.col(k).alias(f"_b_{k}") for k in keys]).agg(row)
+    same = F.lit(True)
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_b_{k}"))
-    j = scores.join(b, cond, "left")
-    return j.select(*scores.columns, "risk_band")
+        same = same & (F.col(k) == F.col(f"_b_{k}"))
+    inside = F.filter("_bands", lambda b: (F.col(p) >= b["probability_min"]) & (F.col(p) < b["probability_max_exclusive"]))
+    return scores.join(of, same, "left").select(*scores.columns, F.get(inside, F.lit(0))["risk_band"].alias("risk_band"))

@@ -196,4 +196,4 @@ def q_tree_baseline_scores(spark, sf_dir):
 def q_ablation(spark, sf_dir):
     data = model_data(spark, sf_dir)
     cands = MD.candidates(spark, lr=MD.LR_TUNED, tree=MD.TREE_TUNED)
-    return MD.add_drops(MD.ablation(data, cands, 5))
+    return MD.add_drops(MD.ablation(data, cands, 5)).orderBy("model", "feature_set")

@@ -163,7 +163,9 @@ def q_row_counts(spark, sf_dir):
     O.with_features("SELECT orig_index, label, dialogue FROM threads ORDER BY orig_index LIMIT 5"),
 )
 def q_head_threads(spark, sf_dir):
-    return threads(spark, sf_dir).orderBy("orig_index").limit(5).select("orig_index", "label", "dialogue")
+    """The first five threads: their ids are found first, so that no other dialogue is assembled (the semi-join goes below the grouping)."""
+    first = src.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("orig_index")).distinct().orderBy("orig_index").limit(5)
+    return threads(spark, sf_dir).join(first, "orig_index", "left_semi").orderBy("orig_index").limit(5).select("orig_index", "label", "dialogue")
 
 
 @register(
