@@ -1,5 +1,9 @@
 """Driver contract: entry runs on sf0.001; every oracle key is a query; column names match."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -36,3 +40,9 @@ def test_oracle_agrees(spark, name):
         return sorted((tuple(round(r[i], 9) if isinstance(r[i], float) else r[i] for i in idx) for r in rows), key=repr)
 
     assert norm([tuple(r) for r in df.collect()], df.columns) == norm(res.fetchall(), ocols)
+
+
+def test_a_missing_library_leaves_only_its_queries_out():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as E; q = E.queries(); assert 'thread_features' in q and not any(n.startswith('op') for n in q); assert set(E.oracle_sql()) <= set(q)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.abspath(E.__file__)))
+    assert done.returncode == 0, done.stderr
