@@ -125,7 +125,8 @@ def fit(found: DataFrame) -> dict[tuple[str, str], float]:
     Counts of equal candidates are taken once, over the whole corpus: at most a few thousand
     rows, as every feature has few values. Expectation-maximisation runs over these.
     """
-    seen = found.select(F.explode("pii_all").alias("s")).select(*[F.col(f"s.{f}").alias(f) for f in FEATURES])
+    # outer: else the optimizer asks for rows with candidates first, which finds all candidates twice
+    seen = found.select(F.explode_outer("pii_all").alias("s")).where("s is not null").select(*[F.col(f"s.{f}").alias(f) for f in FEATURES])
     seen = cut_lineage(seen.groupBy(*FEATURES).agg(F.count("*").alias("n")))
     votes = seen.groupBy(*VOTES).agg(F.sum("n").alias("n"))
     if votes.isEmpty():
