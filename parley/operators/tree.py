@@ -84,7 +84,7 @@ def best_splits(rows: DataFrame, node_stats: DataFrame, feats, keys=("run", "nod
     weights], criterion, msl). Class counts per (node, feature, value) are aggregated, running sums
     over the value order use order-preserving buckets (approximate quantile bounds per
     group, exact offsets from integer bucket totals; any number of buckets gives the same
-    result), midpoints use the next distinct value, and
+    result; nodes and bounds are broadcast, so that a node's rows never meet in one task), midpoints use the next distinct value, and
     the winner is ``min(struct(score, feature, threshold))`` per node, with scores per unit of weight
     that are equal to 12 places taken as ties.
     """
@@ -96,11 +96,11 @@ def best_splits(rows: DataFrame, node_stats: DataFrame, feats, keys=("run", "nod
     score = f"(lw0 + lw1) * {_imp_sql('lw0', 'lw1')} + (rw0 + rw1) * {_imp_sql('rw0', 'rw1')}"
     if n_buckets > 1:
         buckets = f"""bnd AS (SELECT {k}, f, percentile_approx(v, array({probs}), 1000) AS bnds FROM per GROUP BY {k}, f),
-    bkt AS (SELECT p.*, size(filter(b.bnds, x -> x < p.v)) AS bk FROM per p JOIN bnd b USING ({k}, f)),"""
+    bkt AS (SELECT /*+ BROADCAST(b) */ p.*, size(filter(b.bnds, x -> x < p.v)) AS bk FROM per p JOIN bnd b USING ({k}, f)),"""
     else:
         buckets = "bkt AS (SELECT p.*, 0 AS bk FROM per p),"
     sql = f"""
-    WITH act AS (SELECT r.* FROM {rv} r LEFT SEMI JOIN {sv} s USING ({k})),
+    WITH act AS (SELECT /*+ BROADCAST(s) */ r.* FROM {rv} r LEFT SEMI JOIN {sv} s USING ({k})),
     lng AS (SELECT {k}, y, cnt, inline(array({structs})) FROM act),
     per AS (SELECT {k}, f, v, sum(cnt) AS n, sum(CASE WHEN y = 1 THEN cnt ELSE 0 END) AS n1 FROM lng GROUP BY {k}, f, v),
     {buckets}
@@ -112,10 +112,10 @@ def best_splits(rows: DataFrame, node_stats: DataFrame, feats, keys=("run", "nod
                    coalesce(lead(v) OVER (PARTITION BY {k}, f, bk ORDER BY v), nextmin) AS next_v
             FROM bkt JOIN off USING ({k}, f, bk)
             WINDOW wl AS (PARTITION BY {k}, f, bk ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    cand AS (SELECT {k}, f, ln, n_node - ln AS rn, (ln - ln1) * cw0 AS lw0, ln1 * cw1 AS lw1,
+    cand AS (SELECT /*+ BROADCAST(s) */ {k}, f, ln, n_node - ln AS rn, (ln - ln1) * cw0 AS lw0, ln1 * cw1 AS lw1,
                     (n_node - c1_node - ln + ln1) * cw0 AS rw0, (c1_node - ln1) * cw1 AS rw1, criterion,
                     CASE WHEN (v + next_v) / 2.0D = next_v THEN v ELSE (v + next_v) / 2.0D END AS threshold
-             FROM cum JOIN {sv} USING ({k}) WHERE next_v IS NOT NULL AND ln >= msl AND n_node - ln >= msl),
+             FROM cum JOIN {sv} s USING ({k}) WHERE next_v IS NOT NULL AND ln >= msl AND n_node - ln >= msl),
     scored AS (SELECT {k}, f, threshold, ln, rn, {score} AS score, lw0 + lw1 + rw0 + rw1 AS weight FROM cand)
     SELECT {k}, b.score AS score, b.f AS feature_index, b.threshold AS threshold, b.ln AS n_left, b.rn AS n_right
     FROM (SELECT {k}, min(named_struct('key', floor(score / weight * {TIES} + 0.5D), 'f', f, 'threshold', threshold, 'score', score, 'ln', ln, 'rn', rn)) AS b
@@ -291,6 +291,7 @@ def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFra
         small, largest = sizes.agg(F.count_if(F.col("rows") <= LOCAL_ROWS), F.max(F.when(F.col("rows") > LOCAL_ROWS, F.col("n")))).first()
         if small:
             fit = sizes.where(F.col("rows") <= LOCAL_ROWS).select("run", "node")
+            fit = F.broadcast(fit)  # so that the rows of a large node stay where they are
             levels.append(cut_lineage(_grown(rows if largest is None else rows.join(fit, ["run", "node"], "left_semi"), params, feats)))
             rows = rows.join(fit, ["run", "node"], "left_anti")
         if largest is None:
@@ -302,7 +303,7 @@ def fit_trees(train: DataFrame, runs: DataFrame, feats, y: str = "y") -> DataFra
         if splits.isEmpty():
             break
         rows = cut_lineage(
-            rows.join(splits, ["run", "node"]).select("run", *feats, "y", "cnt", _child(xf > F.col("threshold")).alias("node"))
+            rows.join(F.broadcast(splits), ["run", "node"]).select("run", *feats, "y", "cnt", _child(xf > F.col("threshold")).alias("node"))
         )
     if not levels:  # no rows
         return train.sparkSession.createDataFrame([], NODE_COLUMNS)
