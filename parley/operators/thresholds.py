@@ -151,8 +151,8 @@ def risk_bands(sw: DataFrame, keys=(), model: Column | None = None, method: Colu
 
 
 def assign_band(scores: DataFrame, bands: DataFrame, p: str, keys=()) -> DataFrame:
-    """Range lookup ``min <= p < max`` against the band table: a group's few bands in one row, joined on the
-    group, so that a score meets one row; without groups, they become one CASE expression (no join, also on a stream)."""
+    """Range lookup ``min <= p < max`` against the band table: a group's few bands in one row, broadcast:
+    a score meets one row where it stands, and groups (models) may be few and large; without groups, they become one CASE expression (no join, also on a stream)."""
     if not keys:
         out = F.lit(None).cast("string")
         for r in bands.select("risk_band", "probability_min", "probability_max_exclusive").collect():
@@ -164,4 +164,4 @@ def assign_band(scores: DataFrame, bands: DataFrame, p: str, keys=()) -> DataFra
     for k in keys:
         same = same & (F.col(k) == F.col(f"_b_{k}"))
     inside = F.filter("_bands", lambda b: (F.col(p) >= b["probability_min"]) & (F.col(p) < b["probability_max_exclusive"]))
-    return scores.join(of, same, "left").select(*scores.columns, F.get(inside, F.lit(0))["risk_band"].alias("risk_band"))
+    return scores.join(F.broadcast(of), same, "left").select(*scores.columns, F.get(inside, F.lit(0))["risk_band"].alias("risk_band"))

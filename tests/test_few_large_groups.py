@@ -5,6 +5,7 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
+from parley.operators import thresholds as T
 from parley.operators import tree as TR
 
 
@@ -31,3 +32,11 @@ def test_rows_of_a_node_are_not_gathered(unhinted):
     joins = [line for line in _plan(best).split("\n") if "SortMergeJoin" in line]
     assert all("bk#" in line for line in joins), joins  # only totals of buckets are met by key
     assert [(r.threshold, r.n_left, r.n_right) for r in best.collect()] == [(2.5, 30, 40)]
+
+
+def test_scores_of_a_model_are_not_gathered(unhinted):
+    scores = unhinted.createDataFrame([("m", i, i / 10) for i in range(10)] + [(None, 10, 0.5), ("other", 11, 0.5)], "model string, id int, p double")
+    bands = unhinted.createDataFrame([("m", "Low", 0.0, 0.4), ("m", "High", 0.4, 1.01)], "model string, risk_band string, probability_min double, probability_max_exclusive double")
+    placed = T.assign_band(scores, bands, "p", ["model"])
+    assert "SortMergeJoin" not in _plan(placed)
+    assert {r.id: r.risk_band for r in placed.collect()} == {**{i: "Low" if i < 4 else "High" for i in range(10)}, 10: None, 11: None}
