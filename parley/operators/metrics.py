@@ -106,28 +106,32 @@ def brier(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(d * d).alias("brier_score"))
 
 
-def fold_metrics(df: DataFrame, y: str, p: str, keys, threshold: float = 0.5, rule: str = ">=", weight: str | None = None) -> DataFrame:
-    """accuracy/precision/recall/f1 at a threshold + AUC + Brier per group (one aggregate + one AUC pass).
+def fold_metrics(df: DataFrame, y: str, p: str, keys, threshold: float = 0.5, rule: str = ">=", weight: str | None = None, with_brier: bool = True) -> DataFrame:
+    """accuracy/precision/recall/f1 at a threshold + AUC + Brier (unless it isn't wanted) per group.
 
+    Scores are compacted once; their counts, checkpointed, give all metrics, so the source is read once.
     ``weight`` holds row multiplicities when rows were compacted (integer counts)."""
-    pred = binarize(p, threshold) if rule == ">=" else (F.col(p) > F.lit(threshold)).cast("int")
     wc = F.col(weight) if weight else F.lit(1)
-    scored = df.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p"), pred.alias("_pred"), wc.cast("bigint").alias("_w"))
+    scored = df.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p"), wc.cast("bigint").alias("_w"))
     d = F.col("_p") - F.col("_y")
 
-    def cnt(cond):
-        return F.sum(F.when(cond, F.col("_w")).otherwise(0)).cast("bigint")
-
-    base = scored.groupBy(*keys).agg(
-        cnt((F.col("_y") == 0) & (F.col("_pred") == 0)).alias("true_negative"),
-        cnt((F.col("_y") == 0) & (F.col("_pred") == 1)).alias("false_positive"),
-        cnt((F.col("_y") == 1) & (F.col("_pred") == 0)).alias("false_negative"),
-        cnt((F.col("_y") == 1) & (F.col("_pred") == 1)).alias("true_positive"),
-        (F.sum(F.col("_w") * d * d) / F.sum("_w")).alias("brier_score"),
+    def cnt(cond, n="_w"):
+        return F.sum(F.when(cond, F.col(n)).otherwise(0)).cast("bigint")
+
+    squares = [F.sum(F.col("_w") * d * d).alias("_sq"), F.sum("_w").alias("_n")] if with_brier else []
+    counts = scored.groupBy(*keys, "_p").agg(cnt(F.col("_y") == 1).alias("n_pos"), cnt(F.col("_y") == 0).alias("n_neg"), *squares)
+    counts = cut_lineage(counts)
+    pred = binarize("_p", threshold) if rule == ">=" else (F.col("_p") > F.lit(threshold)).cast("int")
+    base = counts.withColumn("_pred", pred).groupBy(*keys).agg(
+        cnt(F.col("_pred") == 0, "n_neg").alias("true_negative"),
+        cnt(F.col("_pred") == 1, "n_neg").alias("false_positive"),
+        cnt(F.col("_pred") == 0, "n_pos").alias("false_negative"),
+        cnt(F.col("_pred") == 1, "n_pos").alias("true_positive"),
+        *([(F.sum("_sq") / F.sum("_n")).alias("brier_score")] if with_brier else []),
     )
-    auc = roc_auc(scored, "_y", "_p", keys, weight="_w").select(*keys, "roc_auc")
+    auc = auc_of_counts(counts.select(*keys, "_p", "n_pos", "n_neg"), "_p", keys).select(*keys, "roc_auc")
     return base.join(auc, list(keys)).select(
-        *keys, *[c.alias(n) for n, c in metric_pairs()], "roc_auc", "brier_score"
+        *keys, *[c.alias(n) for n, c in metric_pairs()], "roc_auc", *(["brier_score"] if with_brier else [])
     )
 
 

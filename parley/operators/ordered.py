@@ -2,13 +2,16 @@
 
 Input rows must be unique per (keys, order) -- compact with ``groupBy`` first.
 Rows are cut into order-preserving buckets by approximate quantile boundaries of each
-group; bucket totals (a table of #groups x n_buckets rows) give exact offsets, and the
+group; bucket totals (a table of #groups x n_buckets rows) give exact offsets; groups are models, runs
+and folds, few and perhaps large, so both are broadcast and rows only meet in their bucket; the
 running sum inside a bucket is a window partitioned by (keys, bucket). The result is
 exact; only the bucket *sizes* are approximate, and ties always share a bucket.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +32,18 @@ def running_sums(
     bounds = df.groupBy(*keys).agg(F.percentile_approx(order, probs, 1000).alias("_bounds")) if keys else df.agg(
         F.percentile_approx(order, probs, 1000).alias("_bounds")
     )
+    step = math.isqrt(n_buckets)
+    bounds = bounds.withColumn("_lasts", F.filter("_bounds", lambda b, i: (i + 1) % step == 0))
     if keys:
-        with_b = df.join(bounds, keys)
+        with_b = df.join(F.broadcast(bounds), keys)
     else:  # one-row boundary table joined on a constant key
         with_b = df.withColumn("_k", F.lit(1)).join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    bk = F.size(F.filter("_bounds", lambda b: b < o))
+    # bounds below the value, found in two steps: whole runs of them by their last ones, then those of one run
+    runs = F.size(F.filter("_lasts", lambda b: b < o)) * step
+    bk = runs + F.size(F.filter(F.slice("_bounds", runs + 1, F.lit(step)), lambda b: b < o))
     if descending:
         bk = F.lit(n_buckets) - bk
-    with_b = with_b.withColumn("_bk", bk).drop("_bounds")
+    with_b = with_b.withColumn("_bk", bk).drop("_bounds", "_lasts")
     totals = with_b.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols], F.min(order).alias("_min"))
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.lead("_min").over(Window.partitionBy(*keys).orderBy("_bk")).alias("_nextmin")] if with_next else []
@@ -45,7 +52,7 @@ def running_sums(
     )
     ordering = o.desc() if descending else o.asc()
     wl = Window.partitionBy(*keys, "_bk").orderBy(ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = with_b.join(offsets, [*keys, "_bk"])
+    out = with_b.join(F.broadcast(offsets), [*keys, "_bk"])
     for c in cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(wl))
     if with_next:

@@ -225,24 +225,26 @@ ABL_MODELS = {
 
 
 def _abl_scores(spark, sf_dir):
+    """(y, fold, item, p) of each model and feature set, an item, and the items' (model, feature_set): names stay out of the shuffles."""
     li = S.with_folds(QM.lineitem_rows(spark, sf_dir, ABL_FEATS), 5, id_col="id", label="y")
     z = M.standardize(li, ABL_FEATS, keep=["id", "y", "fold"], stats=M.standardization_stats(src.table(spark, sf_dir, "lineitem"), ABL_FEATS))
     sets = MD.feature_sets(ABL_FEATS)
-    items = []
+    items, names = [], []
     for mname, (b0, coef) in ABL_MODELS.items():
         for sname, removed, cols in sets:
             dec = F.lit(b0)
             for c, w in zip(ABL_FEATS, coef):
                 if c in cols:
                     dec = dec + F.lit(w) * F.col(c)
-            items.append(F.struct(F.lit(mname).alias("model"), F.lit(sname).alias("feature_set"),
-                                  F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-dec)), 12).alias("p")))
-    return z.select("id", "y", "fold", F.explode(F.array(*items)).alias("s")).select("id", "y", "fold", "s.*")
+            items.append(F.struct(F.lit(len(items)).alias("item"), (F.rint(F.lit(1e12) / (F.lit(1.0) + F.exp(-dec))) / F.lit(1e12)).alias("p")))
+            names.append(F.struct(F.lit(mname).alias("model"), F.lit(sname).alias("feature_set")))
+    return z.select("y", "fold", F.explode(F.array(*items)).alias("s")).select("y", "fold", "s.*"), F.array(*names)
 
 
 def ablation_fixed(spark, sf_dir):
-    s = _abl_scores(spark, sf_dir)
-    fm = M.fold_metrics(s, "y", "p", ["model", "feature_set", "fold"], threshold=0.5, rule=">")
+    s, names = _abl_scores(spark, sf_dir)
+    fm = cut_lineage(M.fold_metrics(s, "y", "p", ["item", "fold"], threshold=0.5, rule=">", with_brier=False))  # one row an item and fold, read twice for the drops
+    fm = fm.select(F.get(names, F.col("item")).alias("named"), "*").select("named.*", *fm.columns)
     summ = M.summarize(fm, ["model", "feature_set"], M.METRICS, sample_std=True)
     return MD.add_drops(summ)
 
