@@ -10,8 +10,6 @@ exact; only the bucket *sizes* are approximate, and ties always share a bucket.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +30,20 @@ def running_sums(
     bounds = df.groupBy(*keys).agg(F.percentile_approx(order, probs, 1000).alias("_bounds")) if keys else df.agg(
         F.percentile_approx(order, probs, 1000).alias("_bounds")
     )
-    step = math.isqrt(n_buckets)
-    bounds = bounds.withColumn("_lasts", F.filter("_bounds", lambda b, i: (i + 1) % step == 0))
+    bounds = bounds.where(F.col("_bounds").isNotNull())  # a group without any value has none, and no place in the result
     if keys:
         with_b = df.join(F.broadcast(bounds), keys)
     else:  # one-row boundary table joined on a constant key
         with_b = df.withColumn("_k", F.lit(1)).join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    # bounds below the value, found in two steps: whole runs of them by their last ones, then those of one run
-    runs = F.size(F.filter("_lasts", lambda b: b < o)) * step
-    bk = runs + F.size(F.filter(F.slice("_bounds", runs + 1, F.lit(step)), lambda b: b < o))
+    # how many bounds lie below the value: binary search, a projection for each step; never null, or the
+    # join on it would push a null check, and with it all steps multiplied out, below the projections
+    with_b = with_b.withColumn("_bk", F.lit(0))
+    for step in (1 << i for i in reversed(range(len(probs).bit_length()))):
+        below = F.get("_bounds", F.col("_bk") + (step - 1)) < o  # null beyond the last bound
+        with_b = with_b.withColumn("_bk", F.col("_bk") + F.when(below, F.lit(step)).otherwise(F.lit(0)))
     if descending:
-        bk = F.lit(n_buckets) - bk
-    with_b = with_b.withColumn("_bk", bk).drop("_bounds", "_lasts")
+        with_b = with_b.withColumn("_bk", F.lit(n_buckets) - F.col("_bk"))
+    with_b = with_b.drop("_bounds")
     totals = with_b.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols], F.min(order).alias("_min"))
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.lead("_min").over(Window.partitionBy(*keys).orderBy("_bk")).alias("_nextmin")] if with_next else []
