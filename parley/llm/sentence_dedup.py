@@ -17,6 +17,9 @@ Within a slice of a partition only the first place of a run is shuffled by its h
 are known not to be the first and go with a hash of their own, so a run that a third of all
 documents share sends one row for each slice, not for each document.
 
+Texts are cut once: with the places goes one row for each text that has the sizes of its pieces,
+a byte each in most cases, so that removal only adds them up.
+
 Cases: null and empty texts have no sentence and stay as they are; texts of under
 PASSAGE + SPREAD - 1 words have no strings of their own and their sentences stay whole; rows with equal id and equal
 text are one document, in whose rows the same sentences go; a run that overlaps itself in one
@@ -102,6 +105,11 @@ def sentences(text: str) -> list[int]:
 
 def runs(text: str) -> list[tuple[int, int, bytes]]:
     """(first piece, pieces, digest) of all runs and strings that are hashed."""
+    return _pieces_and_runs(text)[1]
+
+
+def _pieces_and_runs(text: str) -> tuple[list[int], list[tuple[int, int, bytes]]]:
+    """(ends of the pieces, runs)."""
     ends, pieces, strings = _cut(text)
     index = dict(zip([0, *pieces], range(len(pieces) + 1)))
     made, at, words, starts = [(index[a], index[b] - index[a], d) for a, b, d in strings], 0, [], []
@@ -122,11 +130,28 @@ def runs(text: str) -> list[tuple[int, int, bytes]]:
         three = full[k : k + RUN]
         if len(three) == RUN:
             made.append((starts[i], starts[three[-1] + 1] - starts[i], digest(b"\n".join([joined[j] for j in three]))))
-    return made
+    return pieces, made
+
+
+def _sizes(ends: list[int]) -> bytes:
+    """The sizes of the pieces, each as a byte below 255 behind as many of 255 as it needs."""
+    sizes = np.diff(ends, prepend=0)
+    more = sizes // 255
+    out = np.full(len(sizes) + more.sum(), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = sizes % 255
+    return out.tobytes()
+
+
+def _ends(sizes: bytes | None) -> list[int]:
+    made = np.frombuffer(sizes or b"", np.uint8)
+    return np.cumsum(made, dtype=np.int64)[made < 255].tolist()
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, mark, at, n, known): the places of all runs; known: certainly not the first."""
+    """(h1, h2, doc_id, mark, at, n, known, sizes): the places of all runs; known: certainly not the first.
+
+    One more row of each text has the `_sizes` of its pieces (else null), a hash of its own, and is known.
+    """
 
     def run(batches):
         for b in batches:
@@ -135,23 +160,32 @@ def _places(docs: DataFrame) -> DataFrame:
                 ids, marks, texts = (part.column(i).to_pylist() for i in range(3))
                 order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, marks[i]))
                 first: dict[bytes, tuple] = {}
-                rows, digests, known = [], [], []
+                rows, digests, known, sizes = [], [], [], {}
                 for i in order:
-                    for at, n, d in runs(texts[i]) if texts[i] else ():
+                    if not texts[i]:
+                        continue
+                    ends, found = _pieces_and_runs(texts[i])
+                    sizes[ids[i], marks[i]] = _sizes(ends)
+                    for at, n, d in found:
                         place = (marks[i], ids[i], at)
                         later = first.setdefault(d, place) != place
                         rows.append((ids[i], marks[i], at, n))
                         digests.append(xxhash.xxh3_128_digest(d + repr(place).encode()) if later else d)
                         known.append(later)
+                none = [None] * len(rows)
+                for doc in sizes:
+                    rows.append((*doc, 0, 0))
+                    digests.append(xxhash.xxh3_128_digest(repr(doc).encode()))
+                    known.append(True)
                 h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 cols = list(zip(*rows)) or [(), (), (), ()]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[:, 0]), pa.array(h[:, 1]), *[pa.array(c, k) for c, k in zip(cols, kinds)], pa.array(known, pa.bool_())],
-                    names=["h1", "h2", "doc_id", "mark", "at", "n", "known"],
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), *[pa.array(c, k) for c, k in zip(cols, kinds)], pa.array(known, pa.bool_()), pa.array([*none, *sizes.values()], pa.binary())],
+                    names=["h1", "h2", "doc_id", "mark", "at", "n", "known", "sizes"],
                 )
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "mark", "text"), run, "h1 bigint, h2 bigint, doc_id bigint, mark bigint, at int, n int, known boolean")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "mark", "text"), run, "h1 bigint, h2 bigint, doc_id bigint, mark bigint, at int, n int, known boolean, sizes binary")
 
 
 OUTPUTS = {"kept_text": "string", "n_sentences": "bigint", "n_removed": "bigint", "removed": "array<int>"}
@@ -162,30 +196,35 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     return aside(docs, [id_col, text_col], OUTPUTS, lambda df: _dedup(df, text_col, id_col))
 
 
+def _without(text: str | None, spans, sizes) -> tuple:
+    """The outputs of a text: `spans` (first piece << 32 | pieces) go; `sizes` are the `_sizes` of its pieces."""
+    if not text:
+        return text, 0, 0, []
+    ends, gone = _ends(sizes), set()
+    if ends[-1:] != [len(text)]:  # another text of the same id and mark
+        ends = sentences(text)
+    for s in spans or ():
+        gone.update(range(s >> 32, (s >> 32) + (s & 0xFFFFFFFF)))
+    if not gone:
+        return text, len(ends), 0, []
+    kept = "".join([text[a:b] for i, (a, b) in enumerate(zip([0, *ends], ends)) if i not in gone])
+    return kept, len(ends), len(gone), sorted(gone)
+
+
 def _dedup(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     base = docs.withColumn("mark", F.xxhash64(F.col(text_col)))
     places = _places(base.select(F.col(id_col).alias("doc_id"), "mark", F.col(text_col).alias("text")))
     order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "mark", "at")
     later = places.withColumn("k", F.dense_rank().over(order)).where(F.col("known") | (F.col("k") > 1))
-    covered = later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    packed = covered.select(F.col("doc_id").alias("id__"), F.col("mark").alias("mark__"), F.transform("spans", lambda s: F.shiftleft(s["at"].cast("bigint"), 32) + s["n"]).alias("spans__"))
+    span = F.when(F.col("sizes").isNull(), F.struct("at", "n"))
+    covered = later.groupBy("doc_id", "mark").agg(F.collect_set(span).alias("spans"), F.first("sizes", ignorenulls=True).alias("sizes__"))
+    packed = covered.select(F.col("doc_id").alias("id__"), F.col("mark").alias("mark__"), F.transform("spans", lambda s: F.shiftleft(s["at"].cast("bigint"), 32) + s["n"]).alias("spans__"), "sizes__")
     joined = base.join(packed, base[id_col].cast("bigint").eqNullSafe(F.col("id__")) & (base["mark"] == F.col("mark__")), "left")
 
     def make():
-        def one(text, spans):
-            if not text:
-                return text, 0, 0, []
-            ends, gone = sentences(text), set()
-            for s in spans or ():
-                gone.update(range(s >> 32, (s >> 32) + (s & 0xFFFFFFFF)))
-            if not gone:
-                return text, len(ends), 0, []
-            kept = "".join([text[a:b] for i, (a, b) in enumerate(zip([0, *ends], ends)) if i not in gone])
-            return kept, len(ends), len(gone), sorted(gone)
-
-        return lambda texts, spans: tuple(zip(*map(one, texts, spans), strict=True)) or ((), (), (), ())
-
-    return add_columns(joined.drop("id__", "mark__", "mark"), text_col, OUTPUTS, make, also=("spans__",))
+        return lambda texts, spans, sizes: tuple(zip(*map(_without, texts, spans, sizes), strict=True)) or ((), (), (), ())
+
+    return add_columns(joined.drop("id__", "mark__", "mark"), text_col, OUTPUTS, make, also=("spans__", "sizes__"))
 
 
 def digests(found: DataFrame) -> DataFrame:

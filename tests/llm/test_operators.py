@@ -342,6 +342,23 @@ def test_chosen_strings_are_least_of_their_neighbours():
     assert max(np.diff(sentence_dedup.chosen(words))) <= w and sentence_dedup.chosen(words[: p + w - 2]) == []
 
 
+def test_sentences_are_cut_once(spark, docs, monkeypatch):
+    rows = [*docs[:40], docs[0], (None, docs[1][1]), (90_000, "\u00e9 \U0001f600!  \n\n b."), (90_001, " \n "), (90_002, "a" * 1000 + "\nb\n" + "c" * 254 + "\n" + "d" * 253 + "\n"), (90_004, ""), (90_003, None)]
+    base = frame(spark, rows).withColumn("mark", F.xxhash64("text")).select("doc_id", "mark", "text").repartition(3)
+    sizes = {(r["doc_id"], r["mark"]): r["sizes"] for r in sentence_dedup._places(base).where("sizes is not null").collect()}
+    texts = {(r["doc_id"], r["mark"]): r["text"] for r in base.collect() if r["text"]}
+    assert {k: sentence_dedup._ends(v) for k, v in sizes.items()} == {k: sentence_dedup.sentences(t) for k, t in texts.items()}
+
+    def again(text):
+        raise AssertionError("cut a second time")
+
+    monkeypatch.setattr(sentence_dedup, "sentences", again)
+    assert sentence_dedup._without("One. Two. Three.", [1 << 32 | 1], b"\5\5\6") == ("One. Three.", 3, 1, [1])
+    assert sentence_dedup._without("One. Two.", None, b"\5\4") == ("One. Two.", 2, 0, []) and sentence_dedup._without(None, None, None) == (None, 0, 0, [])
+    monkeypatch.undo()
+    assert sentence_dedup._without("One. Two. Three.", None, b"\5\4") == ("One. Two. Three.", 3, 0, [])  # sizes of another text
+
+
 def test_sentence_spans_awkward(spark):
     found = sentence_dedup.dedup(plain.awkward(spark)).collect()
     assert len(found) == len(plain.AWKWARD)
