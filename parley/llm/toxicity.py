@@ -203,7 +203,7 @@ class Voters:
         rate = hits / len(words) if words else 0.0
         letters = sum(map(len, words))
         addressed = bool(found) and any(w in found and not ADDRESS.isdisjoint(words[max(0, i - 3) : i]) for i, w in enumerate(words))
-        shouting = letters >= 40 and len(UPPER.findall(text)) > 0.5 * letters
+        shouting = letters > 0 and len(text) >= 40 and len(UPPER.findall(text)) > 0.5 * letters
         weight = sum(sorted({**starts, **learned}.values(), reverse=True)[:8])
         votes = [
             *[n > 0 for n in by_kind], len(learned) > 0, len(learned) > 1, len(starts) > 0, len(starts) > 1,
