@@ -6,11 +6,11 @@ Counts are ``count_if`` in one hash aggregate (map-side partial). Zero divisions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import running_sums
+from .ordered import bucketed
 
 DIGITS = 10
 
@@ -90,12 +90,20 @@ def roc_auc(df: DataFrame, y: str, score: str, keys=(), weight: str | None = Non
 
 def auc_of_counts(compact: DataFrame, score: str, keys=()) -> DataFrame:
     """AUC from (keys, score, n_pos, n_neg), one row per score. Twice the number of ordered pairs is
-    summed as DECIMAL(38,0): exact, whatever the order and however large the counts."""
+    summed as DECIMAL(38,0): exact, whatever the order and however large the counts. Pairs inside a
+    bucket of scores are counted there; those with lower buckets from the buckets' sums."""
     keys = list(keys)
-    cum = running_sums(compact, keys, score, ["n_neg"])
-    big = "decimal(19,0)"
-    pairs = F.col("n_pos").cast(big) * (2 * F.col("cum_n_neg") - F.col("n_neg")).cast(big)
-    part = cum.select(*keys, "n_pos", "n_neg", pairs.cast("decimal(38,0)").alias("u2"))
+
+    def times(a, b):
+        return (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+    inside = Window.partitionBy(*keys, "_bk").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = bucketed(compact.select(*keys, score, "n_pos", "n_neg"), keys, score).withColumn("_cum", F.sum("n_neg").over(inside))
+    rows = cum.select(*keys, "_bk", "n_pos", "n_neg", times(F.col("n_pos"), 2 * F.col("_cum") - F.col("n_neg")).alias("u2"))
+    buckets = rows.groupBy(*keys, "_bk").agg(F.sum("u2").alias("u2"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    lower = F.sum("n_neg").over(Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1))
+    part = buckets.withColumn("_lower", F.coalesce(lower, F.lit(0)))
+    part = part.select(*keys, "n_pos", "n_neg", (F.col("u2") + times(F.col("n_pos"), 2 * F.col("_lower"))).cast("decimal(38,0)").alias("u2"))
     agg = part.groupBy(*keys).agg(F.sum("u2").cast("double").alias("u2"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
     both = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
     return agg.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u2") / 2.0 / both).alias("roc_auc"))
@@ -106,10 +114,10 @@ def brier(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(d * d).alias("brier_score"))
 
 
-def fold_metrics(df: DataFrame, y: str, p: str, keys, threshold: float = 0.5, rule: str = ">=", weight: str | None = None, with_brier: bool = True) -> DataFrame:
+def fold_metrics(df: DataFrame, y: str, p: str, keys, threshold: float = 0.5, rule: str = ">=", weight: str | None = None, with_brier: bool = True, keep=cut_lineage) -> DataFrame:
     """accuracy/precision/recall/f1 at a threshold + AUC + Brier (unless it isn't wanted) per group.
 
-    Scores are compacted once; their counts, checkpointed, give all metrics, so the source is read once.
+    Scores are compacted once; their counts, kept by ``keep``, give all metrics, so the source is read once.
     ``weight`` holds row multiplicities when rows were compacted (integer counts)."""
     wc = F.col(weight) if weight else F.lit(1)
     scored = df.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p"), wc.cast("bigint").alias("_w"))
@@ -120,7 +128,7 @@ def fold_metrics(df: DataFrame, y: str, p: str, keys, threshold: float = 0.5, ru
 
     squares = [F.sum(F.col("_w") * d * d).alias("_sq"), F.sum("_w").alias("_n")] if with_brier else []
     counts = scored.groupBy(*keys, "_p").agg(cnt(F.col("_y") == 1).alias("n_pos"), cnt(F.col("_y") == 0).alias("n_neg"), *squares)
-    counts = cut_lineage(counts)
+    counts = keep(counts)
     pred = binarize("_p", threshold) if rule == ">=" else (F.col("_p") > F.lit(threshold)).cast("int")
     base = counts.withColumn("_pred", pred).groupBy(*keys).agg(
         cnt(F.col("_pred") == 0, "n_neg").alias("true_negative"),

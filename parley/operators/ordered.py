@@ -18,12 +18,8 @@ from ..session import cut_lineage
 DEFAULT_BUCKETS = 64
 
 
-def running_sums(
-    df: DataFrame, keys, order: str, cols, n_buckets: int = DEFAULT_BUCKETS, descending: bool = False, with_next: bool = False
-) -> DataFrame:
-    """Adds ``cum_<c>`` = sum of ``c`` over rows of the same keys with order value <= this one
-    (>= when ``descending``), inclusive. ``with_next`` adds ``next_<order>``: the next larger
-    value in the group (NULL for the last), ascending mode only."""
+def bucketed(df: DataFrame, keys, order: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """df with ``_bk``: 0..n_buckets-1, the place of the order value among its group's quantile bounds (0 for null)."""
     keys = list(keys)
     o = F.col(order)
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -41,9 +37,20 @@ def running_sums(
     for step in (1 << i for i in reversed(range(len(probs).bit_length()))):
         below = F.get("_bounds", F.col("_bk") + (step - 1)) < o  # null beyond the last bound
         with_b = with_b.withColumn("_bk", F.col("_bk") + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+    return with_b.drop("_bounds")
+
+
+def running_sums(
+    df: DataFrame, keys, order: str, cols, n_buckets: int = DEFAULT_BUCKETS, descending: bool = False, with_next: bool = False
+) -> DataFrame:
+    """Adds ``cum_<c>`` = sum of ``c`` over rows of the same keys with order value <= this one
+    (>= when ``descending``), inclusive. ``with_next`` adds ``next_<order>``: the next larger
+    value in the group (NULL for the last), ascending mode only."""
+    keys = list(keys)
+    o = F.col(order)
+    with_b = bucketed(df, keys, order, n_buckets)
     if descending:
         with_b = with_b.withColumn("_bk", F.lit(n_buckets) - F.col("_bk"))
-    with_b = with_b.drop("_bounds")
     totals = with_b.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols], F.min(order).alias("_min"))
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.lead("_min").over(Window.partitionBy(*keys).orderBy("_bk")).alias("_nextmin")] if with_next else []

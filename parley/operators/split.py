@@ -30,14 +30,18 @@ def shuffle_key(id_col: str, seed) -> Column:
 def stratified_rank(df: DataFrame, id_col: str, label: str, seed=SEED, strata=(), digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
     """Adds ``rank`` (1-based) within (strata..., label) ordered by (md5(seed:id), id).
 
-    ``seed`` may be a Column (e.g. depends on a stratum such as the outer fold).
+    ``seed`` may be a Column (e.g. depends on a stratum such as the outer fold). Rows are dealt by
+    bucket before they get hash and bucket as columns: these are computed again, not shuffled.
     """
     keys = [*strata, label]
-    h = df.withColumn("_h", shuffle_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, digits))
-    sizes = h.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    key = shuffle_key(id_col, seed)
+    bucket = F.substring(key, 1, digits)
+    sizes = df.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
+    dealt = df.repartition(*[F.col(k) for k in keys], bucket)
+    h = dealt.withColumn("_h", key).withColumn("_b", F.substring("_h", 1, digits))
     ranked = h.join(offsets, [*keys, "_b"]).withColumn("rank", F.col("_off") + F.row_number().over(w))
     return ranked.drop("_h", "_b", "_off")
 
